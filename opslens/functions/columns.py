@@ -79,6 +79,26 @@ def first_present(col: str, order: str) -> Column:
     return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(order)))
 
 
+def label_bit(col: Column, labels: list[str], first: int) -> Column:
+    """Bit ``first + i`` for the i-th label, 0 for any other value.
+
+    Sets of small flags are folded with one ``bit_or`` rather than one
+    aggregate per flag, which keeps wide reports in compact generated code.
+    """
+    out = F.lit(0)
+    for i, name in reversed(list(enumerate(labels))):
+        out = F.when(col == name, F.lit(1 << (first + i))).otherwise(out)
+    return out
+
+
+def bit_if(condition: Column, bits: Column) -> Column:
+    return F.when(condition, bits).otherwise(F.lit(0))
+
+
+def has_bit(mask: Column, bit: int) -> Column:
+    return mask.bitwiseAND(F.lit(1 << bit)) != 0
+
+
 def to_wide(df: DataFrame, rows: list[str], column: str, values: list[str], value: str) -> DataFrame:
     """One column per listed value; a combination that has no row stays null."""
     return df.groupBy(*rows).pivot(column, values).agg(F.first(value, ignorenulls=True))

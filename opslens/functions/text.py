@@ -17,9 +17,14 @@ def relabel(col: Column, mapping: dict[str, str]) -> Column:
 
 
 def normalise_reason(col: Column, rules: list[tuple[str, str]]) -> Column:
-    """Apply case-insensitive regex rules one after another."""
+    """Apply case-insensitive regex rules one after another.
+
+    A rule that starts with ``.*`` can only begin at the start of a line, and
+    saying so spares the search from every later position.
+    """
     for pattern, replacement in rules:
-        col = F.regexp_replace(col, "(?i)" + pattern, replacement)
+        anchored = "(?im)^" + pattern if pattern.startswith(".*") else "(?i)" + pattern
+        col = F.regexp_replace(col, anchored, replacement)
     return col
 
 

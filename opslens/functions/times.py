@@ -19,12 +19,12 @@ def moment(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def hours(n) -> Column:
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(round(n * 3600))))
+def hours(n: float) -> Column:
+    return F.lit(dt.timedelta(hours=n))
 
 
 def days(n: int) -> Column:
-    return F.make_dt_interval(F.lit(n))
+    return F.lit(dt.timedelta(days=n))
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -93,15 +93,15 @@ def weekly_periods(start: dt.date, count: int, first: int = 1, length: int = 7)
     return out
 
 
-def step_week_label(col: Column, start: dt.date, count: int = 4) -> Column:
-    """Half-open seven-day steps labelled 'Aug-08 to Aug-14'.
+def step_week_names(start: dt.date, count: int = 4) -> list[str]:
+    """Names of consecutive seven-day steps, like 'Aug-08 to Aug-14'."""
+    firsts = [start + dt.timedelta(days=7 * i) for i in range(count)]
+    return [f"{lo:%b-%d} to {lo + dt.timedelta(days=6):%b-%d}" for lo in firsts]
 
-    Earlier dates fall into the first step; later and missing ones into the last.
-    """
-    names = []
-    for i in range(count):
-        lo = start + dt.timedelta(days=7 * i)
-        names.append(f"{lo:%b-%d} to {lo + dt.timedelta(days=6):%b-%d}")
+
+def step_week_label(col: Column, start: dt.date, count: int = 4) -> Column:
+    """Half-open seven-day steps; earlier dates fall into the first, later and missing ones into the last."""
+    names = step_week_names(start, count)
     label = F.lit(names[-1])
     for i in reversed(range(count - 1)):
         label = F.when(col < moment(start + dt.timedelta(days=7 * (i + 1))), F.lit(names[i])).otherwise(label)
@@ -113,8 +113,11 @@ def iso_week_label(col: Column) -> Column:
 
 
 def slot_start(day: Column, hour: Column) -> Column:
-    """Timestamp at which a slot opens, from a day text and an hour text; null if unreadable."""
-    return F.concat(day, F.lit(" "), F.trim(hour), F.lit(":00:00")).try_cast("timestamp_ntz")
+    """Timestamp at which a slot opens, from a date (or its text) and an hour text; null if unreadable."""
+    opens = F.trim(hour).try_cast("int")
+    return F.when(
+        opens.between(0, 23),
+        day.try_cast("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), opens))
 
 
 def slot_label(at: Column, start: Column, steps: list[tuple[float, str]], later: str) -> Column:
@@ -122,7 +125,8 @@ def slot_label(at: Column, start: Column, steps: list[tuple[float, str]], later:
 
     A missing time or slot falls through to ``later``.
     """
+    late_by = at - start
     label = F.lit(later)
     for limit, name in reversed(steps):
-        label = F.when(at <= start + hours(limit), F.lit(name)).otherwise(label)
+        label = F.when(late_by <= hours(limit), F.lit(name)).otherwise(label)
     return label

@@ -196,7 +196,7 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
         _first_booking("booking_id").alias("_first_id"),
         *_acquisition_facts(), *_segment_facts(), *_rating_facts(), *_credits_facts(),
     ]
-    stats = rows.groupBy("phone").agg(*facts).select(
+    stats = skew.built_once(rows.groupBy("phone").agg(*facts)).select(
         "phone", "n_rows", "successful_bookings", "cohort_group", "_first_id",
         _acquisition().alias("acquisition_source"), _segment(threshold).alias("customer_segment"),
         _only_dc().alias("only_dc"), _rating().alias("rating"), "_latest_credits")
@@ -210,10 +210,9 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
     id_slice = F.floor(F.col("booking_id") / slice_ids)
     rows = rows.withColumn("_slice", skew.slice_key(is_heavy, *[F.col(c) for c in leading], id_slice))
 
-    # Only unsliced rows meet this side; its slice name is '' for every customer
-    # but depends on the key so that it is kept as a join key.
+    # Only unsliced rows meet this side, so its slice name is '' for every customer.
     light = stats.select(F.col("phone").alias("_lp"),
-                         F.substring(F.col("phone").cast("string"), 1, 0).alias("_ls"),
+                         F.when(skew.zero_of("phone") == 0, "").otherwise("/").alias("_ls"),
                          F.struct(*added).alias("_light"))
     order = [F.col(c).asc_nulls_last() for c in order_by]
     in_slice = Window.partitionBy("phone", "_slice").orderBy(*order)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import holds, long_metrics, null_if_zero, present
+from ..functions.columns import holds, present
 from ..functions.labels import (
     CANCELLED_LATER, CANCELLED_STEPS, DELIVERY_LATER, DELIVERY_REASON_RULES, DELIVERY_STEPS, HOURLY_DELIVERY_LATER,
     HOURLY_DELIVERY_STEPS,
 )
 from ..functions.text import list_items, list_length, normalise_reason, range_start
-from ..functions.times import in_period, read_time, slot_label, slot_start, step_week_label
+from ..functions.times import in_period, read_time, slot_label, slot_start, step_week_label, step_week_names
 from . import skew
 
 # A booking with more visits than this is matched slice by slice; a slice holds
@@ -23,7 +23,7 @@ DELIVERY_SLOTS = [name for _, name in DELIVERY_STEPS] + [DELIVERY_LATER]
 HOURLY_SLOTS = [name for _, name in HOURLY_DELIVERY_STEPS] + [HOURLY_DELIVERY_LATER]
 
 
-def _booking_stamps(visits: DataFrame) -> DataFrame:
+def _booking_stamps(visits: DataFrame, pattern: str | None) -> DataFrame:
     """Per booking: visits, out-for-delivery stamps and attempts, map-side aggregated.
 
     Without any stamp a booking with a done visit gets its latest creation time
@@ -35,19 +35,21 @@ def _booking_stamps(visits: DataFrame) -> DataFrame:
         F.min_by("ofd_happened_at", F.when(F.col("ofd_happened_at").isNotNull(), F.col("visit_id"))).alias("_listed"),
         F.max("creation_time").alias("_created"),
         F.max(list_length(F.col("ofd_happened_at"))).alias("_attempts"))
+    stats = skew.built_once(stats)
     made_up = F.when(F.col("_listed").isNull() & F.col("_any_done"),
                      F.date_format("_created", "yyyy-MM-dd HH:mm:ss"))
     stats = stats.withColumn("_made_up", made_up).withColumn(
         "_stamps", list_items(F.coalesce("_listed", "_made_up")))
+    stats = stats.withColumn("_times", F.transform("_stamps", lambda s: read_time(s, pattern)))
     return stats.select(
         "booking_id", "n_rows", "_made_up",
         F.coalesce("_attempts", F.when(F.col("_made_up").isNotNull(), F.lit(1))).alias("ofd_attempts"),
-        F.element_at("_stamps", -1).alias("_last"),
-        F.slice("_stamps", F.lit(1), F.greatest(F.size("_stamps") - 1, F.lit(0))).alias("_queue"))
+        F.element_at("_times", -1).alias("_last"),
+        F.slice("_times", F.lit(1), F.greatest(F.size("_times") - 1, F.lit(0))).alias("_queue"))
 
 
-def _match_stamps(visits: DataFrame, stamps: DataFrame, pattern: str | None, heavy_rows: int,
-                  heavy_visits: int, slice_ids: int) -> DataFrame:
+def _match_stamps(visits: DataFrame, stamps: DataFrame, heavy_rows: int, heavy_visits: int,
+                  slice_ids: int) -> DataFrame:
     """Greedy match of a booking's remaining stamps to its visits in visit order.
 
     A visit cancelled at or after the next stamp takes it, one stamp per visit.
@@ -57,27 +59,27 @@ def _match_stamps(visits: DataFrame, stamps: DataFrame, pattern: str | None, hea
     matched ``(visit_id, stamp)`` pairs, never more than there are stamps.
     """
     waiting = stamps.where(F.size("_queue") > 0).select(
-        "booking_id", "n_rows", F.col("n_rows").alias("_visits"), "_queue",
-        F.transform("_queue", lambda s: read_time(s, pattern)).alias("_times"))
+        "booking_id", "n_rows", F.col("n_rows").alias("_visits"), "_queue")
     narrow = present(visits.select("booking_id", "visit_id", "cancellation_time"), "booking_id", "cancellation_time")
     # A visit cancelled before every stamp can take none.
     able = skew.attach(narrow, waiting, "booking_id", F.col("visit_id"), floor=heavy_rows).where(
-        F.col("cancellation_time") >= F.array_min("_times"))
+        F.col("cancellation_time") >= F.array_min("_queue"))
     sliced = F.col("_visits") > heavy_visits
     slices = (
         able.withColumn("_slice", F.when(sliced, F.floor(F.col("visit_id") / slice_ids)).otherwise(F.lit(-1)))
         .groupBy("booking_id", "_slice")
         .agg(F.sort_array(F.collect_list(F.struct("visit_id", "cancellation_time"))).alias("_v"),
-             F.any_value("_queue").alias("_queue"), F.any_value("_times").alias("_times"))
+             F.any_value("_queue").alias("_queue"), F.max("_slice").alias("_cut"))
     )
 
     def due(position: Column, visit: Column) -> Column:
-        return holds(visit["cancellation_time"] >= F.get("_times", position))
+        return holds(visit["cancellation_time"] >= F.get("_queue", position))
 
-    # Where a slice leads from each starting position, for cut bookings only.
-    moves = slices.where(F.col("_slice") >= 0).select(
+    # Where a slice leads from each starting position, for cut bookings only. The test is on
+    # an aggregate, not on the key, so that both uses of the slices read one exchange.
+    moves = slices.where(F.col("_cut") >= 0).select(
         "booking_id", "_slice", F.transform(
-            F.sequence(F.lit(0), F.size("_times")),
+            F.sequence(F.lit(0), F.size("_queue")),
             lambda start: F.aggregate("_v", start, lambda p, v: F.when(due(p, v), p + 1).otherwise(p))).alias("_to"))
     # Slices that move the position, with the position they start from: at most one per stamp.
     position = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<slice:bigint,at:int>>").alias("starts"))
@@ -94,8 +96,8 @@ def _match_stamps(visits: DataFrame, stamps: DataFrame, pattern: str | None, hea
     )
     begun = slices.join(
         starts, (F.col("booking_id") == F.col("_b")) & (F.col("_slice") == F.col("_s")), "left",
-    ).where((F.col("_slice") < 0) | F.col("_start").isNotNull())
-    none = F.array().cast("array<struct<visit_id:bigint,stamp:string>>")
+    ).where((F.col("_cut") < 0) | F.col("_start").isNotNull())
+    none = F.array().cast("array<struct<visit_id:bigint,stamp:timestamp_ntz>>")
     begin = F.struct(F.coalesce("_start", F.lit(0)).alias("at"), none.alias("pairs"))
 
     def take(s, v):
@@ -116,16 +118,16 @@ def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int =
     overwrite a done visit's.
     """
     visits = present(visits, "booking_id")
-    stamps = _booking_stamps(visits)
-    taken = _match_stamps(visits, stamps, pattern, heavy_rows, heavy_visits, slice_ids)
+    stamps = _booking_stamps(visits, pattern)
+    taken = _match_stamps(visits, stamps, heavy_rows, heavy_visits, slice_ids)
     per_booking = stamps.select("booking_id", "n_rows", "_made_up", "ofd_attempts", "_last").join(
         taken, "booking_id", "left")
     out = skew.attach(visits, per_booking, "booking_id", F.col("visit_id"), floor=heavy_rows)
     own = F.try_element_at("_taken", F.col("visit_id"))
-    text = F.coalesce(own, F.when(F.col("visit_status") == "done", F.col("_last")))
+    stamp = F.coalesce(own, F.when(F.col("visit_status") == "done", F.col("_last")))
     columns = [F.coalesce("ofd_happened_at", "_made_up").alias(c) if c == "ofd_happened_at" else F.col(c)
                for c in visits.columns]
-    return out.select(*columns, read_time(text, pattern).alias("ofd_time"), "ofd_attempts")
+    return out.select(*columns, stamp.alias("ofd_time"), "ofd_attempts")
 
 
 def with_delivery_slots(visits: DataFrame) -> DataFrame:
@@ -145,31 +147,92 @@ def with_delivery_slots(visits: DataFrame) -> DataFrame:
     })
 
 
-def _attempt_flags(keys: list[str], slots: list[str], visits: DataFrame) -> DataFrame:
-    """Per group: distinct bookings delivered at the first or a later attempt, in total and by slot."""
-    done = F.col("visit_status") == "done"
-    flags = {}
-    for kind, reached in (("single", F.col("ofd_attempts") == 1), ("multiple", F.col("ofd_attempts") > 1)):
-        won = done & reached
-        flags[f"{kind}"] = won
-        flags[f"{kind}_no_slot"] = won & F.col("requested_date").isNull()
-        for i, s in enumerate(slots):
-            flags[f"{kind}_{i}"] = won & F.col("requested_date").isNotNull() & (F.col("updation_slot") == s)
-    flags["delivered"] = done
-    folded = visits.groupBy(*keys, "booking_id").agg(
-        *[F.bool_or(holds(c)).alias(name) for name, c in flags.items()])
-    return folded.groupBy(*keys).agg(*[F.count_if(F.col(name) & F.col("booking_id").isNotNull()).alias(name)
-                                       for name in flags])
-
-
-def _attempt_metrics(slots: list[str], first: int) -> list[tuple[int, str, Column]]:
-    out = []
-    for kind, title, blank in (("single", "single_ofd", "without_slot"),
-                               ("multiple", "multiple_ofd", "without_slot_mulOFD")):
-        out += [(first, title, F.col(kind)), (first + 1, blank, F.col(f"{kind}_no_slot"))]
-        out += [(first + 2, s, null_if_zero(F.col(f"{kind}_{i}"))) for i, s in enumerate(slots)]
-        first += 3
-    return [*out, (first, "total_bookings", F.col("single") + F.col("multiple"))]
+# What a visit can be counted under while the funnels are summed. Visits:
+_WON_OUT, _WON_IN, _LOST_OUT, _LOST_IN, _REST = 1, 2, 3, 4, 5
+# Cancel reasons, numbered as the report's sections:
+_REASON_OUT, _REASON_IN = 6, 7
+# Out-for-delivery attempts of the first version:
+_ATTEMPTS = 8
+# Bookings delivered at the first attempt, or later: all, without slot, by slot.
+_SINGLE, _SINGLE_BLANK, _SINGLE_SLOT, _MULTIPLE, _MULTIPLE_BLANK, _MULTIPLE_SLOT = 9, 10, 11, 12, 13, 14
+_DELIVERED = 15
+
+
+def _entry(section: Column, label: Column, n: Column | None = None, booking: bool = False) -> Column:
+    """One thing a visit counts under; a booking is counted once however many visits name it."""
+    return F.when(section.isNotNull(), F.struct(
+        section.alias("section"), label.cast("string").alias("label"),
+        (F.col("booking_id") if booking else F.lit(None).cast("bigint")).alias("booking"),
+        (F.lit(1) if n is None else n).cast("bigint").alias("n")))
+
+
+def _attempt_entries() -> list[Column]:
+    done, attempts = F.col("visit_status") == "done", F.col("ofd_attempts")
+    blank = F.col("requested_date").isNull()
+    kind = F.when(done & (attempts == 1), F.lit(_SINGLE)).when(done & (attempts > 1), F.lit(_MULTIPLE))
+    return [
+        _entry(kind, F.lit(None), booking=True),
+        _entry(kind + F.when(blank, 1).otherwise(2), F.when(~blank, F.col("updation_slot")), booking=True),
+    ]
+
+
+def _counted(visits: DataFrame, entries: list[Column]) -> DataFrame:
+    """Visits and distinct bookings per week, section and label, in one pass over the visits.
+
+    Plain counts collapse map-side; bookings to be counted once are shuffled by
+    week, section, label and booking, so no week gathers in one task.
+    """
+    added = visits.select("week", F.inline(F.array(*entries))).where(F.col("section").isNotNull())
+    return added.groupBy("week", "section", "label").agg(
+        F.sum("n").alias("n"), F.count_distinct("booking").alias("bookings"))
+
+
+def _lines(counted: DataFrame, weeks: list[str], entries: list[Column], labels: list[tuple[int, str]]) -> DataFrame:
+    """Turn the counts into report lines; ``labels`` are shown, as null, even without a count.
+
+    Runs on one row per week and label.
+    """
+    blank = counted.sparkSession.createDataFrame(
+        [(w, o, m) for w in weeks for o, m in labels], "week string, ord int, metric string"
+    ).withColumn("value", F.lit(None).cast("double"))
+    lines = counted.select("week", F.inline(F.array(*entries))).where(F.col("ord").isNotNull())
+    return lines.unionByName(blank).groupBy("week", "ord", "metric").agg(F.sum("value").alias("value")).withColumn(
+        "_visits", F.max(F.when(F.col("ord") == 1, F.col("value"))).over(Window.partitionBy("week"))
+    ).where(F.col("_visits") > 0).drop("_visits")
+
+
+def _line(sections: list[int], ord_: Column | int, metric: Column | str, value: Column) -> Column:
+    return F.when(F.col("section").isin(sections), F.struct(
+        (ord_ if isinstance(ord_, Column) else F.lit(ord_)).alias("ord"),
+        (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"),
+        value.cast("double").alias("value")))
+
+
+def _attempt_lines(first: int, slots: list[str]) -> tuple[list[Column], list[tuple[int, str]]]:
+    shift = first - _SINGLE
+    label = F.coalesce(
+        F.col("label"),
+        F.when(F.col("section") == _SINGLE, "single_ofd").when(F.col("section") == _MULTIPLE, "multiple_ofd")
+        .when(F.col("section") == _SINGLE_BLANK, "without_slot").otherwise("without_slot_mulOFD"))
+    lines = [
+        _line([*range(_SINGLE, _MULTIPLE_SLOT + 1)], F.col("section") + shift, label, F.col("bookings")),
+        _line([_SINGLE, _MULTIPLE], _DELIVERED + shift, "total_bookings", F.col("bookings")),
+    ]
+    return lines, [(section + shift, s) for section in (_SINGLE_SLOT, _MULTIPLE_SLOT) for s in slots]
+
+
+def _zeros(first: int) -> list[tuple[int, str]]:
+    shift = first - _SINGLE
+    return [(_SINGLE + shift, "single_ofd"), (_SINGLE_BLANK + shift, "without_slot"),
+            (_MULTIPLE + shift, "multiple_ofd"), (_MULTIPLE_BLANK + shift, "without_slot_mulOFD"),
+            (_DELIVERED + shift, "total_bookings")]
+
+
+def _zero_filled(lines: DataFrame, zeros: list[tuple[int, str]]) -> DataFrame:
+    """Lines that count something are 0, not absent, when there is nothing to count."""
+    counting = F.array(*[F.concat_ws("/", F.lit(str(o)), F.lit(m)) for o, m in zeros])
+    listed = F.array_contains(counting, F.concat_ws("/", F.col("ord").cast("string"), F.col("metric")))
+    return lines.withColumn("value", F.when(listed, F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
 
 
 def delivery_funnel(visits: DataFrame, start, end, week_start, weeks: int = 4, city: str | None = None,
@@ -186,33 +249,32 @@ def delivery_funnel(visits: DataFrame, start, end, week_start, weeks: int = 4, c
         v = v.where(F.col("city") == city)
     v = v.withColumn("week", step_week_label(F.col("creation_time"), week_start, weeks))
     v = with_delivery_slots(assign_ofd(v, pattern, **limits))
-    v = v.withColumn("visit_cancel_reason", normalise_reason(F.col("visit_cancel_reason"), DELIVERY_REASON_RULES))
-
     out_for, lost = F.col("ofd_time").isNotNull(), F.col("visit_status") == "cancelled"
-    visits_seen = F.col("visit_id").isNotNull()
-    by_visit = v.groupBy("week").agg(
-        F.count("visit_id").alias("total"),
-        F.count_if(visits_seen & out_for).alias("ofd"),
-        F.count_if(visits_seen & (F.col("visit_status") == "done")).alias("success"),
-        *[F.count_if(visits_seen & out_for & lost & (F.col("updation_slot") == s)).alias(f"slot_{i}")
-          for i, s in enumerate(DELIVERY_SLOTS)])
-    reasons = (
-        v.where(lost & F.col("visit_cancel_reason").isNotNull())
-        .groupBy("week", F.when(out_for, 6).otherwise(7).alias("ord"), F.col("visit_cancel_reason").alias("metric"))
-        .agg(F.count("visit_id").cast("double").alias("value")))
-    return (
-        long_metrics(by_visit, ["week"], [
-            (1, "total_visits", F.col("total")),
-            (2, "ofd_visits", F.col("ofd")),
-            (3, "not_ofd_visits", F.col("total") - F.col("ofd")),
-            (4, "successful_deliveries", F.col("success")),
-            (5, "ofd_unsuccessful", F.col("ofd") - F.col("success")),
-            *[(8, s, null_if_zero(F.col(f"slot_{i}"))) for i, s in enumerate(DELIVERY_SLOTS)],
-        ])
-        .unionByName(reasons)
-        .unionByName(long_metrics(
-            _attempt_flags(["week"], DELIVERY_SLOTS, v), ["week"], _attempt_metrics(DELIVERY_SLOTS, 9)))
-    )
+    reason = F.when(lost, normalise_reason(F.col("visit_cancel_reason"), DELIVERY_REASON_RULES))
+    v = v.withColumn("out_for", out_for).withColumn("reason", reason)
+    out_for = F.col("out_for")
+    counted = _counted(v, [
+        _entry(F.when(lost, F.when(out_for, _LOST_OUT).otherwise(_LOST_IN)).otherwise(
+            F.when(out_for, _WON_OUT).otherwise(_WON_IN)), F.when(lost & out_for, F.col("updation_slot"))),
+        _entry(F.when(F.col("reason").isNotNull(), F.when(out_for, _REASON_OUT).otherwise(_REASON_IN)),
+               F.col("reason")),
+        *_attempt_entries(),
+    ])
+    n = F.col("n")
+    attempt_lines, attempt_labels = _attempt_lines(9, DELIVERY_SLOTS)
+    zeros = [(2, "ofd_visits"), (3, "not_ofd_visits"), (4, "successful_deliveries"), (5, "ofd_unsuccessful"), *_zeros(9)]
+    lines = _lines(counted, step_week_names(week_start, weeks), [
+        _line([_WON_OUT, _WON_IN, _LOST_OUT, _LOST_IN], 1, "total_visits", n),
+        _line([_WON_OUT, _LOST_OUT], 2, "ofd_visits", n),
+        _line([_WON_IN, _LOST_IN], 3, "not_ofd_visits", n),
+        _line([_WON_OUT, _WON_IN], 4, "successful_deliveries", n),
+        # Out-for-delivery visits less deliveries: lost ones count up, deliveries without stamp count down.
+        _line([_LOST_OUT, _WON_IN], 5, "ofd_unsuccessful", F.when(F.col("section") == _LOST_OUT, n).otherwise(-n)),
+        _line([_REASON_OUT, _REASON_IN], F.col("section"), F.col("label"), n),
+        _line([_LOST_OUT], 8, F.col("label"), n),
+        *attempt_lines,
+    ], [(8, s) for s in DELIVERY_SLOTS] + attempt_labels + zeros)
+    return _zero_filled(lines, zeros)
 
 
 def hourly_visit_slot(visits: DataFrame) -> DataFrame:
@@ -234,22 +296,30 @@ def delivery_funnel_v1(visits: DataFrame, start, end, city: str | None = None,
 
     A booking's attempts are taken over all of its visits, before the period filter.
     """
-    attempts = present(visits, "booking_id").groupBy("booking_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(list_length(F.col("ofd_happened_at"))).alias("ofd_attempts"))
+    attempts = skew.built_once(present(visits, "booking_id").groupBy("booking_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(list_length(F.col("ofd_happened_at"))).alias("ofd_attempts")))
     v = visits.where(in_period(F.col("creation_time"), start, end))
     if city is not None:
         v = v.where(F.col("city") == city)
     v = hourly_visit_slot(skew.attach(v, attempts, "booking_id", F.col("visit_id"), floor=heavy_rows))
-    totals = v.withColumn("_all", F.lit(1)).groupBy("_all").agg(
-        F.count("visit_id").alias("total"),
-        F.coalesce(F.sum(F.when(F.col("visit_status") == "done", F.col("ofd_attempts"))), F.lit(0)).alias("ofd"))
-    bookings = _attempt_flags(["_all"], HOURLY_SLOTS, v.withColumn("_all", F.lit(1)))
-    # One row on each side.
-    return long_metrics(totals.join(bookings, "_all"), [], [
-        (1, "total_visits", F.col("total")),
-        (2, "ofd_visits", F.col("ofd")),
-        (3, "not_ofd_visits", F.col("total") - F.col("ofd")),
-        (4, "successful_deliveries", F.col("delivered")),
-        (5, "ofd_unsuccessful", F.col("ofd") - F.col("delivered")),
-        *_attempt_metrics(HOURLY_SLOTS, 6),
+    done = F.col("visit_status") == "done"
+    counted = _counted(v.withColumn("week", F.lit("all")), [
+        _entry(F.when(done, _WON_OUT).otherwise(_REST), F.lit(None)),
+        _entry(F.when(done, _ATTEMPTS), F.lit(None), F.coalesce("ofd_attempts", F.lit(0))),
+        _entry(F.when(done, _DELIVERED), F.lit(None), booking=True),
+        *_attempt_entries(),
     ])
+    n, won = F.col("n"), F.col("bookings")
+    attempt_lines, attempt_labels = _attempt_lines(6, HOURLY_SLOTS)
+    zeros = [(2, "ofd_visits"), (3, "not_ofd_visits"), (4, "successful_deliveries"), (5, "ofd_unsuccessful"), *_zeros(6)]
+    lines = _lines(counted, ["all"], [
+        _line([_WON_OUT, _REST], 1, "total_visits", n),
+        _line([_ATTEMPTS], 2, "ofd_visits", n),
+        _line([_WON_OUT, _REST, _ATTEMPTS], 3, "not_ofd_visits",
+              F.when(F.col("section") == _ATTEMPTS, -n).otherwise(n)),
+        _line([_DELIVERED], 4, "successful_deliveries", won),
+        _line([_ATTEMPTS, _DELIVERED], 5, "ofd_unsuccessful",
+              F.when(F.col("section") == _ATTEMPTS, n).otherwise(-won)),
+        *attempt_lines,
+    ], attempt_labels + zeros)
+    return _zero_filled(lines, zeros).drop("week")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import holds, not_in, null_if_zero, present, ratio, to_number, to_wide
@@ -108,8 +108,8 @@ def resolution_time(issues: DataFrame, periods: list[Period], start, end) -> Dat
 def _share_within(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Percentage of each label within its group; issues without label count in the total."""
     counts = present(rows, *keys).groupBy(*keys, label).agg(F.count("issue_id").alias("issues"))
-    totals = counts.groupBy(*keys).agg(F.sum("issues").alias("total"))
-    return present(counts, label).join(totals, keys).select(
+    counts = counts.withColumn("total", F.sum("issues").over(Window.partitionBy(*keys)))
+    return present(counts, label).select(
         *keys, label, "issues", "total", ratio(100.0 * F.col("issues"), F.col("total")).alias("pct"))
 
 

@@ -36,18 +36,21 @@ def _reason_lists(bookings: DataFrame, *keys: str) -> DataFrame:
 
 
 def _exploded(lists: DataFrame) -> DataFrame:
-    return lists.where(F.col("bad_rating_reason").isNotNull()).withColumn(
-        "reason", F.explode(list_items(F.col("bad_rating_reason"))))
+    return lists.withColumn("reason", F.explode(list_items(F.col("bad_rating_reason"))))
+
+
+def _period_total(value: str, period: str):
+    """Total of the period over the small table of raw reason lists."""
+    return F.sum(value).over(Window.partitionBy(period))
 
 
 def reason_share(bookings: DataFrame, period: str = "booking_month",
                  statuses: list[str] | None = None) -> DataFrame:
     """Mentions of each bad-rating reason over all feedback of the period."""
     rows = bookings if statuses is None else bookings.where(F.col("status").isin(statuses))
-    lists = _reason_lists(present(rows, period), period)
-    feedback = lists.groupBy(period).agg(F.sum("_scored").alias("feedbacks"))
-    mentions = _exploded(lists).groupBy(period, "reason").agg(F.sum("_n").alias("mentions"))
-    return mentions.join(feedback, period).select(
+    lists = _reason_lists(present(rows, period), period).withColumn("feedbacks", _period_total("_scored", period))
+    mentions = _exploded(lists).groupBy(period, "reason", "feedbacks").agg(F.sum("_n").alias("mentions"))
+    return mentions.select(
         period, "reason", "mentions", "feedbacks", ratio(F.col("mentions"), F.col("feedbacks")).alias("share"))
 
 
@@ -78,12 +81,11 @@ def nps_weekly(bookings: DataFrame, period: str = "week") -> DataFrame:
 def reason_pct(bookings: DataFrame, reasons: list[str], period: str = "week", wide: bool = False) -> DataFrame:
     """Listed reasons as a percentage of all bookings of the period, split by sentiment."""
     rows = present(bookings, period).withColumn("nps_split", nps_split(F.col("nps")))
-    lists = _reason_lists(rows, period, "nps_split")
-    totals = lists.groupBy(period).agg(F.sum("_n").alias("requested"))
+    lists = _reason_lists(rows, period, "nps_split").withColumn("requested", _period_total("_n", period))
     mentions = (
         _exploded(lists).where(F.col("reason").isin(reasons))
-        .groupBy("nps_split", period, "reason").agg(F.sum("_n").alias("mentions")))
-    out = mentions.join(totals, period).select(
+        .groupBy("nps_split", period, "reason", "requested").agg(F.sum("_n").alias("mentions")))
+    out = mentions.select(
         "nps_split", period, "reason",
         ratio(F.col("mentions").cast("double"), F.col("requested") * 0.01).alias("pct"))
     return to_wide(out, ["nps_split", period], "reason", reasons, "pct") if wide else out

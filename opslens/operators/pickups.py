@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import differs, has_text, holds, long_metrics, not_in, null_if_zero, or_zero, ratio
+from ..functions.columns import (
+    bit_if, differs, has_bit, has_text, holds, label_bit, long_metrics, not_in, null_if_zero, or_zero, ratio,
+)
 from ..functions.labels import (
     CANCELLED_LATER, CANCELLED_STEPS, CREATION_LATER, CREATION_STEPS, FUNNEL_STATUSES, PICKUP_DONE_LATER,
     PICKUP_DONE_STEPS, PICKUP_KEPT_REASONS, PICKUP_REASON_RULES,
 )
 from ..functions.text import merge_prefix, normalise_reason, range_start
 from ..functions.times import hours, in_period, slot_label, slot_start
+from . import skew
 
 NOT_HOME = "not_available_at_the_address"
 NOT_HOME_SLOTS = [name for _, name in CANCELLED_STEPS] + [CANCELLED_LATER]
@@ -25,7 +28,7 @@ def visit_slot(visits: DataFrame) -> DataFrame:
     A visit that is neither done nor cancelled has no labels.
     """
     v = visits.withColumn("slot", slot_start(
-        F.date_format("requested_date", "yyyy-MM-dd"), range_start(F.col("requested_time"))))
+        F.to_date("requested_date"), range_start(F.col("requested_time"))))
     done, cancelled = F.col("visit_status") == "done", F.col("visit_status") == "cancelled"
     return v.withColumn(
         "updation_slot",
@@ -36,6 +39,14 @@ def visit_slot(visits: DataFrame) -> DataFrame:
         F.when(done | cancelled, slot_label(F.col("creation_time"), F.col("slot"), CREATION_STEPS, CREATION_LATER)))
 
 
+# Positions of the flags kept per booking.
+_HOME = len(PICKUP_KEPT_REASONS)
+_BEFORE = _HOME + len(NOT_HOME_SLOTS)
+_WITHIN = _BEFORE + 1
+_LATE = _WITHIN + 1
+_MADE = _LATE + len(LATE_SLOTS)
+
+
 def _booking_flags(visits: DataFrame) -> DataFrame:
     """Everything the funnel needs to know of a booking's visits, one row per booking.
 
@@ -44,21 +55,19 @@ def _booking_flags(visits: DataFrame) -> DataFrame:
     folded map-side.
     """
     done = F.col("visit_status") == "done"
-    reason, upd, slot = F.col("visit_cancel_reason"), F.col("updation_time"), F.col("slot")
-    late = done & (upd > slot + hours(2))
+    reason, late_by = F.col("visit_cancel_reason"), F.col("updation_time") - F.col("slot")
+    late = done & (late_by > hours(2))
     not_home = (F.col("visit_status") == "cancelled") & (reason == NOT_HOME)
-
-    def some(condition: Column, name: str) -> Column:
-        return F.bool_or(holds(condition)).alias(name)
-
+    flags = (
+        label_bit(reason, PICKUP_KEPT_REASONS, 0)
+        .bitwiseOR(bit_if(not_home, label_bit(F.col("updation_slot"), NOT_HOME_SLOTS, _HOME)))
+        .bitwiseOR(bit_if(done, F.when(late_by < hours(0), F.lit(1 << _BEFORE))
+                          .when(late_by <= hours(2), F.lit(1 << _WITHIN)).otherwise(F.lit(0))))
+        .bitwiseOR(bit_if(late, label_bit(F.col("updation_slot"), LATE_SLOTS, _LATE).bitwiseOR(
+            label_bit(F.col("creation_slot"), CREATION_SLOTS, _MADE)))))
     return visits.groupBy("booking_id").agg(
-        F.countDistinct("visit_cancel_reason").alias("reasons"),
-        *[some(reason == r, f"reason_{i}") for i, r in enumerate(PICKUP_KEPT_REASONS)],
-        *[some(not_home & (F.col("updation_slot") == s), f"home_{i}") for i, s in enumerate(NOT_HOME_SLOTS)],
-        some(done & (upd < slot), "before"),
-        some(done & (upd >= slot) & (upd <= slot + hours(2)), "within"),
-        *[some(late & (F.col("updation_slot") == s), f"late_{i}") for i, s in enumerate(LATE_SLOTS)],
-        *[some(late & (F.col("creation_slot") == s), f"made_{i}") for i, s in enumerate(CREATION_SLOTS)],
+        F.countDistinct(F.when(not_in(reason, PICKUP_KEPT_REASONS), reason)).alias("other_reasons"),
+        F.bit_or(flags).alias("flags"),
         F.count_if(holds(late & (F.col("creation_slot") == CREATION_LATER))).alias("late_made"))
 
 
@@ -80,16 +89,27 @@ def pickup_funnel(bookings: DataFrame, visits: DataFrame, start, end, city: str
 
     cpv, cause = F.col("cancelled_pickup_visits"), F.col("cancel_reason")
     idle = (F.col("status") == "cancelled") & not_in(cause, ["reschedule_stock_out", "stock_out"]) & (cpv == 0)
-    merged = merge_prefix(cause, "reschedule")
     named = ["customer_cancellation", "reschedule", "out_of_geographical_area"]
-    by_booking = asked.agg(
+    # One fold of the bookings serves their counts, their reasons and the divisor.
+    folded_asked = skew.built_once(asked.groupBy(
+        "booking_id",
+        F.when(idle, merge_prefix(cause, "reschedule")).alias("cause"),
+        F.when(idle, F.col("booking_cancel_reason")).alias("metric"),
+        holds(has_text(cause, "stock_out") & (cpv == 0)).alias("stocked_out"),
+    ).agg(F.count("booking_id").alias("n_rows")))
+
+    def rows_where(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n_rows"))), F.lit(0)).alias(name)
+
+    by_booking = folded_asked.agg(
         F.countDistinct("booking_id").alias("requested"),
-        F.count_if(holds(idle & (merged == "reschedule"))).alias("reschedule"),
-        F.count_if(holds(idle & (merged == "out_of_geographical_area"))).alias("area"),
-        F.count_if(holds(idle & cause.isNotNull() & ~merged.isin(named))).alias("others"),
-        F.count_if(holds(has_text(cause, "stock_out") & (cpv == 0))).alias("pre_visit"))
-    by_reason = asked.where(idle & F.col("booking_cancel_reason").isNotNull()).groupBy(
-        F.col("booking_cancel_reason").alias("metric")).agg(F.count("booking_id").cast("double").alias("value"))
+        rows_where(F.col("cause") == "reschedule", "reschedule"),
+        rows_where(F.col("cause") == "out_of_geographical_area", "area"),
+        rows_where(~F.col("cause").isin(named), "others"),
+        rows_where(F.col("stocked_out"), "pre_visit"))
+    by_reason = folded_asked.groupBy("metric").agg(
+        F.sum(F.when(F.col("metric").isNotNull(), F.col("n_rows"))).cast("double").alias("value")
+    ).where(F.col("value") > 0)
 
     # Visits are folded to one row per booking before they meet the bookings.
     folded = _booking_flags(seen).join(known, "booking_id")
@@ -100,20 +120,23 @@ def pickup_funnel(bookings: DataFrame, visits: DataFrame, start, end, city: str
     def bookings_with(condition: Column, name: str) -> Column:
         return F.count_if(holds(condition)).alias(name)
 
+    def flagged(condition: Column, first: int, labels: list[str], name: str) -> list[Column]:
+        return [bookings_with(condition & has_bit(F.col("flags"), first + i), f"{name}_{i}")
+                for i in range(len(labels))]
+
+    always = F.lit(True)
     by_visit = folded.agg(
         bookings_with(stocked_out & differs(cpv, 0), "post_visit"),
         bookings_with(lost & (cpv >= 2), "ppvc2"),
         bookings_with(once, "ppvc1"),
-        F.sum(F.when(once, F.col("reasons"))).alias("reasons"),
-        *[bookings_with(once & F.col(f"reason_{i}"), f"reason_{i}") for i in range(len(PICKUP_KEPT_REASONS))],
-        *[bookings_with(once & F.col(f"home_{i}"), f"home_{i}") for i in range(len(NOT_HOME_SLOTS))],
-        bookings_with(F.col("before"), "before"),
-        bookings_with(F.col("within"), "within"),
-        *[bookings_with(F.col(f"late_{i}"), f"late_{i}") for i in range(len(LATE_SLOTS))],
-        *[bookings_with(F.col(f"made_{i}"), f"made_{i}") for i in range(len(CREATION_SLOTS))],
+        F.sum(F.when(once, F.col("other_reasons"))).alias("other_reasons"),
+        *flagged(once, 0, PICKUP_KEPT_REASONS, "reason"),
+        *flagged(once, _HOME, NOT_HOME_SLOTS, "home"),
+        *flagged(always, _BEFORE, ["before", "within"], "timely"),
+        *flagged(always, _LATE, LATE_SLOTS, "late"),
+        *flagged(always, _MADE, CREATION_SLOTS, "made"),
         F.sum(F.when(cpv == 0, F.col("late_made"))).alias("late_single"))
 
-    kept = sum((F.col(f"reason_{i}") for i in range(1, len(PICKUP_KEPT_REASONS))), F.col("reason_0"))
     shares = (
         long_metrics(by_booking, [], [
             (1, "requested", F.col("requested")),
@@ -121,6 +144,7 @@ def pickup_funnel(bookings: DataFrame, visits: DataFrame, start, end, city: str
             (2, "reschedule", F.col("reschedule")),
             (2, "others", F.col("others")),
             (4, "pre_visit_SO/RSO", F.col("pre_visit")),
+            (16, "Requested_abs", F.col("requested")),
         ])
         .unionByName(by_reason.select(F.lit(3).alias("ord"), "metric", "value"))
         .unionByName(long_metrics(by_visit, [], [
@@ -128,15 +152,15 @@ def pickup_funnel(bookings: DataFrame, visits: DataFrame, start, end, city: str
             (6, "ppvc2", F.col("ppvc2")),
             (7, "ppvc1", F.col("ppvc1")),
             *[(8, r, null_if_zero(F.col(f"reason_{i}"))) for i, r in enumerate(PICKUP_KEPT_REASONS)],
-            (9, "everything_else", or_zero(F.col("reasons")) - kept),
+            (9, "everything_else", or_zero(F.col("other_reasons"))),
             *[(10, s, null_if_zero(F.col(f"home_{i}"))) for i, s in enumerate(NOT_HOME_SLOTS)],
-            (11, "before_slot_pikcup", F.col("before")),  # spelled as in the report
-            (12, "within_slot_pickup", F.col("within")),
+            (11, "before_slot_pikcup", F.col("timely_0")),  # spelled as in the report
+            (12, "within_slot_pickup", F.col("timely_1")),
             *[(13, s, null_if_zero(F.col(f"late_{i}"))) for i, s in enumerate(LATE_SLOTS)],
             *[(14, s, null_if_zero(F.col(f"made_{i}"))) for i, s in enumerate(CREATION_SLOTS)],
             (15, "bookings_with_creation_time>t+1_single_visit", or_zero(F.col("late_single"))),
         ]))
     )
-    requested = by_booking.select("requested")
-    return shares.withColumn("value", ratio(F.col("value"), requested.scalar().cast("double"))).unionByName(
-        long_metrics(by_booking, [], [(16, "Requested_abs", F.col("requested"))]))
+    requested = folded_asked.agg(F.countDistinct("booking_id")).scalar().cast("double")
+    return shares.withColumn(
+        "value", F.when(F.col("ord") == 16, F.col("value")).otherwise(ratio(F.col("value"), requested)))

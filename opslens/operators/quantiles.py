@@ -10,8 +10,10 @@ from ..functions.columns import present
 # Whisker, box and tail points of the distribution reports.
 BOX_POINTS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p80": 0.80, "p90": 0.90}
 
-# Buckets the value range is cut into; only balance depends on it, not the result.
-BUCKETS = 256
+# Buckets the values are cut into: FAN coarse ones of FAN fine ones each. Only
+# the balance of the tasks depends on it, not the result.
+FAN = 16
+BUCKETS = FAN * FAN
 
 
 def distribution(df: DataFrame, keys: list[str], value: str,
@@ -29,16 +31,25 @@ def distribution(df: DataFrame, keys: list[str], value: str,
     """
     points = BOX_POINTS if points is None else points
     rows = present(df, *keys).select(*keys, F.col(value).cast("double").alias("_v"))
-    edges = rows.where(F.col("_v").isNotNull()).agg(
-        F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("edges"))
-    counted = F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Always true, but it keeps the histogram here the same as below, so that it is built once.
+    cuts = counts.where(F.col("_c") > 0).agg(
+        F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("_fine")
+    ).select(F.struct(
+        F.transform(F.sequence(F.lit(FAN), F.lit(BUCKETS - FAN), F.lit(FAN)),
+                    lambda i: F.get("_fine", i - 1)).alias("coarse"),
+        F.col("_fine").alias("fine")).alias("cuts"))
+
+    def passed(edges):
+        return F.size(F.filter(edges, lambda e: e <= F.col("_v")))
+
     hist = (
-        rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_edges", edges.scalar())
+        counts.withColumn("_cuts", cuts.scalar())
+        .withColumn("_coarse", FAN * passed(F.col("_cuts.coarse")))
         .withColumn("_bucket", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(
-            F.coalesce(F.size(F.filter("_edges", lambda e: e <= F.col("_v"))), F.lit(0))))
-        .drop("_edges")
-        .withColumn("_w", counted)
+            F.col("_coarse") + passed(F.slice("_cuts.fine", F.col("_coarse") + 1, F.lit(FAN - 1)))))
+        .drop("_cuts", "_coarse")
+        .withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0)))
     )
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,9 +63,11 @@ def distribution(df: DataFrame, keys: list[str], value: str,
                 F.sum("_bs").over(whole).alias("_sum"))
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # Every row finds its bucket. An inner join would say the same, but would have
+    # the optimizer test the bucket expression on every row below the histogram.
     ranked = (
         hist.withColumn("_upto", F.sum("_w").over(inside))
-        .join(buckets, [*keys, "_bucket"], "inner")
+        .join(buckets, [*keys, "_bucket"], "left")
         .withColumn("_hi", F.col("_offset") + F.col("_upto"))
         .withColumn("_lo", F.col("_hi") - F.col("_w"))
     )

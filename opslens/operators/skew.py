@@ -34,10 +34,29 @@ def heaviest(stats: DataFrame, key: str, count: str = "n_rows", floor: int = HEA
     return stats.where(F.col(count) > floor).orderBy(F.col(count).desc(), F.col(key)).limit(MAX_HEAVY_KEYS)
 
 
+def built_once(stats: DataFrame, count: str = "n_rows") -> DataFrame:
+    """Mark an aggregate that several later steps read.
+
+    The condition always holds, but names every column: the optimizer then
+    prunes no column from any of the uses, they stay the same plan, and Spark
+    builds the aggregate once and reuses its exchange.
+    """
+    return stats.where((F.col(count) > 0) | (F.xxhash64(*stats.columns) == 0))
+
+
 def key_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def zero_of(key: str) -> Column:
+    """0 for every key, as a column that depends on the key and is never null.
+
+    A literal would be folded out of the join keys, and a nullable column would
+    push a null test below the aggregate it is read from.
+    """
+    return F.xxhash64(key).bitwiseAND(F.lit(0).cast("bigint"))
+
+
 def attach(rows: DataFrame, stats: DataFrame, key: str, spread: Column,
            floor: int = HEAVY_ROWS) -> DataFrame:
     """Left join ``stats`` (one row per ``key``, with ``n_rows``) to ``rows``.
@@ -48,15 +67,12 @@ def attach(rows: DataFrame, stats: DataFrame, key: str, spread: Column,
     added = [c for c in stats.columns if c not in (key, "n_rows")]
     bundle = F.struct(*added)
     heavy = heaviest(stats, key, floor=floor).select(F.col(key).alias("_hk"), bundle.alias("_heavy"))
-    # The salt of the statistics side is 0 for every key, but depends on the key
-    # so that it is kept as a join key.
-    light = stats.select(F.col(key).alias("_lk"), F.pmod(F.xxhash64(key), F.lit(1)).alias("_lsalt"),
-                         bundle.alias("_light"))
+    light = stats.select(F.col(key).alias("_lk"), zero_of(key).alias("_lsalt"), bundle.alias("_light"))
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
     alone = F.col("_hk").isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(
         "_salt",
-        F.when(alone, F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(_SPREAD))).otherwise(F.lit(0)),
+        F.when(alone, F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(_SPREAD))).otherwise(F.lit(0)).cast("bigint"),
     )
     joined = marked.join(light, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_lsalt")), "left")
     found = F.coalesce(F.col("_heavy"), F.col("_light"))

@@ -107,7 +107,7 @@ def booking_dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def _visit_base() -> Column:
     """Day a booking was asked for, the same on all of its visits."""
-    return F.lit("1995-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("l_orderkey") % 2400).cast("int"))
+    return F.date_add(F.lit("1995-01-01").cast("date"), (F.col("l_orderkey") % 2400).cast("int")).cast("timestamp_ntz")
 
 
 def _half_hours(n: Column) -> Column:
