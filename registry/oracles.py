@@ -320,7 +320,7 @@ def _with(inputs: str, sql: str) -> str:
 def _box(inputs: str, source: str, keys: str, value: str) -> str:
     points = ", ".join(
         f"round(quantile_cont({value}, {q}), 6) AS p{int(round(q * 100))}" for q in (0.1, 0.25, 0.5, 0.75, 0.8, 0.9))
-    return _with(inputs, f"""SELECT {keys}, count(*) AS n, round(avg({value}), 6) AS mean, {points}
+    return _with(inputs, f"""SELECT {keys}, count(*) AS n, round(avg({value}), 9) AS mean, {points}
         FROM {source} GROUP BY {keys}""")
 
 

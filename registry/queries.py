@@ -81,7 +81,13 @@ def _requested_issues(spark, d):
     return I.with_requested_date(_issues(spark, d), A.bookings(spark, d))
 
 
-BOX = ["mean", "p10", "p25", "p50", "p75", "p80", "p90"]
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """Means are sums of inexact numbers in any order: nine digits leave no half to round either way."""
+    return rounded(rounded(df, "mean", digits=9), "p10", "p25", "p50", "p75", "p80", "p90")
+
+
 ENRICHED = [
     "booking_id", "phone", "status", "requested_date", "booking_month", "total_revenue", "amp",
     "customer_credits", "successful_bookings", "cohort_group", "acquisition_source", "customer_segment",
@@ -151,17 +157,17 @@ QUERIES: dict[str, Query] = {
         "call_id", "phone", "week", "callback_status", "callback_minutes"),
     "callback_kpis": lambda s, d: rounded(
         C.callback_kpis(_callbacks(s, d)), "missed_pct"),
-    "callback_distribution": lambda s, d: rounded(C.callback_distribution(_callbacks(s, d)), *BOX),
-    "handling_time": lambda s, d: rounded(C.handling_time(
-        _calls(s, d).withColumn("week", period_label(F.col("start_time"), EVENT_WEEKS))), *BOX),
+    "callback_distribution": lambda s, d: boxed(C.callback_distribution(_callbacks(s, d))),
+    "handling_time": lambda s, d: boxed(C.handling_time(
+        _calls(s, d).withColumn("week", period_label(F.col("start_time"), EVENT_WEEKS)))),
     "business_frt": lambda s, d: rounded(_frt(s, d), "first_response_min").select(
         "issue_id", "week", "created_at", "first_response_min"),
     "frt_kpis": lambda s, d: I.frt_kpis(I.sourced(_frt(s, d))),
-    "frt_distribution": lambda s, d: rounded(I.frt_distribution(I.sourced(_frt(s, d)), ["week"]), *BOX),
-    "frt_distribution_logistics": lambda s, d: rounded(I.frt_distribution(
-        I.owned_logistics(_frt(s, d), ["mumbai"], ["agent_3", "agent_7"]), ["l2_subtype", "week"]), *BOX),
-    "resolution_time": lambda s, d: rounded(
-        I.resolution_time(_issues(s, d), EVENT_WEEKS, "2024-01-01", "2024-02-28"), *BOX),
+    "frt_distribution": lambda s, d: boxed(I.frt_distribution(I.sourced(_frt(s, d)), ["week"])),
+    "frt_distribution_logistics": lambda s, d: boxed(I.frt_distribution(
+        I.owned_logistics(_frt(s, d), ["mumbai"], ["agent_3", "agent_7"]), ["l2_subtype", "week"])),
+    "resolution_time": lambda s, d: boxed(
+        I.resolution_time(_issues(s, d), EVENT_WEEKS, "2024-01-01", "2024-02-28")),
     "issue_share": lambda s, d: rounded(I.issue_share(_issues(s, d), EVENT_WEEKS), "pct"),
     "issue_share_wide": lambda s, d: rounded(I.issue_share_wide(
         I.issue_share(_issues(s, d), EVENT_WEEKS), ["W5", "W6", "W7", "W8"], "l2_subtype"), "W5", "W6", "W7", "W8"),
