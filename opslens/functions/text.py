@@ -20,12 +20,17 @@ def normalise_reason(col: Column, rules: list[tuple[str, str]]) -> Column:
     """Apply case-insensitive regex rules one after another.
 
     A rule that starts with ``.*`` can only begin at the start of a line, and
-    saying so spares the search from every later position.
+    saying so spares the search from every later position. The rules run inside
+    a one-item ``transform``, which Spark evaluates outside its generated code:
+    in line, they make the scan's loop too long for the JVM to compile.
     """
-    for pattern, replacement in rules:
-        anchored = "(?im)^" + pattern if pattern.startswith(".*") else "(?i)" + pattern
-        col = F.regexp_replace(col, anchored, replacement)
-    return col
+    def apply(value: Column) -> Column:
+        for pattern, replacement in rules:
+            anchored = "(?im)^" + pattern if pattern.startswith(".*") else "(?i)" + pattern
+            value = F.regexp_replace(value, anchored, replacement)
+        return value
+
+    return F.get(F.transform(F.array(col), apply), F.lit(0))
 
 
 def merge_prefix(col: Column, prefix: str) -> Column:

@@ -149,9 +149,12 @@ def latest_credits(bookings: DataFrame) -> DataFrame:
     return _per_customer(bookings, _credits_facts(), customer_credits=F.col("_latest_credits"))
 
 
-def duplicate_flag(bookings: DataFrame) -> DataFrame:
-    """Mark a booking 1 when its parent is a booking of the same customer and it was not a redo."""
-    known = present(bookings, "phone").select(
+def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Mark a booking 1 when its parent is a booking of the same customer and it was not a redo.
+
+    Parents are looked for in ``known``, by default the bookings themselves.
+    """
+    known = present(bookings if known is None else known, "phone").select(
         F.col("phone").alias("_p"), F.col("booking_id").alias("_b")).distinct()
     asks = F.col("parent_id").isNotNull() & F.col("rescheduled_redo").isNull()
     # Bookings that ask nothing probe with a value of their own, so that they
@@ -204,11 +207,11 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
 
     heavy = skew.heaviest(stats, "phone", floor=heavy_rows).select(
         F.col("phone").alias("_hp"), F.struct(*added).alias("_heavy"))
-    rows = duplicate_flag(rows).join(F.broadcast(heavy), F.col("phone") == F.col("_hp"), "left")
     is_heavy = F.col("_hp").isNotNull()
     leading = list(order_by[:-1])
     id_slice = F.floor(F.col("booking_id") / slice_ids)
-    rows = rows.withColumn("_slice", skew.slice_key(is_heavy, *[F.col(c) for c in leading], id_slice))
+    marked = rows.join(F.broadcast(heavy), F.col("phone") == F.col("_hp"), "left").withColumn(
+        "_slice", skew.slice_key(is_heavy, *[F.col(c) for c in leading], id_slice))
 
     # Only unsliced rows meet this side, so its slice name is '' for every customer.
     light = stats.select(F.col("phone").alias("_lp"),
@@ -216,7 +219,7 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
                          F.struct(*added).alias("_light"))
     order = [F.col(c).asc_nulls_last() for c in order_by]
     in_slice = Window.partitionBy("phone", "_slice").orderBy(*order)
-    numbered = rows.join(
+    numbered = duplicate_flag(marked, rows).join(
         light, (F.col("phone") == F.col("_lp")) & (F.col("_slice") == F.col("_ls")), "left",
     ).withColumn("_nr", F.row_number().over(in_slice))
 
@@ -224,7 +227,7 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
         *[F.col(f"_o_{c}").asc_nulls_last() for c in leading], "_o_id"
     ).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.where(is_heavy)
+        marked.where(is_heavy)
         .groupBy(F.col("phone").alias("_op"), F.col("_slice").alias("_os"),
                  *[F.col(c).alias(f"_o_{c}") for c in leading], id_slice.alias("_o_id"))
         .agg(F.count(F.lit(1)).alias("_c"))

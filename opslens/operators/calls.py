@@ -60,7 +60,7 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, heavy_rows: i
     is_heavy = F.col("_hp").isNotNull()
     epoch = seconds_between(moment("1970-01-01 00:00:00"), F.col("start_time"))
     rows = rows.join(F.broadcast(heavy), F.col("phone") == F.col("_hp"), "left").withColumn(
-        "_slice", F.when(is_heavy, F.floor(epoch / F.lit(slice_seconds)).cast("long")).otherwise(F.lit(-1)))
+        "_slice", F.when(is_heavy, F.floor(epoch / F.lit(slice_seconds)).cast("long")))
 
     inbound, outbound = F.col("direction") == "inbound", F.col("direction") == "outbound"
     missed, completed = holds(F.col("status") == "missed-call"), holds(F.col("status") == "completed")
@@ -92,7 +92,8 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, heavy_rows: i
         Window.unboundedPreceding, Window.unboundedFollowing))).withColumn(
         "_mark", F.max_by("call_id", latest).over(full))
 
-    carried = _chain_slices(rows.where(is_heavy), missed)
+    # The test is on the slice, a key of the windows, so that it is applied before they run.
+    carried = _chain_slices(rows.where(F.col("_slice").isNotNull()), missed)
     rows = rows.join(carried, (F.col("phone") == F.col("_cp")) & (F.col("_slice") == F.col("_cs")), "left")
     began_open = F.coalesce("_carry", F.lit(0)) == 1
     before = F.when(began_open, F.col("_before1")).otherwise(F.col("_before0"))

@@ -12,6 +12,7 @@ from ..functions.labels import (
 )
 from ..functions.text import relabel
 from ..functions.times import Period, clock_seconds, days, in_period, moment, period_label
+from . import skew
 from .quantiles import distribution
 
 # Business hours and the closed minutes between two business days.
@@ -136,10 +137,11 @@ def unexplained_pickups(issues: DataFrame, periods: list[Period]) -> DataFrame:
         & (relabel(F.col("l3_subtype"), PICKUP_L3_MAP) == "Others"))
 
 
-def with_requested_date(issues: DataFrame, bookings: DataFrame) -> DataFrame:
+def with_requested_date(issues: DataFrame, bookings: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
     """Issues of known bookings with the booking's requested date."""
-    dates = bookings.select(F.col("booking_id").alias("_b"), "requested_date")
-    return issues.join(dates, F.col("booking_id") == F.col("_b"), "inner").drop("_b")
+    dates = bookings.select("booking_id", "requested_date", F.lit(True).alias("_known"))
+    found = skew.lookup(present(issues, "booking_id"), dates, "booking_id", F.col("issue_id"), floor=heavy_rows)
+    return found.where(F.col("_known")).drop("_known")
 
 
 def issue_share_by_request(issues: DataFrame, periods: list[Period], start=None, end=None) -> DataFrame:

@@ -64,16 +64,27 @@ def attach(rows: DataFrame, stats: DataFrame, key: str, spread: Column,
     ``spread`` is any column that differs between the rows of one key. The
     columns of ``stats`` other than the key and ``n_rows`` are added.
     """
-    added = [c for c in stats.columns if c not in (key, "n_rows")]
+    return _salted_join(rows, stats, heaviest(stats, key, floor=floor), key, spread)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, floor: int = HEAVY_ROWS) -> DataFrame:
+    """Left join ``table`` (one row per ``key``) to ``rows`` whose counts per key are not known yet."""
+    often = heaviest(key_counts(rows, key), key, floor=floor).select(F.col(key).alias("_often"))
+    heavy = table.join(F.broadcast(often), F.col(key) == F.col("_often"), "inner").drop("_often")
+    return _salted_join(rows, table, heavy, key, spread)
+
+
+def _salted_join(rows: DataFrame, table: DataFrame, heavy: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Rows of the ``heavy`` keys take their columns from a broadcast and are spread over the shuffle."""
+    added = [c for c in table.columns if c not in (key, "n_rows")]
     bundle = F.struct(*added)
-    heavy = heaviest(stats, key, floor=floor).select(F.col(key).alias("_hk"), bundle.alias("_heavy"))
-    light = stats.select(F.col(key).alias("_lk"), zero_of(key).alias("_lsalt"), bundle.alias("_light"))
-    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
+    few = heavy.select(F.col(key).alias("_hk"), bundle.alias("_heavy"))
+    light = table.select(F.col(key).alias("_lk"), zero_of(key).alias("_lsalt"), bundle.alias("_light"))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hk"), "left")
     alone = F.col("_hk").isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(
         "_salt",
-        F.when(alone, F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(_SPREAD))).otherwise(F.lit(0)).cast("bigint"),
-    )
+        F.when(alone, F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(_SPREAD))).otherwise(F.lit(0)).cast("bigint"))
     joined = marked.join(light, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_lsalt")), "left")
     found = F.coalesce(F.col("_heavy"), F.col("_light"))
     return joined.select(*rows.columns, *[found[c].alias(c) for c in added])

@@ -110,7 +110,7 @@ INPUTS = {
       CASE WHEN s.rescheduled_redo IS NULL AND EXISTS (SELECT 1 FROM success p
            WHERE p.phone = s.phone AND p.booking_id = s.parent_id) THEN 1 END AS duplicate_booking,
       CASE WHEN s.nr = 1 THEN 'first_booking' ELSE 'repeat_booking' END AS new_repeat,
-      s.nps, s.feedback
+      s.nps, s.feedback, s.customer_name, s.email, s.locality, s.city
     FROM numbered s JOIN numbered f ON f.phone = s.phone AND f.nr = 1
     JOIN numbered l ON l.phone = s.phone AND l.rev = 1
     JOIN segments g ON g.phone = s.phone JOIN ratings r ON r.phone = s.phone""",
@@ -586,7 +586,7 @@ ORACLES = {
     "duplicate_flag": _with("bookings", """SELECT booking_id, phone, parent_id,
         CASE WHEN rescheduled_redo IS NULL AND EXISTS (SELECT 1 FROM bookings p
              WHERE p.phone = b.phone AND p.booking_id = b.parent_id) THEN 1 END AS duplicate_booking FROM bookings b"""),
-    "enrich_customers": _with("enriched", "SELECT * EXCLUDE (feedback) FROM enriched"),
+    "enrich_customers": _with("enriched", "SELECT * EXCLUDE (feedback, customer_name, email, locality, city) FROM enriched"),
     "booking_count_dump_order": _with("success", """SELECT booking_id, phone,
         row_number() OVER (PARTITION BY phone ORDER BY booking_id)::INT AS booking_count FROM success"""),
     "nps_by_month": _with("bookings", _nps("booking_month", "bookings", _COMPLETED)),
@@ -693,12 +693,12 @@ ORACLES = {
     "core_customers": _core("gap < CASE WHEN dc THEN 60 ELSE 20 END AND n > 1"),
     "core_customers_as_reported": _core("NOT dc AND gap < 20 AND n > 1"),
     "customer_profile": _profile(),
-    "marketing_master": _with("segments:bookings", f"""SELECT b.phone, {_first('customer_name')} AS customer_name,
+    "marketing_master": _with("enriched", f"""SELECT b.phone, {_first('customer_name')} AS customer_name,
         {_first('email')} AS email, {_first('locality')} AS locality, {_first('city')} AS city,
         {_first('rating')} AS rating, {_first('customer_credits')} AS customer_credits,
-        any_value(s.customer_segment) AS customer_segment, round(avg(feedback), 6) AS avg_feedback,
+        {_first('customer_segment')} AS customer_segment, round(avg(feedback), 6) AS avg_feedback,
         count(requested_date) AS total_bookings, max(requested_date) AS last_booking_date, {_IDLE_FLAGS}
-        FROM bookings b JOIN segments s ON s.phone = b.phone GROUP BY b.phone"""),
+        FROM enriched b GROUP BY b.phone"""),
     "leads_without_bookings": _with("bookings leads", """SELECT DISTINCT number, name, segment FROM leads l
         WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.status IS DISTINCT FROM 'cancelled'
                           AND b.phone IS NOT DISTINCT FROM l.number)"""),

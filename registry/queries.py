@@ -186,9 +186,8 @@ QUERIES: dict[str, Query] = {
     "customer_profile": lambda s, d: rounded(
         U.customer_profile(A.bookings(s, d), "2002-01-01"),
         *[f"{m}{x}" for m in U.PROFILE_METRICS for x in ("", "_lo", "_hi")]),
-    "marketing_master": lambda s, d: rounded(U.marketing_master(
-        _priced(s, d).join(B.customer_segment(A.bookings(s, d)), "phone", "left"), as_of="2001-08-15"),
-        "avg_feedback"),
+    "marketing_master": lambda s, d: rounded(
+        U.marketing_master(_enriched(s, d), as_of="2001-08-15"), "avg_feedback"),
     "leads_without_bookings": lambda s, d: U.leads_without_bookings(A.leads(s, d), A.bookings(s, d)),
     "courier_productivity": lambda s, d: R.courier_productivity(A.bookings(s, d), "1998-07"),
     "courier_extract": lambda s, d: R.courier_extract(

@@ -166,3 +166,14 @@ def test_issue_shares_sum_to_the_labelled_part(spark):
     shares = I.issue_share(I.prepare_issues(A.issues(spark, "/root/testdata/sf0.001")), weeks)
     for r in shares.groupBy("l2_subtype", "week").agg(F.sum("issues").alias("n"), F.max("total").alias("t"), F.sum("pct").alias("p")).collect():
         assert r.n <= r.t and r.p == pytest.approx(100.0 * r.n / r.t)
+
+
+@pytest.mark.parametrize("heavy", [0, 10**6])
+def test_requested_date_of_known_bookings_only(spark, heavy):
+    issues = frame(spark, "issue_id bigint, booking_id bigint", [
+        {"issue_id": i, "booking_id": 1 if i % 2 else i} for i in range(2, 12)] + [{"issue_id": 99}])
+    bookings = frame(spark, "booking_id bigint, requested_date timestamp_ntz", [
+        {"booking_id": 1, "requested_date": ts("2016-01-01")}, {"booking_id": 4, "requested_date": ts("2016-01-04")}, {"booking_id": 6}])
+    got = by(I.with_requested_date(issues, bookings, heavy_rows=heavy), "issue_id")
+    assert {k: v["requested_date"] for k, v in got.items()} == {
+        **{i: ts("2016-01-01") for i in (3, 5, 7, 9, 11)}, 4: ts("2016-01-04"), 6: None}
