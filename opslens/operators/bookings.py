@@ -149,23 +149,21 @@ def latest_credits(bookings: DataFrame) -> DataFrame:
     return _per_customer(bookings, _credits_facts(), customer_credits=F.col("_latest_credits"))
 
 
-def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None,
+                   heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
     """Mark a booking 1 when its parent is a booking of the same customer and it was not a redo.
 
-    Parents are looked for in ``known``, by default the bookings themselves.
+    Parents are looked for in ``known``, by default the bookings themselves;
+    ``booking_id`` is unique in it. Bookings that name no parent, or one that
+    very many others name, are spread over the shuffle.
     """
-    known = present(bookings if known is None else known, "phone").select(
-        F.col("phone").alias("_p"), F.col("booking_id").alias("_b")).distinct()
-    asks = F.col("parent_id").isNotNull() & F.col("rescheduled_redo").isNull()
-    # Bookings that ask nothing probe with a value of their own, so that they
-    # spread over the shuffle, and are kept from matching by ``asks``.
-    probed = bookings.withColumn("_asks", asks).withColumn(
-        "_probe", F.when(F.col("_asks"), F.col("parent_id")).otherwise(-1 - F.col("booking_id")))
-    joined = probed.join(
-        known, F.col("_asks") & (F.col("phone") == F.col("_p")) & (F.col("_probe") == F.col("_b")), "left")
-    return joined.select(
+    parents = present(bookings if known is None else known, "phone").select(
+        F.col("booking_id").alias("_parent"), F.col("phone").alias("_parent_phone"))
+    asking = bookings.withColumn("_parent", F.when(F.col("rescheduled_redo").isNull(), F.col("parent_id")))
+    found = skew.lookup(asking, parents, "_parent", F.col("booking_id"), floor=heavy_rows)
+    return found.select(
         *bookings.columns,
-        F.when(F.col("_b").isNotNull(), F.lit(1)).alias("duplicate_booking"))
+        F.when(F.col("phone") == F.col("_parent_phone"), F.lit(1)).alias("duplicate_booking"))
 
 
 def booking_months(bookings: DataFrame) -> DataFrame:
@@ -219,7 +217,7 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
                          F.struct(*added).alias("_light"))
     order = [F.col(c).asc_nulls_last() for c in order_by]
     in_slice = Window.partitionBy("phone", "_slice").orderBy(*order)
-    numbered = duplicate_flag(marked, rows).join(
+    numbered = duplicate_flag(marked, rows, heavy_rows).join(
         light, (F.col("phone") == F.col("_lp")) & (F.col("_slice") == F.col("_ls")), "left",
     ).withColumn("_nr", F.row_number().over(in_slice))
 

@@ -78,15 +78,15 @@ def _salted_join(rows: DataFrame, table: DataFrame, heavy: DataFrame, key: str,
     """Rows of the ``heavy`` keys take their columns from a broadcast and are spread over the shuffle."""
     added = [c for c in table.columns if c not in (key, "n_rows")]
     bundle = F.struct(*added)
-    few = heavy.select(F.col(key).alias("_hk"), bundle.alias("_heavy"))
-    light = table.select(F.col(key).alias("_lk"), zero_of(key).alias("_lsalt"), bundle.alias("_light"))
-    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hk"), "left")
-    alone = F.col("_hk").isNotNull() | F.col(key).isNull()
+    few = heavy.select(F.col(key).alias("_sj_few_key"), bundle.alias("_sj_few"))
+    light = table.select(F.col(key).alias("_sj_key"), zero_of(key).alias("_sj_zero"), bundle.alias("_sj_light"))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_sj_few_key"), "left")
+    alone = F.col("_sj_few_key").isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(
-        "_salt",
+        "_sj_salt",
         F.when(alone, F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(_SPREAD))).otherwise(F.lit(0)).cast("bigint"))
-    joined = marked.join(light, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_lsalt")), "left")
-    found = F.coalesce(F.col("_heavy"), F.col("_light"))
+    joined = marked.join(light, (F.col(key) == F.col("_sj_key")) & (F.col("_sj_salt") == F.col("_sj_zero")), "left")
+    found = F.coalesce(F.col("_sj_few"), F.col("_sj_light"))
     return joined.select(*rows.columns, *[found[c].alias(c) for c in added])
 
 
