@@ -38,11 +38,6 @@ def merge_prefix(col: Column, prefix: str) -> Column:
     return F.regexp_replace(col, f"^{prefix}.*", prefix)
 
 
-def keep_or(col: Column, kept: list[str], rest: str) -> Column:
-    """Listed labels stay, every other label becomes ``rest``; null stays null."""
-    return F.when(col.isin(kept), col).when(col.isNotNull(), F.lit(rest))
-
-
 def list_items(col: Column) -> Column:
     """A comma list as an array, items not trimmed."""
     return F.split(col, ",")

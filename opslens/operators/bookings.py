@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_text, holds, nps_score, or_zero, positive_or_zero, present
+from ..functions.columns import holds, nps_score, or_zero, positive_or_zero, present
 from ..functions.labels import REVENUE_BANDS, SUCCESS_STATUSES
 from ..functions.times import month_of
 from . import skew
@@ -166,13 +166,6 @@ def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None,
         F.when(F.col("phone") == F.col("_parent_phone"), F.lit(1)).alias("duplicate_booking"))
 
 
-def booking_months(bookings: DataFrame) -> DataFrame:
-    """Cohort month and booking count per customer."""
-    return _per_customer(
-        bookings, [_first_booking("booking_month").alias("_m"), F.count("requested_date").alias("_n")],
-        cohort_group=F.col("_m"), successful_bookings=F.col("_n"))
-
-
 def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES,
                      order_by: tuple[str, ...] = ("requested_date", "booking_id"),
                      threshold: float = 0.1, heavy_rows: int = skew.HEAVY_ROWS,

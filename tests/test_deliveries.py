@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from opslens.operators import deliveries as D
 from opslens.operators import pickups as P
