@@ -168,13 +168,14 @@ def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None,
 
 def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES,
                      order_by: tuple[str, ...] = ("requested_date", "booking_id"),
-                     threshold: float = 0.1, heavy_rows: int = skew.HEAVY_ROWS,
-                     slice_ids: int = SLICE_IDS) -> DataFrame:
+                     threshold: float = 0.1, duplicates: bool = True,
+                     heavy_rows: int = skew.HEAVY_ROWS, slice_ids: int = SLICE_IDS) -> DataFrame:
     """Successful bookings with their customer's cohort, source, segment, rating and so on.
 
     Takes the output of ``with_revenue``. ``order_by`` numbers a customer's
     bookings and must end with ``booking_id``; ``("booking_id",)`` numbers them
-    in dump order.
+    in dump order. Without ``duplicates`` the duplicate flag and its join are
+    left out, which is all the cohort and customer reports need.
 
     The wide rows are shuffled once for all customer columns (statistics join,
     numbering) and once for the duplicate test. A customer with more than
@@ -210,7 +211,8 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
                          F.struct(*added).alias("_light"))
     order = [F.col(c).asc_nulls_last() for c in order_by]
     in_slice = Window.partitionBy("phone", "_slice").orderBy(*order)
-    numbered = duplicate_flag(marked, rows, heavy_rows).join(
+    flagged = duplicate_flag(marked, rows, heavy_rows) if duplicates else marked
+    numbered = flagged.join(
         light, (F.col("phone") == F.col("_lp")) & (F.col("_slice") == F.col("_ls")), "left",
     ).withColumn("_nr", F.row_number().over(in_slice))
 
@@ -242,7 +244,7 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
         found["only_dc"].alias("only_dc"),
         (F.col("_nr") + F.coalesce("_before", F.lit(0))).cast("int").alias("booking_count"),
         found["rating"].alias("rating"),
-        "duplicate_booking",
+        *(["duplicate_booking"] if duplicates else []),
         F.when(F.col("booking_id") == found["_first_id"], "first_booking")
         .otherwise("repeat_booking").alias("new_repeat"),
         nps_score(F.col("feedback")).alias("nps"),

@@ -48,7 +48,8 @@ def _priced(spark, d):
 
 
 def _enriched(spark, d):
-    return B.enrich_customers(_priced(spark, d))
+    """Enriched bookings for the reports that do not look at duplicates."""
+    return B.enrich_customers(_priced(spark, d), duplicates=False)
 
 
 def _scored(spark, d):
@@ -117,9 +118,9 @@ QUERIES: dict[str, Query] = {
     "latest_credits": lambda s, d: B.latest_credits(A.bookings(s, d)),
     "duplicate_flag": lambda s, d: B.duplicate_flag(A.bookings(s, d)).select(
         "booking_id", "phone", "parent_id", "duplicate_booking"),
-    "enrich_customers": lambda s, d: _enriched(s, d).select(ENRICHED),
+    "enrich_customers": lambda s, d: B.enrich_customers(_priced(s, d)).select(ENRICHED),
     "booking_count_dump_order": lambda s, d: B.enrich_customers(
-        _priced(s, d), order_by=("booking_id",)).select("booking_id", "phone", "booking_count"),
+        _priced(s, d), order_by=("booking_id",), duplicates=False).select("booking_id", "phone", "booking_count"),
     "nps_by_month": lambda s, d: rounded(N.nps_summary(_scored(s, d), ["booking_month"], COMPLETED_STATUSES), "mean"),
     "nps_by_month_city": lambda s, d: rounded(
         N.nps_summary(_scored(s, d), ["booking_month", "city"], COMPLETED_STATUSES), "mean"),
