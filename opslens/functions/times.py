@@ -10,10 +10,6 @@ from pyspark.sql import types as T
 
 Period = tuple[str, "str | dt.date", "str | dt.date"]
 
-# Beyond this many periods a literal array is searched instead of a CASE chain.
-MAX_CASE_PERIODS = 8
-
-
 def moment(value) -> Column:
     """A zone-free timestamp literal from a date, a datetime or ISO text."""
     return F.lit(str(value)).cast("timestamp_ntz")
@@ -71,17 +67,13 @@ def period_label(col: Column, periods: list[Period], default: str | None = None,
     if default is None:
         *periods, last = periods
         default = last[0]
-    if len(periods) <= MAX_CASE_PERIODS:
-        label = F.lit(default)
-        for name, start, end in reversed(periods):
-            label = F.when(in_period(col, start, end, end_days), F.lit(name)).otherwise(label)
-        return label
-    table = F.array(*[
-        F.struct(F.lit(n).alias("label"), moment(s).alias("lo"), (moment(e) + days(end_days)).alias("hi"))
-        for n, s, e in periods
-    ])
-    hits = F.filter(table, lambda p: (p["lo"] <= col) & (col <= p["hi"]))
-    return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(default))
+    if not periods:
+        return F.lit(default)
+    (name, start, end), *rest = periods
+    label = F.when(in_period(col, start, end, end_days), F.lit(name))
+    for name, start, end in rest:
+        label = label.when(in_period(col, start, end, end_days), F.lit(name))
+    return label.otherwise(F.lit(default))
 
 
 def weekly_periods(start: dt.date, count: int, first: int = 1, length: int = 7) -> list[Period]:

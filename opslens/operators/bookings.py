@@ -154,16 +154,16 @@ def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None,
     """Mark a booking 1 when its parent is a booking of the same customer and it was not a redo.
 
     Parents are looked for in ``known``, by default the bookings themselves;
-    ``booking_id`` is unique in it. Bookings that name no parent, or one that
-    very many others name, are spread over the shuffle.
+    a ``booking_id`` that is listed twice there counts once. Bookings that name
+    no parent, or one that very many others name, are spread over the shuffle.
     """
-    parents = present(bookings if known is None else known, "phone").select(
-        F.col("booking_id").alias("_parent"), F.col("phone").alias("_parent_phone"))
+    parents = present(bookings if known is None else known, "phone", "booking_id").groupBy(
+        F.col("booking_id").alias("_parent")).agg(F.collect_set("phone").alias("_parent_phones"))
     asking = bookings.withColumn("_parent", F.when(F.col("rescheduled_redo").isNull(), F.col("parent_id")))
     found = skew.lookup(asking, parents, "_parent", F.col("booking_id"), floor=heavy_rows)
     return found.select(
         *bookings.columns,
-        F.when(F.col("phone") == F.col("_parent_phone"), F.lit(1)).alias("duplicate_booking"))
+        F.when(F.array_contains("_parent_phones", F.col("phone")), F.lit(1)).alias("duplicate_booking"))
 
 
 def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES,

@@ -36,7 +36,8 @@ def courier_productivity(bookings: DataFrame, month: str, statuses: list[str] =
 def courier_extract(bookings: DataFrame, month: str, delivery_by: list[str], pickup_by: list[str]) -> DataFrame:
     """Bookings handled by the listed couriers, one output row per (role, courier).
 
-    Deliveries are limited to the month they were scheduled for; pickups are not.
+    Deliveries are limited to the month they were scheduled for, and say the day;
+    pickups are not.
     Write it with ``sinks.write_by_group(df, path, ["role", "courier"])``.
     """
     rows = (
@@ -50,4 +51,10 @@ def courier_extract(bookings: DataFrame, month: str, delivery_by: list[str], pic
     roles = F.array_compact(F.array(
         F.when(delivered, F.struct(F.lit("delivery").alias("role"), F.col("delivery_by").alias("courier"))),
         F.when(picked, F.struct(F.lit("pickup").alias("role"), F.col("pickup_by").alias("courier")))))
-    return rows.select("*", F.inline(roles))
+    day = F.when(F.col("role") == "delivery", F.to_date("delivery_scheduled_time"))
+    return rows.select("*", F.inline(roles)).withColumn("delivery_date", day)
+
+
+def first_rows(report: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """The first rows of a report in the given order."""
+    return report.orderBy(*order).limit(n)

@@ -106,7 +106,10 @@ def _match_stamps(visits: DataFrame, stamps: DataFrame, heavy_rows: int, heavy_v
             (s["at"] + 1).alias("at"), F.concat(s["pairs"], F.array(pair)).alias("pairs"))).otherwise(s)
 
     pairs = begun.select("booking_id", F.explode(F.aggregate("_v", begin, take)["pairs"]).alias("_pair"))
-    return pairs.groupBy("booking_id").agg(F.map_from_entries(F.collect_list("_pair")).alias("_taken"))
+    # A visit id listed twice in a booking can take two stamps; the earlier one stands.
+    taken = pairs.groupBy("booking_id", "_pair.visit_id").agg(F.min("_pair.stamp").alias("stamp"))
+    return taken.groupBy("booking_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("visit_id", "stamp"))).alias("_taken"))
 
 
 def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int = skew.HEAVY_ROWS,

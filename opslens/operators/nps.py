@@ -39,16 +39,17 @@ def _exploded(lists: DataFrame) -> DataFrame:
     return lists.withColumn("reason", F.explode(list_items(F.col("bad_rating_reason"))))
 
 
-def _period_total(value: str, period: str):
-    """Total of the period over the small table of raw reason lists."""
-    return F.sum(value).over(Window.partitionBy(period))
+def _with_total(lists: DataFrame, value: str, period: str, name: str) -> DataFrame:
+    """Adds the total of each period: an aggregate with one row per period, joined back."""
+    total = lists.groupBy(period).agg(F.sum(value).alias(name))
+    return lists.join(total, period)
 
 
 def reason_share(bookings: DataFrame, period: str = "booking_month",
                  statuses: list[str] | None = None) -> DataFrame:
     """Mentions of each bad-rating reason over all feedback of the period."""
     rows = bookings if statuses is None else bookings.where(F.col("status").isin(statuses))
-    lists = _reason_lists(present(rows, period), period).withColumn("feedbacks", _period_total("_scored", period))
+    lists = _with_total(_reason_lists(present(rows, period), period), "_scored", period, "feedbacks")
     mentions = _exploded(lists).groupBy(period, "reason", "feedbacks").agg(F.sum("_n").alias("mentions"))
     return mentions.select(
         period, "reason", "mentions", "feedbacks", ratio(F.col("mentions"), F.col("feedbacks")).alias("share"))
@@ -81,7 +82,7 @@ def nps_weekly(bookings: DataFrame, period: str = "week") -> DataFrame:
 def reason_pct(bookings: DataFrame, reasons: list[str], period: str = "week", wide: bool = False) -> DataFrame:
     """Listed reasons as a percentage of all bookings of the period, split by sentiment."""
     rows = present(bookings, period).withColumn("nps_split", nps_split(F.col("nps")))
-    lists = _reason_lists(rows, period, "nps_split").withColumn("requested", _period_total("_n", period))
+    lists = _with_total(_reason_lists(rows, period, "nps_split"), "_n", period, "requested")
     mentions = (
         _exploded(lists).where(F.col("reason").isin(reasons))
         .groupBy("nps_split", period, "reason", "requested").agg(F.sum("_n").alias("mentions")))

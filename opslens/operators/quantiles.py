@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,12 @@ from ..functions.columns import present
 # Whisker, box and tail points of the distribution reports.
 BOX_POINTS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p80": 0.80, "p90": 0.90}
 
-# Buckets the values are cut into: FAN coarse ones of FAN fine ones each. Only
-# the balance of the tasks depends on it, not the result.
+# Least number of coarse buckets, and of fine ones in each.
 FAN = 16
-BUCKETS = FAN * FAN
 
 
 def distribution(df: DataFrame, keys: list[str], value: str,
-                 points: dict[str, float] | None = None) -> DataFrame:
+                 points: dict[str, float] | None = None, fan: int | None = None) -> DataFrame:
     """Rows, mean and linearly interpolated quantiles of ``value`` per ``keys``.
 
     ``n`` counts every row of the group, also those without a value; the mean
@@ -27,16 +27,21 @@ def distribution(df: DataFrame, keys: list[str], value: str,
     task, and the groups here (a week, a label) may hold most rows. Instead the
     histogram is pre-aggregated map-side, cut into buckets at approximate
     quantiles of the whole column, and ranked bucket by bucket; the rows before
-    a bucket come from a table with at most ``BUCKETS + 2`` rows per group.
+    a bucket come from a table with at most ``fan * fan + 2`` rows per group.
+    ``fan * fan`` is at least the session's number of shuffle partitions, so
+    the buckets keep up with the cluster; the result does not depend on it.
     """
+    if fan is None:
+        fan = max(FAN, math.ceil(math.sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    n_buckets = fan * fan
     points = BOX_POINTS if points is None else points
     rows = present(df, *keys).select(*keys, F.col(value).cast("double").alias("_v"))
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     # Always true, but it keeps the histogram here the same as below, so that it is built once.
     cuts = counts.where(F.col("_c") > 0).agg(
-        F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("_fine")
+        F.percentile_approx("_v", [i / n_buckets for i in range(1, n_buckets)], 4 * n_buckets).alias("_fine")
     ).select(F.struct(
-        F.transform(F.sequence(F.lit(FAN), F.lit(BUCKETS - FAN), F.lit(FAN)),
+        F.transform(F.sequence(F.lit(fan), F.lit(n_buckets - fan), F.lit(fan)),
                     lambda i: F.get("_fine", i - 1)).alias("coarse"),
         F.col("_fine").alias("fine")).alias("cuts"))
 
@@ -45,9 +50,9 @@ def distribution(df: DataFrame, keys: list[str], value: str,
 
     hist = (
         counts.withColumn("_cuts", cuts.scalar())
-        .withColumn("_coarse", FAN * passed(F.col("_cuts.coarse")))
+        .withColumn("_coarse", fan * passed(F.col("_cuts.coarse")))
         .withColumn("_bucket", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(
-            F.col("_coarse") + passed(F.slice("_cuts.fine", F.col("_coarse") + 1, F.lit(FAN - 1)))))
+            F.col("_coarse") + passed(F.slice("_cuts.fine", F.col("_coarse") + 1, F.lit(fan - 1)))))
         .drop("_cuts", "_coarse")
         .withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0)))
     )

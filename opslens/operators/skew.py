@@ -3,8 +3,7 @@
 Two patterns cover every operator here:
 
 * ``attach`` joins one-row-per-key statistics back to the rows. Rows of the few
-  largest keys take theirs from a broadcast of at most ``MAX_HEAVY_KEYS`` rows
-  and are spread over the shuffle, so they never meet in one partition.
+  largest keys take theirs from a broadcast and are spread over the shuffle, so they never meet in one partition.
 * ``slice_key`` cuts an ordered group of an oversized key into consecutive
   slices. An operator works slice by slice and carries what it needs from one
   slice into the next through a table with one row per slice.
@@ -17,21 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound of any broadcast made here, in rows.
-MAX_HEAVY_KEYS = 1000
-
-# A key with no more rows than this fits one task comfortably.
+# A key with no more rows than this fits one task comfortably. So a broadcast made
+# here has at most one row per million rows of data.
 HEAVY_ROWS = 1_000_000
 
 _SPREAD = 1 << 16
 
 
 def heaviest(stats: DataFrame, key: str, count: str = "n_rows", floor: int = HEAVY_ROWS) -> DataFrame:
-    """The largest keys above ``floor`` rows, at most ``MAX_HEAVY_KEYS`` of them.
-
-    A key that is left out holds less than a thousandth of all rows.
-    """
-    return stats.where(F.col(count) > floor).orderBy(F.col(count).desc(), F.col(key)).limit(MAX_HEAVY_KEYS)
+    """All keys above ``floor`` rows, at most the number of all rows over ``floor``."""
+    return stats.where(F.col(count) > floor)
 
 
 def built_once(stats: DataFrame, count: str = "n_rows") -> DataFrame:

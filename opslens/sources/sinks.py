@@ -17,10 +17,10 @@ def write_by_group(df: DataFrame, path: str, keys: list[str], fmt: str = "parque
                    mode: str = "overwrite") -> None:
     """One folder per value of ``keys``.
 
-    Every task writes its rows to the folders they belong to, so a large group
-    is written by many tasks and nothing is shuffled for the write.
+    The rows are rebalanced on the keys first: a small group is written by one
+    task, a large one is split among several by its size.
     """
-    writer = df.write.mode(mode).partitionBy(*keys)
+    writer = df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 

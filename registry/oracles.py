@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from opslens.operators.customers import INACTIVE_DAYS, PROFILE_METRICS
 
-from .queries import EVENT_WEEKS, MONTHS_1998, SNAPSHOTS, STEP_START, YEARS
+from .queries import EVENT_WEEKS, MONTHS, SNAPSHOTS, STEP_START, YEARS
 
 S1, S2 = "unsatisfactory_customer_support_on_call_email", "overall_service_took_more_time_than_promised"
 Q1, Q2 = "unsatisfactory_quality_iron_packaging", "unsatisfactory_quality_wash_dry_clean"
@@ -359,7 +359,7 @@ def _matrix(source: str, keys: str, cohort: str, revenue: str) -> str:
 
 
 _MONTHS = ", ".join(
-    f"max(users) FILTER (booking_month = '{m}') AS \"{m}\"" for m in MONTHS_1998)
+    f"max(users) FILTER (booking_month = '{m}') AS \"{m}\"" for m in MONTHS)
 
 _KEPT = ["not_opening_the_door", "unfavourable_weather_conditions", "not_able_to_locate_the_address", "Others ",
          "not_available_at_the_address"]
@@ -710,15 +710,24 @@ ORACLES = {
                 count(*) AS deliveries FROM done
               WHERE strftime(delivery_scheduled_time, '%Y-%m') = '1998-07' GROUP BY ALL)
         SELECT sp, date, pickups, deliveries FROM p FULL JOIN q USING (sp, date)"""),
+    "courier_first_rows": _with("bookings", """,
+        done AS (SELECT * FROM bookings WHERE status IN ('closed', 'service_complete', 'in_service')),
+        p AS (SELECT lower(trim(pickup_by)) AS sp, strftime(requested_date, '%d') AS date, count(*) AS pickups FROM done
+              WHERE strftime(requested_date, '%Y-%m') = '1998-07' AND pickup_by IS NOT NULL GROUP BY ALL),
+        q AS (SELECT lower(trim(delivery_by)) AS sp, strftime(delivery_scheduled_time, '%d') AS date,
+                count(*) AS deliveries FROM done
+              WHERE strftime(delivery_scheduled_time, '%Y-%m') = '1998-07' GROUP BY ALL)
+        SELECT sp, date, pickups, deliveries FROM p FULL JOIN q USING (sp, date)
+        ORDER BY sp NULLS FIRST, date NULLS FIRST LIMIT 10"""),
     "courier_extract": _with("bookings", f""",
         named AS (SELECT * REPLACE (lower(trim(pickup_by)) AS pickup_by, lower(trim(delivery_by)) AS delivery_by)
                   FROM bookings WHERE status IS DISTINCT FROM 'cancelled')
         SELECT 'delivery' AS role, delivery_by AS courier, booking_id, locality, status, requested_date,
-          delivery_scheduled_time FROM named
+          delivery_scheduled_time, CAST(delivery_scheduled_time AS DATE) AS delivery_date FROM named
         WHERE delivery_by IN ({', '.join(f"'sp {i}'" for i in range(20))})
           AND strftime(delivery_scheduled_time, '%Y-%m') = '1998-07'
-        UNION ALL SELECT 'pickup', pickup_by, booking_id, locality, status, requested_date, delivery_scheduled_time
-        FROM named WHERE pickup_by IN ('sp 3', 'sp 8')"""),
+        UNION ALL SELECT 'pickup', pickup_by, booking_id, locality, status, requested_date, delivery_scheduled_time,
+          NULL::DATE FROM named WHERE pickup_by IN ('sp 3', 'sp 8')"""),
     "period_labels": _with("weekly", f"""SELECT
         CASE {' '.join(f"WHEN requested_date BETWEEN DATE '{a}' AND DATE '{b}' + INTERVAL 1 DAY THEN '{n}'"
                        for n, a, b in YEARS[:3])} ELSE 'W4' END AS first_match,

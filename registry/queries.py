@@ -33,7 +33,8 @@ EVENT_WEEKS = [
     ("W7", dt.date(2024, 1, 17), dt.date(2024, 1, 24)),
     ("W8", dt.date(2024, 1, 25), dt.date(2024, 2, 28)),
 ]
-MONTHS_1998 = [f"1998-{m:02d}" for m in range(1, 13)]
+# Every month of the bookings.
+MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 SNAPSHOTS = [(f"{y}-{m:02d}-01", f"{y if m > 1 else y - 1}-{m - 1 if m > 1 else 12:02d}")
              for y in (1996, 1998, 2000) for m in (1, 7)]
 STEP_START = dt.date(1998, 6, 1)
@@ -139,7 +140,7 @@ QUERIES: dict[str, Query] = {
     "reason_pct_logistics_wide": lambda s, d: rounded(
         N.reason_pct(_by_year(s, d), LOGISTICS_REASONS, wide=True), *LOGISTICS_REASONS),
     "cohort_matrix": lambda s, d: rounded(K.cohort_matrix(_enriched(s, d)), *SHARES),
-    "cohort_users_wide": lambda s, d: K.cohort_wide(K.cohort_matrix(_enriched(s, d)), "users", MONTHS_1998),
+    "cohort_users_wide": lambda s, d: K.cohort_wide(K.cohort_matrix(_enriched(s, d)), "users", MONTHS),
     "cohort_variants": lambda s, d: rounded(K.cohort_variants(_enriched(s, d), excluded=["1995-01"]), *SHARES),
     "cohorts_for_good_localities": lambda s, d: rounded(
         K.cohorts_for_good_localities(A.bookings(s, d), excluded_month="1999-06"), *SHARES),
@@ -193,6 +194,9 @@ QUERIES: dict[str, Query] = {
     "courier_productivity": lambda s, d: R.courier_productivity(A.bookings(s, d), "1998-07"),
     "courier_extract": lambda s, d: R.courier_extract(
         A.bookings(s, d), "1998-07", [f"sp {i}" for i in range(20)], ["sp 3", "sp 8"]).select(
-        "role", "courier", "booking_id", "locality", "status", "requested_date", "delivery_scheduled_time"),
+        "role", "courier", "booking_id", "locality", "status", "requested_date", "delivery_scheduled_time",
+        "delivery_date"),
+    "courier_first_rows": lambda s, d: R.first_rows(
+        R.courier_productivity(A.bookings(s, d), "1998-07"), ["sp", "date"], 10),
     "period_labels": _period_labels,
 }

@@ -147,3 +147,9 @@ def test_cohort_variants_follow_their_conditions(spark):
         ("atleast_2_bookings", "2016-01"): 1, ("atleast_2_bookings", "2016-02"): 1,
         ("avg_feedback>=3", "2016-01"): 1, ("profile=4,5", "2016-01"): 1}
     assert got[("Overall", "2016-02")]["revenue_share"] == pytest.approx(5 / 30)
+
+
+def test_a_booking_listed_twice_does_not_multiply_its_children(spark):
+    rows = frame(spark, DDL, [booking(1, 5, "2016-01-01"), booking(1, 5, "2016-01-01"), booking(2, 5, "2016-01-02", parent_id=1)])
+    got = B.duplicate_flag(rows).collect()
+    assert sorted((r.booking_id, r.duplicate_booking) for r in got if r.booking_id == 2) == [(2, 1)] and len(got) == 3
