@@ -6,7 +6,7 @@
    least l n-grams of their l-prefixes. Each class takes the l of least estimated cost:
    a longer prefix means more postings to read, but l common ones are then required.
 3. Candidates come in two rounds. The first links every class to one hub per n-gram, the
-   class with the fewest rare n-grams before it, which joins large groups of near copies
+   class with the largest share of common n-grams in its prefix, which joins large groups of near copies
    by as many pairs as they have members. The second pairs all classes of an n-gram that
    the first has not put into one component: members outside the n-gram's largest
    component against all. So no link between different components is lost, and pairs
@@ -30,7 +30,7 @@ from opslens.llm.components import connected_components
 #: Lower case of A-Z, on UTF-8 bytes.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: An n-gram in at least this share of the documents of some chunk is counted as frequent.
-FREQUENT_SHARE, CHUNK = 0.001, 2_000_000
+FREQUENT_SHARE, CHUNK = 0.0005, 2_000_000
 #: Frequent n-grams kept for the order, the most frequent; others count as rare. It changes the order, not the result.
 MOST_FREQUENT = 500_000
 MAX_LEVEL = 4
@@ -100,7 +100,7 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
             rows = []
             if held:
                 token, n = np.unique(np.concatenate(held), return_counts=True)
-                often = n >= max(3, FREQUENT_SHARE * members)
+                often = n >= max(2, FREQUENT_SHARE * members)
                 rows = [(None, int(c), None, t) for t, c in zip(token[often].astype(np.int64).tolist(), n[often], strict=True)]
             held, total, members = [], 0, 0
             seen.clear()
@@ -162,7 +162,10 @@ def _sizes_fit(percent: int) -> Column:
 
 
 def postings(pre: DataFrame, percent: int) -> DataFrame:
-    """(token, doc_id, n, pos, level) of n-grams that several classes have in their prefixes, cut to each class's level.
+    """(token, doc_id, n, pos, level, lone, first) of n-grams that several classes have in their prefixes, cut to each class's level.
+
+    lone is the share of a class's longest prefix that no other prefix has; first is the
+    place of its first n-gram that another has, before which it has nothing in common with any.
 
     The estimate of the candidates with l matches is the number of postings met over l.
     """
@@ -175,10 +178,11 @@ def postings(pre: DataFrame, percent: int) -> DataFrame:
            for k in range(1, MAX_LEVEL + 1)]
     cost = [F.struct((F.col(f"met{k}") * (READ_COST + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("level"))
             for k in range(1, MAX_LEVEL + 1)]
-    levels = rows.groupBy("doc_id", "n").agg(*met).select(
-        "doc_id", F.least(F.array_min(F.array(*cost))["level"], F.greatest(need, F.lit(1))).alias("level"))
+    levels = rows.groupBy("doc_id", "n").agg(*met, F.count(F.lit(1)).alias("common"), F.min("pos").alias("first")).select(
+        "doc_id", "first", (1 - F.col("common") / (F.col("n") - need + F.least(need, F.lit(MAX_LEVEL)))).alias("lone"), F.least(F.array_min(F.array(*cost))["level"], F.greatest(need, F.lit(1))).alias("level"))
     return materialise(rows.join(materialise(levels, "join-levels"), "doc_id").where(
-        F.col("pos") < F.col("n") - need + F.col("level")).select("token", "doc_id", "n", "pos", "level"), "join-used")
+        F.col("pos") < F.col("n") - need + F.col("level")).select(
+        "token", "doc_id", "n", "pos", "level", "lone", "first"), "join-used")
 
 
 def _pair(rows: DataFrame) -> DataFrame:
@@ -187,7 +191,7 @@ def _pair(rows: DataFrame) -> DataFrame:
 
 def hub_pairs(used: DataFrame, percent: int) -> DataFrame:
     """Each class with the hub of each of its n-grams, where sizes and places allow the similarity."""
-    rank = F.struct((F.col("pos") / F.col("n")).alias("r"), "doc_id")
+    rank = F.struct("lone", "doc_id")
     hubs = materialise(used.groupBy("token").agg(F.min(F.struct(rank.alias("k"), "doc_id", "n", "pos")).alias("h")).select(
         "token", F.col("h.doc_id").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2")), "join-hubs")
     o = _overlap(percent, F.col("n"), F.col("n2"))
@@ -206,13 +210,14 @@ def remaining_pairs(used: DataFrame, components: DataFrame, percent: int) -> Dat
                                                   F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "join-main")
     mixed = materialise(rows.join(main, "token"), "join-mixed")
     other = mixed.select("token", *[F.col(c).alias(f"{c.removesuffix('_id')}2") for c in (
-        "doc_id", "n", "pos", "level", "component")])
+        "doc_id", "n", "pos", "level", "first", "component")])
     few = mixed.where(F.col("component") != F.col("main"))
     o, least = _overlap(percent, F.col("n"), F.col("n2")), F.least("level", "level2")
     pairs = few.join(other, "token").where(
         (F.col("component") != F.col("component2")) & _sizes_fit(percent)
         # two classes off the main component meet once
         & ((F.col("component2") == F.col("main")) | (F.col("doc_id") < F.col("doc2")))
+        & (F.col("first") <= F.col("n") - o) & (F.col("first2") <= F.col("n2") - o)
         & (F.col("pos") <= F.col("n") - o + least - 1) & (F.col("pos2") <= F.col("n2") - o + least - 1))
     pairs = pairs.select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b"), least.alias("least"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"), F.max("least").alias("least")).where(
@@ -225,7 +230,8 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     if not pairs.limit(1).count():
         return pairs
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        wanted.hint("merge"), "doc_id", "left_semi")
     sets = materialise(_per_text(texts, size, lambda: lambda d, s: [] if s is None else [(d, s.tobytes())],
                                  "doc_id long, tokens binary"), "join-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(
