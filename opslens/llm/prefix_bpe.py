@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -30,31 +31,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixEncoder:
     """Encodes one piece of bytes at a time; holds no text. Ids are the tokens' ranks."""
 
-    PAIRS, PIECES = 500_000, 400_000
+    PAIRS, PIECES = 1_000_000, 600_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: Tokens that their own bytes are encoded as; others can only stand for a whole piece.
+        self.sound = {b: r for b, r in ranks.items() if self.merge(b) == [r]}
+        #: By the last two bytes (one, for a single byte), how long sound tokens with that end can be, shortest first.
+        ends: dict[bytes, set[int]] = {}
+        for b in self.sound:
+            ends.setdefault(b[-2:], set()).add(len(b))
+        self.lengths = {end: tuple(sorted(sizes)) for end, sizes in ends.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the neighbouring parts of lowest rank, the leftmost first, until none can be joined."""
+        get, none = self.ranks.get, 1 << 62
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 62:
-                break
+        joined = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while joined and (rank := min(joined)) < none:
+            i = joined.index(rank)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            if i:
+                joined[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(joined):
+                joined[i] = get(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
-    def may_start(self, token: int) -> bool:
-        """Whether the token's bytes are encoded as the token itself."""
-        if token not in self.alone:
-            self.alone[token] = self.merge(self.tokens[token]) == [token]
-        return self.alone[token]
-
     def may_follow(self, left: int, right: int) -> bool:
         key = (left, right)
         known = self.pairs.get(key)
@@ -66,13 +72,22 @@ class PrefixEncoder:
 
     def extend(self, piece: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Appends to ``last`` the last token of each further prefix of ``piece``, up to ``stop`` bytes."""
-        ranks = self.ranks
+        sound, lengths, pairs = self.sound, self.lengths, self.pairs
         for end in range(len(last) + 1, (len(piece) if stop is None else stop) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and self.may_start(token) and (start == 0 or self.may_follow(last[start - 1], token)):
-                    last.append(token)
-                    break
+            one = lengths.get(piece[end - 1:end], ())
+            for size in one + lengths.get(piece[end - 2:end], ()) if end > 1 else one:
+                start = end - size
+                if start < 0:
+                    continue
+                token = sound.get(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    ok = pairs.get((last[start - 1], token))
+                    if not (self.may_follow(last[start - 1], token) if ok is None else ok):
+                        continue
+                last.append(token)  # no other token fits, so the order of the sizes does not matter
+                break
             else:
                 raise ValueError(f"no token ends at byte {end}; the ranks lack single bytes")
         return last
@@ -132,6 +147,12 @@ class TextEncoder:
         return b"".join(map(self.encoder.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
+@lru_cache(maxsize=1)
+def coder_of(ranks_path: str, pattern: str) -> TextEncoder:
+    """One encoder per Python process: a task goes on with the pieces that earlier tasks have met."""
+    return TextEncoder(read_ranks(ranks_path), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """One row per document: n_tokens, digests of the ids and of the bytes they decode to, and the ids if asked for.
 
@@ -142,7 +163,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextEncoder(read_ranks(ranks_path), pattern)
+        coder = coder_of(ranks_path, pattern)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)

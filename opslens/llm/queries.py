@@ -38,7 +38,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bpe_ids():
-    coder = prefix_bpe.TextEncoder(prefix_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    coder = prefix_bpe.coder_of(RANKS, public_tokenizers.PATTERN)
     return lambda text: memoryview(coder.encode_packed(text)).cast("I")
 
 
