@@ -157,32 +157,44 @@ def _overlap(percent: int, n1: Column, n2: Column) -> Column:
     return F.ceil((n1 + n2) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _sizes_fit(percent: int) -> Column:
-    return (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+def _may_link(percent: int) -> Column:
+    """Whether two classes with an n-gram in common at these places can reach the similarity.
+
+    Of the n-grams before it, those that no other prefix has are not common; of those after
+    it, no more than the shorter rest.
+    """
+    common = 1 + F.least(F.col("pos") - F.col("alone"), F.col("pos2") - F.col("alone2")) + F.least(
+        F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
+    return (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (
+        common >= _overlap(percent, F.col("n"), F.col("n2")))
 
 
 def postings(pre: DataFrame, percent: int) -> DataFrame:
-    """(token, doc_id, n, pos, level, lone, first) of n-grams that several classes have in their prefixes, cut to each class's level.
+    """(token, doc_id, n, pos, alone, level, lone) of n-grams that several classes have in their prefixes, cut to each class's level.
 
-    lone is the share of a class's longest prefix that no other prefix has; first is the
-    place of its first n-gram that another has, before which it has nothing in common with any.
+    alone is the number of earlier n-grams of the class that no other prefix has; lone is
+    the share of such n-grams in its longest prefix. A class's n-grams meet in one row
+    again, no larger than its text.
 
     The estimate of the candidates with l matches is the number of postings met over l.
     """
     need = F.ceil(F.col("n") * F.lit(percent) / 100.0 - 1e-9).cast("int")
     rows = pre.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-tokens")
-    rows = materialise(rows.join(shared, "token"), "join-postings")
-    # postings met with prefix l: those of the first n - need + l places
-    met = [F.sum(F.when(F.col("pos") < F.col("n") - need + k, F.col("df") - 1).otherwise(0)).alias(f"met{k}")
-           for k in range(1, MAX_LEVEL + 1)]
-    cost = [F.struct((F.col(f"met{k}") * (READ_COST + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("level"))
-            for k in range(1, MAX_LEVEL + 1)]
-    levels = rows.groupBy("doc_id", "n").agg(*met, F.count(F.lit(1)).alias("common"), F.min("pos").alias("first")).select(
-        "doc_id", "first", (1 - F.col("common") / (F.col("n") - need + F.least(need, F.lit(MAX_LEVEL)))).alias("lone"), F.least(F.array_min(F.array(*cost))["level"], F.greatest(need, F.lit(1))).alias("level"))
-    return materialise(rows.join(materialise(levels, "join-levels"), "doc_id").where(
-        F.col("pos") < F.col("n") - need + F.col("level")).select(
-        "token", "doc_id", "n", "pos", "level", "lone", "first"), "join-used")
+    each = rows.join(shared, "token").groupBy("doc_id", "n").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "token", "df"))).alias("met"))
+
+    def cost(level: int) -> Column:
+        # postings met with prefix l: those of the first n - need + l places
+        met = F.aggregate("met", F.lit(0).cast("long"), lambda s, x: s + F.when(x["pos"] < F.col("n") - need + level, x["df"] - 1).otherwise(0))
+        return F.struct((met * (READ_COST + VERIFY_COST / level)).alias("cost"), F.lit(level).alias("level"))
+
+    each = each.select(
+        "doc_id", "n", "met", (1 - F.size("met") / (F.col("n") - need + F.least(need, F.lit(MAX_LEVEL)))).alias("lone"),
+        F.least(F.array_min(F.array(*[cost(k) for k in range(1, MAX_LEVEL + 1)]))["level"], F.greatest(need, F.lit(1))).alias("level"))
+    return materialise(each.select("doc_id", "n", "level", "lone", F.posexplode("met").alias("rank", "x")).where(
+        F.col("x.pos") < F.col("n") - need + F.col("level")).select(
+        "x.token", "doc_id", "n", "x.pos", (F.col("x.pos") - F.col("rank")).alias("alone"), "level", "lone"), "join-used")
 
 
 def _pair(rows: DataFrame) -> DataFrame:
@@ -192,10 +204,10 @@ def _pair(rows: DataFrame) -> DataFrame:
 def hub_pairs(used: DataFrame, percent: int) -> DataFrame:
     """Each class with the hub of each of its n-grams, where sizes and places allow the similarity."""
     rank = F.struct("lone", "doc_id")
-    hubs = materialise(used.groupBy("token").agg(F.min(F.struct(rank.alias("k"), "doc_id", "n", "pos")).alias("h")).select(
-        "token", F.col("h.doc_id").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2")), "join-hubs")
+    hubs = materialise(used.groupBy("token").agg(F.min(F.struct(rank.alias("k"), "doc_id", "n", "pos", "alone")).alias("h")).select(
+        "token", *[F.col(f"h.{c}").alias(f"{c.removesuffix('_id')}2") for c in ("doc_id", "n", "pos", "alone")]), "join-hubs")
     o = _overlap(percent, F.col("n"), F.col("n2"))
-    rows = used.join(hubs, "token").where((F.col("doc_id") != F.col("doc2")) & _sizes_fit(percent) & (
+    rows = used.join(hubs, "token").where((F.col("doc_id") != F.col("doc2")) & _may_link(percent) & (
         F.col("pos") <= F.col("n") - o) & (F.col("pos2") <= F.col("n2") - o))
     return _pair(rows).distinct()
 
@@ -210,14 +222,13 @@ def remaining_pairs(used: DataFrame, components: DataFrame, percent: int) -> Dat
                                                   F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "join-main")
     mixed = materialise(rows.join(main, "token"), "join-mixed")
     other = mixed.select("token", *[F.col(c).alias(f"{c.removesuffix('_id')}2") for c in (
-        "doc_id", "n", "pos", "level", "first", "component")])
+        "doc_id", "n", "pos", "alone", "level", "component")])
     few = mixed.where(F.col("component") != F.col("main"))
     o, least = _overlap(percent, F.col("n"), F.col("n2")), F.least("level", "level2")
     pairs = few.join(other, "token").where(
-        (F.col("component") != F.col("component2")) & _sizes_fit(percent)
+        (F.col("component") != F.col("component2")) & _may_link(percent)
         # two classes off the main component meet once
         & ((F.col("component2") == F.col("main")) | (F.col("doc_id") < F.col("doc2")))
-        & (F.col("first") <= F.col("n") - o) & (F.col("first2") <= F.col("n2") - o)
         & (F.col("pos") <= F.col("n") - o + least - 1) & (F.col("pos2") <= F.col("n2") - o + least - 1))
     pairs = pairs.select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b"), least.alias("least"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"), F.max("least").alias("least")).where(
