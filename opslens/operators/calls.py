@@ -9,11 +9,10 @@ from ..functions.columns import holds, null_if_zero, present, ratio
 from ..functions.labels import CALL_STATUS_MAP, DIRECTION_MAP
 from ..functions.text import relabel
 from ..functions.times import clock_seconds, in_period, moment, seconds_between
-from . import skew
 from .quantiles import distribution
 
-# Length of a slice when the calls of one phone are cut.
-SLICE_SECONDS = 3600
+# Length of the slices that the calls of one phone are cut into.
+SLICE_SECONDS = 86_400
 
 
 def prepare_calls(calls: DataFrame, agents: DataFrame, start=None, end=None) -> DataFrame:
@@ -36,8 +35,7 @@ def prepare_calls(calls: DataFrame, agents: DataFrame, start=None, end=None) ->
     return rows.withColumn("phone", phone).select("phone", *kept)
 
 
-def callback_status(calls: DataFrame, total_seconds: bool = False, heavy_rows: int = skew.HEAVY_ROWS,
-                    slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def callback_status(calls: DataFrame, total_seconds: bool = False, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """When and how each missed call was called back.
 
     Takes ``prepare_calls`` rows and adds ``callback_status`` and
@@ -50,17 +48,14 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, heavy_rows: i
 
     Only running windows over the phone's calls are used: an inbound missed call
     sets the state to open, a completed inbound or answered outbound call sets
-    it to closed and an outbound missed call flips it. Both possible states at
-    the start are computed, so a phone with more than ``heavy_rows`` calls can
-    be cut into slices of ``slice_seconds`` and the states chained over them.
+    it to closed and an outbound missed call flips it. Every phone's calls are cut
+    into slices of ``slice_seconds``, both possible states at the start of a slice
+    are computed, and the states are chained over the slices of the phone, whose
+    number is bounded by the time the calls span.
     """
     rows = present(calls, "phone", "start_time")
-    heavy = skew.heaviest(skew.key_counts(rows, "phone"), "phone", floor=heavy_rows).select(
-        F.col("phone").alias("_hp"))
-    is_heavy = F.col("_hp").isNotNull()
     epoch = seconds_between(moment("1970-01-01 00:00:00"), F.col("start_time"))
-    rows = rows.join(F.broadcast(heavy), F.col("phone") == F.col("_hp"), "left").withColumn(
-        "_slice", F.when(is_heavy, F.floor(epoch / F.lit(slice_seconds)).cast("long")))
+    rows = rows.withColumn("_slice", F.floor(epoch / F.lit(slice_seconds)).cast("long"))
 
     inbound, outbound = F.col("direction") == "inbound", F.col("direction") == "outbound"
     missed, completed = holds(F.col("status") == "missed-call"), holds(F.col("status") == "completed")
@@ -88,20 +83,16 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, heavy_rows: i
         rows = rows.withColumn(f"_open{s}", F.last(F.when(opens, F.col("start_time")), ignorenulls=True).over(run))
     # Ends of the slice. The latest missed call is the first one at the greatest time.
     latest = F.when(missed, F.struct(F.col("start_time"), -F.col("call_id")))
-    rows = rows.withColumn("_end0", F.last("_after0").over(run.rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing))).withColumn(
-        "_mark", F.max_by("call_id", latest).over(full))
-
-    # The test is on the slice, a key of the windows, so that it is applied before they run.
-    carried = _chain_slices(rows.where(F.col("_slice").isNotNull()), missed)
-    rows = rows.join(carried, (F.col("phone") == F.col("_cp")) & (F.col("_slice") == F.col("_cs")), "left")
-    began_open = F.coalesce("_carry", F.lit(0)) == 1
+    rows = rows.withColumn("_mark", F.max_by("call_id", latest).over(full))
+
+    carried = _chain_slices(rows, missed)
+    rows = rows.join(carried, (F.col("phone") == F.col("_cp")) & (F.col("_slice") == F.col("_cs")))
+    began_open = F.col("_carry") == 1
     before = F.when(began_open, F.col("_before1")).otherwise(F.col("_before0"))
     after = F.when(began_open, F.col("_after1")).otherwise(F.col("_after0"))
     opened = F.coalesce(F.when(began_open, F.col("_open1")).otherwise(F.col("_open0")), F.col("_carry_open"))
     closes = (before == 1) & (after == 0)
-    unanswered = (F.coalesce("_final", "_end0") == 1) & F.coalesce("_holds_mark", F.lit(True)) \
-        & (F.col("call_id") == F.col("_mark"))
+    unanswered = (F.col("_final") == 1) & F.col("_holds_mark") & (F.col("call_id") == F.col("_mark"))
     how = F.when(inbound, "inb").when(completed, "out_success").otherwise("out_fail")
     wait = seconds_between(opened, F.col("start_time")).cast("double") if total_seconds \
         else clock_seconds(opened, F.col("start_time"))
@@ -112,7 +103,7 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, heavy_rows: i
 
 
 def _chain_slices(rows: DataFrame, missed: Column) -> DataFrame:
-    """State and open time each slice of a cut phone starts with; one row per slice."""
+    """State and open time each slice of a phone starts with; one row per slice."""
     at = F.struct("start_time", "call_id")
     ends = rows.groupBy("phone", "_slice").agg(
         F.max_by("_after0", at).alias("_a0"), F.max_by("_after1", at).alias("_a1"),
