@@ -1,9 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass decides each block by where it stands, its link density, its length and
-its share of stop words, or leaves it open when it is short. The second gives an open
-block the label of the nearest decided block of the same article (or of the page, where
-it stands in none).
+Sections set apart (navigation, forms, comments and the like) are left out. The first pass
+decides every other block by its link density, its length and its share of stop words, or
+leaves it open. Standing in an article is one more feature there: it leaves open what would
+else be boilerplate. The second pass gives an open block the label of the nearest decided
+block of the same article, or of the blocks outside articles for a block outside. Where none
+of these is decided, it is text unless the page has text elsewhere (as with teaser cards).
 """
 
 from __future__ import annotations
@@ -57,7 +59,6 @@ class Rules:
     stop_low: float = 0.15
     stop_high: float = 0.25
     link_density: float = 0.3
-    article_links: float = 0.6
 
 
 @dataclass
@@ -156,33 +157,31 @@ def blocks_of(html: str) -> list[Block]:
 def decide(b: Block, rules: Rules) -> bool | None:
     """True for text, False for boilerplate, None where the block is too short to tell."""
     size = len(b.text)
-    if b.article:  # links inside running text are common there
-        return False if b.linked > rules.article_links * size else True if size >= rules.short else None
+    against = None if b.article else False
     if b.linked > rules.link_density * size:
-        return False
+        return against  # a list of references, or a paragraph that is one link
     if "\xa9" in b.text:
-        return False
+        return against
     if size < rules.short:
-        return False if b.linked else None
+        return against if b.linked else None
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= rules.stop_high:
         return True if size > rules.long else None
-    return None if stops >= rules.stop_low else False
+    return None if stops >= rules.stop_low else against
 
 
 def main_text(html: str, rules: Rules = Rules()) -> str:
     blocks = [b for b in blocks_of(html) if not b.apart]  # sections set apart say nothing about their neighbours
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]  # a page that names its article has no other text
     first = [decide(b, rules) for b in blocks]
     before, after = _nearest(first, blocks, 1), _nearest(first, blocks, -1)
+    elsewhere = any(first)
     kept = []
     for i, (b, label) in enumerate(zip(blocks, first, strict=True)):
         if label is None:
             (d1, l1), (d2, l2) = before[i], after[i]
             if l1 is None and l2 is None:
-                label = True  # nothing on the page speaks against it
+                label = not elsewhere
             elif d1 == d2:
                 label = bool(l1 or l2) if b.article else bool(l1 and l2)
             else:
@@ -195,16 +194,13 @@ def main_text(html: str, rules: Rules = Rules()) -> str:
 def _nearest(first: list[bool | None], blocks: list[Block], step: int) -> list[tuple[int, bool | None]]:
     """For each block, distance and label of the nearest decided one on one side, in the same article."""
     out: list[tuple[int, bool | None]] = [(1 << 30, None)] * len(blocks)
-    last: tuple[int, bool] | None = None
+    last: dict[int, tuple[int, bool]] = {}
     for i in range(len(blocks))[::step]:
-        j = i - step
-        if 0 <= j < len(blocks):
-            if blocks[j].article != blocks[i].article:
-                last = None
-            elif first[j] is not None:
-                last = (j, first[j])
-        if last:
-            out[i] = (abs(i - last[0]), last[1])
+        article = blocks[i].article
+        if article in last:
+            out[i] = (abs(i - last[article][0]), last[article][1])
+        if first[i] is not None:
+            last[article] = (i, first[i])
     return out
 
 
