@@ -9,9 +9,12 @@
    class with the largest share of common n-grams in its prefix, which joins large groups of near copies
    by as many pairs as they have members. The second pairs all classes of an n-gram that
    the first has not put into one component: members outside the n-gram's largest
-   component against all. So no link between different components is lost, and pairs
-   inside a component, which can change nothing, are not made.
+   component against all. So no link between different components is lost; pairs
+   inside a component cannot change it.
 4. Candidates are verified on the whole sets.
+5. Links are counted over all pairs of classes of a component whose sizes allow the
+   similarity. A large component is dealt into blocks, and a row holds a block or a pair
+   of blocks: rows grow with the pairs of blocks, the work with the pairs of classes.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ FREQUENT_SHARE, CHUNK = 0.0005, 2_000_000
 #: Frequent n-grams kept for the order, the most frequent; others count as rare. It changes the order, not the result.
 MOST_FREQUENT = 500_000
 MAX_LEVEL = 4
+#: N-grams and classes in a block of a component, about, when links are counted.
+BLOCK_NGRAMS, BLOCK_CLASSES = 1 << 19, 1024
 #: Cost of reading a posting, and of verifying a candidate, for the choice of a prefix.
 READ_COST, VERIFY_COST = 1.0, 30.0
 
@@ -260,15 +265,146 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return map_arrow(both, run, "a long, b long").distinct()
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of x shares with each set of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(flat_x, flat_y)
+    if not len(shared):
+        return out
+
+    def places(sets, flat):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        hit = shared[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], row[hit][order]
+
+    at_x, row_x = places(x, flat_x)
+    at_y, row_y = places(y, flat_y)
+    step = 4096
+    for first in range(0, len(shared), step):
+        width = min(step, len(shared) - first)
+        dense = []
+        for at, row, n in ((at_x, row_x, len(x)), (at_y, row_y, len(y))):
+            lo, hi = np.searchsorted(at, [first, first + width])
+            d = np.zeros((n, width), np.float32)
+            d[row[lo:hi], at[lo:hi] - first] = 1
+            dense.append(d)
+        out += dense[0] @ dense[1].T  # whole numbers below 2^24: exact
+    return out
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray], wx: np.ndarray, wy: np.ndarray, same: bool,
+            percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of x and of y, the documents of the sets on the other side that it links to."""
+    nx, ny = (np.array([len(s) for s in sets], np.int64) for sets in (x, y))
+    to_x, to_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    step = 256
+    order_x, order_y = np.argsort(nx, kind="stable"), np.argsort(ny, kind="stable")
+    for i in range(0, len(x), step):
+        p = order_x[i:i + step]
+        for j in range(0, len(y), step):
+            q = order_y[j:j + step]
+            if nx[p[0]] * percent > 100 * ny[q[-1]] or ny[q[0]] * percent > 100 * nx[p[-1]]:
+                continue  # sorted by size: no pair here can reach the similarity
+            common = _common([x[k] for k in p], [y[k] for k in q]).astype(np.int64)
+            ok = 100 * common >= percent * (nx[p][:, None] + ny[q][None, :] - common)
+            if same:
+                ok &= p[:, None] != q[None, :]
+            to_x[p] += ok @ wy[q]
+            if not same:
+                to_y[q] += wx[p] @ ok
+    return to_x, to_y
+
+
+def count_links(docs: DataFrame, classes: DataFrame, components: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, linked): documents of other classes that each class links to, over all pairs of each component.
+
+    A component that fits one block is one. In a larger one sizes fall into bands, so that sets
+    of similarity t lie in the same band or in neighbouring ones, and the classes of a band are
+    dealt over blocks by their digest.
+    """
+    # a doc_id with several texts may be the head of several classes, which link without a pair of documents
+    several = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(
+        F.col("rep").alias("node"), F.col("rep").alias("component"))
+    nodes = components.unionByName(several.join(components, "node", "left_anti"))
+    members = classes.join(nodes.withColumnRenamed("node", "rep"), "rep")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / percent)) * (1 + 1e-9) + 1e-9)).cast("int")
+    members = materialise(members.select("sig", "rep", "documents", "component", "n", band.alias("band")), "join-members")
+    large = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).where(
+        (F.col("total") > BLOCK_NGRAMS) | (F.col("members") > BLOCK_CLASSES)).select("component")
+    large = materialise(large, "join-large")  # at most one for each block's worth of classes, as are the bands
+    bands = materialise(members.join(F.broadcast(large), "component").groupBy("component", "band").agg(F.greatest(
+        F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int").alias("blocks")), "join-bands")
+    dealt = members.join(F.broadcast(bands), ["component", "band"], "left").select(
+        "sig", "rep", "documents", "component", F.when(F.col("blocks").isNotNull(), F.col("band")).otherwise(-1).alias("band"),
+        F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int").alias("block"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+
+    def start():
+        seen = set()
+
+        def call(d, s):
+            if s is None:
+                return []
+            sig = blake2b(s.tobytes(), digest_size=16).digest()
+            if (d, sig) in seen:
+                return []
+            seen.add((d, sig))
+            return [(d, sig, s.tobytes())]
+
+        return call
+
+    sets = _per_text(texts, size, start, "doc_id long, sig binary, tokens binary").withColumnRenamed("doc_id", "rep")
+    blocks = materialise(dealt.join(sets, ["rep", "sig"]).groupBy("component", "band", "block").agg(F.collect_list(
+        F.struct("sig", "documents", "tokens")).alias("sets")), "join-blocks")
+    other = bands.select("component", F.col("band").alias("band2"), F.col("blocks").alias("blocks2"))
+    pairs = bands.join(other, "component").where("band2 = band or band2 = band + 1").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1))).where("band2 > band or block2 > block")
+    cut = blocks.where("band >= 0")
+    cross = pairs.select("component", "band", "block", "band2", "block2").join(cut, ["component", "band", "block"]).join(
+        cut.select("component", F.col("band").alias("band2"), F.col("block").alias("block2"), F.col("sets").alias("sets2")),
+        ["component", "band2", "block2"]).select("sets", "sets2")
+
+    def side(value):
+        v = value.values
+        found = {}  # a repeated document comes once from each task that read it
+        for sig, w, t in zip(v.field("sig").to_pylist(), v.field("documents").to_pylist(), v.field("tokens"), strict=True):
+            found[sig] = (w, np.frombuffer(t.as_buffer(), np.uint64))
+        return list(found), np.array([w for w, _ in found.values()], np.int64), [t for _, t in found.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, linked = [], []
+            for i in range(batch.num_rows):
+                sig_x, w_x, x = side(batch.column(0)[i])
+                if batch.num_columns == 1:
+                    sig += sig_x
+                    linked += _linked(x, x, w_x, w_x, True, percent)[0].tolist()
+                else:
+                    sig_y, w_y, y = side(batch.column(1)[i])
+                    to_x, to_y = _linked(x, y, w_x, w_y, False, percent)
+                    sig += sig_x + sig_y
+                    linked += to_x.tolist() + to_y.tolist()
+            yield pa.record_batch([pa.array(sig, pa.binary()), pa.array(linked, pa.int64())], ["sig", "linked"])
+
+    found = map_arrow(blocks.select("sets"), run, "sig binary, linked long").unionByName(
+        map_arrow(cross, run, "sig binary, linked long"))
+    return found.groupBy("sig").agg(F.sum("linked").alias("linked"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), n_links and component_id.
 
     Documents link when 100 x intersection >= ``percent`` x union of their n-gram sets;
-    component_id is the smallest doc_id reachable by links. n_links counts the links that
-    were verified between its class and others, which connect the component; links inside
-    a component that are implied by others are not all made. Null and empty texts have no
-    n-gram and no link. Repeated rows share their component; where a doc_id repeats with another
-    text, its rows count as one document in links. A null doc_id links with nothing. Empty tables give no row.
+    component_id is the smallest doc_id reachable by links. n_links is the number of other
+    documents that the text links to, exact copies among them. Null and empty texts have no
+    n-gram and no link. Repeated rows share their component and count once as a link; where a doc_id
+    repeats with another text, its rows count as one document in components, and as one
+    for each of their sets in n_links. A null doc_id links with nothing. Empty tables give no row.
     """
     spark = docs.sparkSession
     made = materialise(document_sets(docs, size), "join-documents")
@@ -276,7 +412,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     frequent = made.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "token").limit(MOST_FREQUENT)
     frequent = [(r.token, r.n) for r in frequent.collect()]  # at most MOST_FREQUENT pairs of numbers
-    classes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "join-classes")
+    classes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(
+        F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("documents"), F.any_value("n").alias("n")), "join-classes")
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
     pre = materialise(prefixes(docs, size, percent, frequent).join(heads, "doc_id", "left_semi"), "join-prefixes")
     used = postings(pre, percent)
@@ -286,11 +423,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     if rest.limit(1).count():
         links = links.unionByName(rest)
         components = connected_components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(
-        degree.withColumnRenamed("a", "rep"), "rep", "left")
-    labels = materialise(labels.select("sig", F.coalesce("component", "rep").alias("component"), F.coalesce(
-        "n_links", F.lit(0)).alias("n_links")), "join-labels")
+    linked = count_links(docs, classes, components, size, percent)
+    labels = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "sig", "left")
+    labels = materialise(labels.select("sig", F.coalesce("component", "rep").alias("component"), (F.coalesce(
+        "linked", F.lit(0)) + F.col("documents") - 1).alias("n_links")), "join-labels")
+    known = F.col("doc_id").isNotNull()
     return rows.join(labels, "sig", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(
+            F.lit(0)).alias("n_links"),
+        F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))

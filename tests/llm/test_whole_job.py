@@ -1,6 +1,17 @@
 """Cases in which an operator once did less than its whole job."""
 
-from opslens.llm import html_text
+import random
+
+import pytest
+
+from opslens.llm import html_text, ngram_join
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "more") for i, t in texts], DOCS)
+
 
 LONG = ("The rain came over the hills in the morning and it was not until the evening that they had the time to go out, "
         "as it is with all the days that we have had here in the last years and which will be with us for a long time. ")
@@ -24,3 +35,35 @@ def test_stop_words_decide_in_articles_too():
     page = f"<article><p>{LONG}</p></article><main><p>{junk}</p></main>"
     assert html_text.main_text(page) == LONG.strip()
     assert html_text.main_text(f"<article><p>{junk}</p></article>") == junk.strip()
+
+
+def brute_links(texts, size, percent):
+    """Other documents that each (doc_id, text) links to; a document counts once for each of its sets."""
+    def of(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+    each = {(i, of(t)) for i, t in texts if i is not None and of(t)}
+    return {(i, t): sum((j, b) != (i, of(t)) and 100 * len(of(t) & b) >= percent * len(of(t) | b) for j, b in each) if of(t) and i is not None
+            else 0 for i, t in texts}
+
+
+@pytest.mark.parametrize("blocks", [(1 << 19, 1024), (400, 3)])
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_links_equal_brute_force(spark, monkeypatch, blocks, size, percent):
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", blocks[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", blocks[1])
+    r = random.Random(size)
+    texts = [(0, None), (1, ""), (2, "one"), (3, "One"), (4, "one two"), (None, "one")]
+    for g in range(4):
+        base = [r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(90)]
+        for _ in range(14):
+            words = list(base) + ["end"] * r.choice([0, 0, 0, 9])
+            for _ in range(r.randint(0, 3)):
+                words[r.randrange(90)] = str(r.random())
+            texts.append((len(texts), " ".join(words)))
+    a = " ".join(map(str, range(100)))
+    texts += [(500, a), (501, a), (502, a + " x"), (503, a + " y"), (503, a + " y"), (504, a + " z"), (504, "other words here")]
+    got = ngram_join.jaccard_components(docs(spark, texts), size, percent).collect()
+    want = brute_links(texts, size, percent)
+    assert want[(502, a + " x")] == 4 and want[(500, a)] == 4
+    assert sorted((x.doc_id or -1, x.n_links) for x in got) == sorted(((i or -1), want[i, t]) for i, t in texts)
