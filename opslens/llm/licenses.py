@@ -1,13 +1,15 @@
 """License detection: TF-IDF cosine against license texts, then inheritance along folders.
 
-Each line, and each pair of neighbouring lines, of a file is compared with the statements
-of known licenses. A file most of whose text is one license is a license file: it holds
-for its folder. Files without a statement of their own take the license of the nearest
+The whole file is compared with whole license texts. Each line, each pair of neighbouring
+lines and each run of as many words as a statement has, over any number of lines, is
+compared with the usual statements of licenses. A file that is the text of a license, or
+most of whose text is one statement, is a license file: it holds for its folder. Files without a statement of their own take the license of the nearest
 folder above them that has one.
 """
 
 from __future__ import annotations
 
+import pathlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -37,6 +39,11 @@ STATEMENTS = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 ]
+#: Whole license texts, by SPDX identifier; lines of copyright are left out.
+TEXTS = [(f.stem, "\n".join(x for x in f.read_text("utf-8").split("\n") if not x.lower().lstrip().startswith("copyright (c)")))
+         for f in sorted((pathlib.Path(__file__).parent / "license_texts").glob("*.txt"))]
+#: Least cosine of a file and a license text, on one plus the logarithm of counts.
+FILE_COSINE = 0.85
 _APART = bytes(c if chr(c).isalnum() or c in b".\n" or c > 127 else 32 for c in range(256))
 
 
@@ -60,6 +67,15 @@ class Templates:
         t = self.counts * idf[:, None]
         return idf, t / np.linalg.norm(t, axis=0), float(np.log(n + 1) + 1)
 
+    def damped(self, idf: np.ndarray) -> np.ndarray:
+        """Unit vectors of the texts with one plus the logarithm of counts."""
+        t = np.where(self.counts > 0, 1 + np.log(np.maximum(self.counts, 1)), 0) * idf[:, None]
+        return t / np.linalg.norm(t, axis=0)
+
+    def pick(self, words: dict[bytes, int], df: np.ndarray) -> np.ndarray:
+        """Frequencies of this vocabulary, from those of a larger one."""
+        return df[[words[w] for w in self.vocabulary]]
+
 
 def document_frequencies(docs: DataFrame, templates: Templates, text: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each word of the statements occurs, and the number of documents."""
@@ -81,18 +97,23 @@ def document_frequencies(docs: DataFrame, templates: Templates, text: str) -> tu
 
 
 def scan_licenses(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.75,
-                  file_share: float = 0.6, statements: list[tuple[str, str]] = STATEMENTS) -> DataFrame:
+                  file_share: float = 0.6, statements: list[tuple[str, str]] = STATEMENTS,
+                  whole: list[tuple[str, str]] = TEXTS, file_cosine: float = FILE_COSINE) -> DataFrame:
     """One row per file: key, path, license, score, origin (header, license_file, inherited, none) and license_dir.
 
-    A word that no statement has counts as the rarest word, once each time. Of several
+    A file whose cosine with a whole license text reaches file_cosine is a license file of
+    that license. A word that no template has counts as the rarest word, once each time. Of several
     statements the best wins, then the first in the text. A folder with several license
     files takes the one with the best score, then the smallest license name. Null texts
     are empty; files with a null path inherit nothing; repeated rows give a row each.
     """
     templates = Templates(statements)
-    df, n = document_frequencies(docs, templates, text)
-    idf, vectors, unknown = templates.weights(df, n)
-    names, get = templates.names, templates.vocabulary.get
+    full, every = Templates(whole), Templates(statements + whole)
+    df, n = document_frequencies(docs, every, text)
+    idf, vectors, unknown = templates.weights(templates.pick(every.vocabulary, df), n)
+    full_idf = full.weights(full.pick(every.vocabulary, df), n)[0]
+    full_vectors, full_names, full_get = full.damped(full_idf).astype(np.float32), full.names, full.vocabulary.get
+    names, get, lengths = templates.names, templates.vocabulary.get, templates.counts.sum(axis=0).astype(int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +131,15 @@ def scan_licenses(docs: DataFrame, path: Column, key: str = "doc_id", text: str
                             file_of.append(f)
                 if words:
                     ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                    found = _best(ids, np.array(line_of), np.array(file_of), idf, vectors, unknown, n_words, threshold)
-                cols = list(zip(*((names[x[0]], x[1], x[2]) if x else (None, None, None) for x in found), strict=True))
+                    line_of, file_of = np.array(line_of), np.array(file_of)
+                    found = _best(ids, line_of, file_of, idf, vectors, unknown, n_words, threshold)
+                    _runs(found, ids, file_of[line_of], idf, vectors, unknown, lengths, n_words, threshold)
+                    found = [(names[x[0]], *x[1:]) if x else None for x in found]
+                    ids = np.fromiter(map(full_get, words, repeat(-1)), np.int64, len(words))
+                    best, cosine = _whole(ids, file_of[line_of], full_idf, full_vectors, unknown, part.num_rows)
+                    for f in np.flatnonzero(cosine >= file_cosine):
+                        found[f] = (full_names[best[f]], float(cosine[f]), 1.0)
+                cols = list(zip(*(x or (None, None, None) for x in found), strict=True))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(cols[0], pa.string()), pa.array(
                     cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["key", "path", "license", "score", "share"])
 
@@ -169,3 +197,43 @@ def _best(ids, line_of, file_of, idf, vectors, unknown, n_words, threshold):
             if found[f] is None or c > found[f][1] + 1e-12:
                 found[f] = (int(best[i]), c, float(words / n_words[f]))
     return found
+
+
+def _whole(ids, file_of, idf, vectors, unknown, n_files):
+    """For each file the whole license text of the largest cosine, and that cosine."""
+    known, v = ids >= 0, len(idf)
+    pairs, counts = np.unique(file_of[known] * v + ids[known], return_counts=True)
+    at, word = pairs // v, pairs % v
+    weight = (1 + np.log(counts)) * idf[word]
+    norm = np.sqrt(np.bincount(at, weight ** 2, n_files) + np.bincount(file_of[~known], minlength=n_files) * unknown ** 2)
+    dot = np.zeros((n_files, vectors.shape[1]))
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    for k in range(vectors.shape[1] if len(at) else 0):
+        dot[at[starts], k] = np.add.reduceat(weight * vectors[word, k], starts)
+    cosine = dot / np.maximum(norm, 1e-300)[:, None]
+    return cosine.argmax(axis=1), cosine.max(axis=1)
+
+
+def _runs(found, ids, file_of, idf, vectors, unknown, lengths, n_words, threshold):
+    """Runs of as many words as a statement has, wherever they begin and however many lines they take.
+
+    With the sum of squares over words in place of words counted together, the cosine of a
+    run is never too small; runs that pass by it are scored exactly.
+    """
+    known = ids >= 0
+    square = np.cumsum(np.concatenate([[0.0], np.where(known, idf[ids], unknown) ** 2]))
+    for k, length in enumerate(lengths.tolist()):
+        last = len(ids) - length
+        if last < 0:
+            continue
+        gain = np.cumsum(np.concatenate([[0.0], np.where(known, idf[ids] * vectors[ids, k], 0.0)]))
+        dot = gain[length:] - gain[:-length]
+        near = dot >= threshold * np.sqrt(square[length:] - square[:-length]) - 1e-6
+        for i in np.flatnonzero(near & (file_of[:last + 1] == file_of[length - 1:])):
+            word, count = np.unique(ids[i:i + length][known[i:i + length]], return_counts=True)
+            missing = length - int(count.sum())
+            weight = count * idf[word]
+            cosine = float(weight @ vectors[word, k]) / float(np.sqrt(weight @ weight + missing * unknown ** 2))
+            f = int(file_of[i])
+            if cosine >= threshold and (found[f] is None or cosine > found[f][1] + 1e-9):
+                found[f] = (k, cosine, length / n_words[f])

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from opslens.llm import html_text, ngram_join
+from opslens.llm import html_text, licenses, ngram_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -67,3 +68,18 @@ def test_links_equal_brute_force(spark, monkeypatch, blocks, size, percent):
     want = brute_links(texts, size, percent)
     assert want[(502, a + " x")] == 4 and want[(500, a)] == 4
     assert sorted((x.doc_id or -1, x.n_links) for x in got) == sorted(((i or -1), want[i, t]) for i, t in texts)
+
+
+def test_whole_license_files_and_wrapped_statements(spark):
+    whole = dict(licenses.TEXTS)
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Some One <one@example.org>\n\n" + whole["MIT"].split("\n", 1)[1]
+    wrapped = "# This program is licensed\n# under the GNU General\n# Public License,\n# version 2.\ncode = 1\n" + "more code words\n" * 9
+    inside = "some words go here " * 20 + "Licensed under the Apache License, Version 2.0. " + "and yet more words follow " * 20
+    files = [(1, "a/LICENSE", mit), (2, "a/b/c.py", "code only"), (3, "d/LICENSE", whole["Apache-2.0"]), (4, "d/x.py", None),
+             (5, "e/LICENSE", whole["BSD-2-Clause"]), (6, "f/LICENSE", whole["ISC"]), (7, "g/COPYING", whole["LGPL-2.1"]),
+             (8, "h/w.py", wrapped), (9, "h/i.py", inside), (10, "h/z.py", "nothing at all")]
+    got = licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()
+    assert {r.doc_id: (r.license, r.origin) for r in got} == {
+        1: ("MIT", "license_file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "license_file"), 4: ("Apache-2.0", "inherited"),
+        5: ("BSD-2-Clause", "license_file"), 6: ("ISC", "license_file"), 7: ("LGPL-2.1", "license_file"),
+        8: ("GPL-2.0", "header"), 9: ("Apache-2.0", "header"), 10: (None, "none")}
