@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opslens.llm import ngram_join, prefix_bpe, quality, tiling, toxicity
 from opslens.llm.common import materialise, table
@@ -13,32 +14,47 @@ from opslens.llm.common import materialise, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, decisions: DataFrame, condition: str) -> DataFrame:
-    """Documents whose decision meets the condition; a decision per doc_id, as the rows of one doc_id stand together."""
-    kept = materialise(decisions.where(condition).select("doc_id").distinct(), "pipeline-kept")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written so that every reader sees the same numbers."""
+    return materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in ``kept``: null and repeated doc_ids are decided row by row."""
+    return rows.join(materialise(kept.select("row"), "pipeline-kept"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a certified cutoff go."""
-    return _keep(docs, quality.quality_rules(docs, table(spark, sf_dir, "labels")), "kept")
+    """Rows that fail the base rule or a certified cutoff go; other rows of the same doc_id, or of none, are not touched."""
+    rows = _rows(docs)
+    return _keep(rows, quality.quality_rules(rows, table(spark, sf_dir, "labels"), carry=("row",)).where("kept"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    return _keep(docs, toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")), "predicted = 0")
+    """Rows predicted toxic go; other rows of the same doc_id, or of none, are not touched."""
+    rows = _rows(docs)
+    return _keep(rows, toxicity.score_toxicity(rows, table(spark, sf_dir, "labels"), row="row").where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id stays."""
-    return _keep(docs, ngram_join.jaccard_components(docs, size=5, percent=80), "doc_id = component_id")
+    """Of each group of near or exact copies (five words, similarity 0.8) the row with the smallest doc_id stays.
+
+    Rows are grouped by text, also repeated rows and rows without doc_id; a null doc_id comes after
+    all others, and one of several equal ones stays. Rows without words belong to no group and all stay.
+    """
+    rows = _rows(docs)
+    groups = ngram_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), size=5, percent=80, links=False)
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    return _keep(rows, groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover a test item go."""
-    found = materialise(tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(),
-                        "pipeline-leaks")
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that cover a test item go; other rows of the same doc_id, or of none, are not touched."""
+    rows = _rows(docs)
+    found = tiling.contaminated(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = materialise(found.select(F.col("doc_id").alias("row")).distinct(), "pipeline-leaks")
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

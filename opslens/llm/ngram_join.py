@@ -396,9 +396,11 @@ def count_links(docs: DataFrame, classes: DataFrame, components: DataFrame, size
     return found.groupBy("sig").agg(F.sum("linked").alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), n_links and component_id.
 
+    Without ``links`` the column n_links is left out and links are not counted.
+
     Documents link when 100 x intersection >= ``percent`` x union of their n-gram sets;
     component_id is the smallest doc_id reachable by links. n_links is the number of other
     documents that the text links to, exact copies among them. Null and empty texts have no
@@ -417,18 +419,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
     pre = materialise(prefixes(docs, size, percent, frequent).join(heads, "doc_id", "left_semi"), "join-prefixes")
     used = postings(pre, percent)
-    links = materialise(verify(docs, hub_pairs(used, percent), size, percent), "join-links")
-    components = connected_components(links)
+    found = materialise(verify(docs, hub_pairs(used, percent), size, percent), "join-links")
+    components = connected_components(found)
     rest = materialise(verify(docs, remaining_pairs(used, components, percent), size, percent), "join-links")
     if rest.limit(1).count():
-        links = links.unionByName(rest)
-        components = connected_components(links)
+        components = connected_components(found.unionByName(rest))
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "doc_id")).alias("component_id")
+    if not links:
+        labels = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        labels = materialise(labels.select("sig", F.coalesce("component", "rep").alias("component")), "join-labels")
+        return rows.join(labels, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component)
     linked = count_links(docs, classes, components, size, percent)
     labels = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "sig", "left")
     labels = materialise(labels.select("sig", F.coalesce("component", "rep").alias("component"), (F.coalesce(
         "linked", F.lit(0)) + F.col("documents") - 1).alias("n_links")), "join-labels")
-    known = F.col("doc_id").isNotNull()
     return rows.join(labels, "sig", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(
-            F.lit(0)).alias("n_links"),
-        F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
+            F.lit(0)).alias("n_links"), component)

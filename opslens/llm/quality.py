@@ -141,17 +141,18 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-                  stratum: Column | None = None) -> DataFrame:
+                  stratum: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the base counts, ``base_failed``, ``kept`` and the signals that rejected it.
 
     A stratum is a language code of two or three letters, or "other"; so there are at
     most 18,253 of them, which bounds the table of cutoffs that is broadcast. Of repeated
     labels the lowest counts; labels other than 0 and 1 are not used. Empty tables give
-    no row. Columns of ``docs`` beyond doc_id, text and lang are not read.
+    no row. Columns of ``docs`` beyond doc_id, text and lang are not read,
+    but those named in ``carry`` come with their row.
     """
     lang = F.col("lang") if stratum is None else stratum
     code = F.when(lang.rlike("^[a-z]{2,3}$"), lang).otherwise("other")
-    rows = docs.select("doc_id", "text", code.alias("stratum"))
+    rows = docs.select("doc_id", "text", code.alias("stratum"), *carry)
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = text_features(rows.withColumn("n_lines", F.size(F.split(t, "\n")))).drop("text")
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words"))
@@ -163,4 +164,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     over = F.array_compact(F.array(*[F.when(F.col(s) > F.element_at("cutoffs", F.lit(s)), s) for s in GRID]))
     return rows.withColumn("rejected_by", over).withColumn(
         "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).select(
-        "doc_id", *BASE, "base_failed", "kept", "stratum", "rejected_by")
+        "doc_id", *BASE, "base_failed", "kept", "stratum", "rejected_by", *carry)

@@ -330,8 +330,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
     return [(t, y) for _, t, y in sorted(rows, key=lambda x: (x[0], x[1]))]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
+                   row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, and the long column named in ``row``.
 
     Learns only from labelled rows that are not held out. The broadcasts have fixed
     bounds: 3 x ``sample`` ids, and the weights. A null or empty text gets the score of an
@@ -341,14 +342,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     net = train(training_rows(docs, labels, settings), settings)
     weights = docs.sparkSession.sparkContext.broadcast(net.w)
 
+    carry = [row] if row else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.value, settings)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 got = scorer.scores(texts_of(part.column(1)))
-                yield pa.record_batch([part.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
+                yield pa.record_batch([part.column(0), pa.array(got, pa.float64()), *part.columns[2:]], ["doc_id", "score", *carry])
 
-    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
+    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), run, ", ".join(
+        ["doc_id long", "score double", *(f"{c} long" for c in carry)]))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
-                         (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+                         (F.col("score") >= settings.threshold).cast("int").alias("predicted"), *carry)

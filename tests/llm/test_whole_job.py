@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,27 @@ def test_whole_license_files_and_wrapped_statements(spark):
         1: ("MIT", "license_file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "license_file"), 4: ("Apache-2.0", "inherited"),
         5: ("BSD-2-Clause", "license_file"), 6: ("ISC", "license_file"), 7: ("LGPL-2.1", "license_file"),
         8: ("GPL-2.0", "header"), 9: ("Apache-2.0", "header"), 10: (None, "none")}
+
+
+def test_pipeline_decides_each_row(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    r = random.Random(4)
+    good = [" ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(80)) for _ in range(4)]
+    bad, leak = "same " * 80, good[0] + " " + item
+    texts = [(None, good[0]), (None, bad), (1, good[1]), (1, bad), (2, good[2]), (2, good[2]), (3, good[2]), (None, good[2]),
+             (4, leak), (4, good[3]), (None, None), (5, "")]
+    ends = {name: stage for name, stage in corpus_pipeline.STAGES}
+    run = lambda name, rows: sorted(((x.doc_id, x.text) for x in ends[name](
+        spark, docs(spark, rows), str(tmp_path)).collect()), key=repr)
+    by = lambda rows: sorted(rows, key=repr)
+    assert run("quality rules", texts) == by((i, t) for i, t in texts if t and t != bad)
+    scores = corpus_pipeline.toxicity.score_toxicity(docs(spark, list(enumerate(t for _, t in texts))), spark.read.parquet(
+        str(tmp_path / "labels.parquet"))).collect()
+    clean = {x.doc_id for x in scores if x.predicted == 0}
+    assert run("toxicity", texts) == by(x for k, x in enumerate(texts) if k in clean)
+    assert run("n-gram Jaccard join", texts) == by(  # the row of good[0] is a near copy of the leak, and has no doc_id
+        [(None, None), (5, ""), (1, bad), (1, good[1]), (2, good[2]), (4, leak), (4, good[3])])
+    assert run("benchmark decontamination", texts) == by(x for x in texts if x[1] != leak)
+    assert all(run(name, []) == [] for name in ("quality rules", "benchmark decontamination"))
