@@ -15,7 +15,7 @@ from ..functions.times import in_period, read_time, slot_label, slot_start, step
 from . import skew
 
 # A booking with more visits than this is matched slice by slice; a slice holds
-# at most SLICE_IDS visits of one booking because visit ids are unique in it.
+# at most SLICE_IDS visit ids of one booking.
 HEAVY_VISITS = 100_000
 SLICE_IDS = 100_000
 
@@ -55,12 +55,13 @@ def _match_stamps(visits: DataFrame, stamps: DataFrame, heavy_rows: int, heavy_v
     A visit cancelled at or after the next stamp takes it, one stamp per visit.
     Only the position in the stamp list is carried along, so a long booking is
     cut into slices: each slice tells where every starting position would end,
-    and the positions are chained over the slices. Returns per booking the
-    matched ``(visit_id, stamp)`` pairs, never more than there are stamps.
+    and the positions are chained over the slices. Rows of a visit listed twice
+    are visits of their own, told apart by ``_nr``. Returns per booking the stamps
+    by ``(visit_id, _nr)``, never more than there are stamps.
     """
     waiting = stamps.where(F.size("_queue") > 0).select(
         "booking_id", "n_rows", F.col("n_rows").alias("_visits"), "_queue")
-    narrow = present(visits.select("booking_id", "visit_id", "cancellation_time"), "booking_id", "cancellation_time")
+    narrow = present(visits.select("booking_id", "visit_id", "_nr", "cancellation_time"), "booking_id", "cancellation_time")
     # A visit cancelled before every stamp can take none.
     able = skew.attach(narrow, waiting, "booking_id", F.col("visit_id"), floor=heavy_rows).where(
         F.col("cancellation_time") >= F.array_min("_queue"))
@@ -68,7 +69,7 @@ def _match_stamps(visits: DataFrame, stamps: DataFrame, heavy_rows: int, heavy_v
     slices = (
         able.withColumn("_slice", F.when(sliced, F.floor(F.col("visit_id") / slice_ids)).otherwise(F.lit(-1)))
         .groupBy("booking_id", "_slice")
-        .agg(F.sort_array(F.collect_list(F.struct("visit_id", "cancellation_time"))).alias("_v"),
+        .agg(F.sort_array(F.collect_list(F.struct("visit_id", "_nr", "cancellation_time"))).alias("_v"),
              F.any_value("_queue").alias("_queue"), F.max("_slice").alias("_cut"))
     )
 
@@ -97,19 +98,20 @@ def _match_stamps(visits: DataFrame, stamps: DataFrame, heavy_rows: int, heavy_v
     begun = slices.join(
         starts, (F.col("booking_id") == F.col("_b")) & (F.col("_slice") == F.col("_s")), "left",
     ).where((F.col("_cut") < 0) | F.col("_start").isNotNull())
-    none = F.array().cast("array<struct<visit_id:bigint,stamp:timestamp_ntz>>")
+    none = F.array().cast("array<struct<visit:struct<visit_id:bigint,nr:int>,stamp:timestamp_ntz>>")
     begin = F.struct(F.coalesce("_start", F.lit(0)).alias("at"), none.alias("pairs"))
 
     def take(s, v):
-        pair = F.struct(v["visit_id"].cast("bigint").alias("visit_id"), F.get("_queue", s["at"]).alias("stamp"))
+        pair = F.struct(_visit_row(v["visit_id"], v["_nr"]).alias("visit"), F.get("_queue", s["at"]).alias("stamp"))
         return F.when(due(s["at"], v), F.struct(
             (s["at"] + 1).alias("at"), F.concat(s["pairs"], F.array(pair)).alias("pairs"))).otherwise(s)
 
     pairs = begun.select("booking_id", F.explode(F.aggregate("_v", begin, take)["pairs"]).alias("_pair"))
-    # A visit id listed twice in a booking can take two stamps; the earlier one stands.
-    taken = pairs.groupBy("booking_id", "_pair.visit_id").agg(F.min("_pair.stamp").alias("stamp"))
-    return taken.groupBy("booking_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("visit_id", "stamp"))).alias("_taken"))
+    return pairs.groupBy("booking_id").agg(F.map_from_entries(F.collect_list("_pair")).alias("_taken"))
+
+
+def _visit_row(visit_id: Column, nr: Column) -> Column:
+    return F.struct(visit_id.cast("bigint").alias("visit_id"), nr.cast("int").alias("nr"))
 
 
 def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int = skew.HEAVY_ROWS,
@@ -118,18 +120,23 @@ def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int =
 
     Done visits take the booking's last stamp, which is used up even without a
     done visit. The others go greedily to visits in visit order, and may
-    overwrite a done visit's.
+    overwrite a done visit's. A visit id listed twice in a booking is two visits,
+    in the order of cancellation time and then of the remaining columns.
     """
+    names = visits.columns
     visits = present(visits, "booking_id")
+    # per visit, not per booking: a large booking stays spread; equal rows may change places
+    visits = visits.withColumn("_nr", F.row_number().over(Window.partitionBy("booking_id", "visit_id").orderBy(
+        F.col("cancellation_time").asc_nulls_last(), *[c for c in names if c not in ("booking_id", "visit_id", "cancellation_time")])))
     stamps = _booking_stamps(visits, pattern)
     taken = _match_stamps(visits, stamps, heavy_rows, heavy_visits, slice_ids)
     per_booking = stamps.select("booking_id", "n_rows", "_made_up", "ofd_attempts", "_last").join(
         taken, "booking_id", "left")
     out = skew.attach(visits, per_booking, "booking_id", F.col("visit_id"), floor=heavy_rows)
-    own = F.try_element_at("_taken", F.col("visit_id"))
+    own = F.try_element_at("_taken", _visit_row(F.col("visit_id"), F.col("_nr")))
     stamp = F.coalesce(own, F.when(F.col("visit_status") == "done", F.col("_last")))
     columns = [F.coalesce("ofd_happened_at", "_made_up").alias(c) if c == "ofd_happened_at" else F.col(c)
-               for c in visits.columns]
+               for c in names]
     return out.select(*columns, stamp.alias("ofd_time"), "ofd_attempts")
 
 
