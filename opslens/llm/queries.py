@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import chat, hard_negatives, html_text, licenses, ngram_join, prefix_bpe, quality, tiling, token_files, toxicity, warc
+from opslens.llm import (
+    byte_cnn, chat, hard_negatives, html_text, licenses, merkle, ngram_join, prefix_bpe, quality, tiling, token_files, toxicity,
+    warc,
+)
 from opslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +83,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabelled)
 
 
+#: The letters that tampering lower-cases, and what it makes of them.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang",
+                            {"text": F.translate("text", UPPER, LOWER)}, tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_format, op3_toxicity, op4_token_counts, op5_byte_bpe, op6_string_tiling, op7_warc_index,
-    op8_license_scan, op9_ngram_join, op10_html_text, op11_hard_negatives, pipeline)}
+    op8_license_scan, op9_ngram_join, op10_html_text, op11_hard_negatives, op12_merkle_manifest, op13_byte_cnn, pipeline)}
 
 _OP11 = """
 WITH used AS (
@@ -112,4 +130,50 @@ negatives AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op11_hard_negatives": _OP11}
+#: The unsigned crc32 of a short ASCII text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''),
+  lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i:
+  CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+def _merkle_sql(levels: int = 7, tops: int = 4) -> str:
+    """The tree level by level, for as many levels as given: 8 ** levels rows of a language, 8 ** tops languages."""
+    def leaf(text):
+        parts = (f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+                 for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({' || '.join(parts)})"
+
+    def up(name, key, n):
+        """Nodes t0.. of each level of a tree, and runs r0.. with all nodes of a run in order."""
+        for k in range(n):
+            yield f"""{name}c{k} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS c FROM {name}t{k}),
+{name}r{k} AS (SELECT {key}, pos // 8 AS run, max(c) AS c, list(node ORDER BY pos) AS ns FROM {name}c{k} GROUP BY ALL),
+{name}t{k + 1} AS (SELECT {key}, run AS pos, CASE WHEN c > 1 THEN sha256(array_to_string(ns, '')) ELSE ns[1] END AS node
+  FROM {name}r{k})"""
+
+    def climb(name, key, n, first):
+        for k in range(n):
+            yield f"""p{first + k + 1} AS (SELECT p.* REPLACE (p.pos // 8 AS pos,
+  CASE WHEN c > 1 THEN sha256(array_to_string(ns[:p.pos % 8], '') || cur || array_to_string(ns[p.pos % 8 + 2:], '')) ELSE cur END AS cur,
+  CASE WHEN c > 1 THEN proof || array_to_string(ns[:p.pos % 8], '') || array_to_string(ns[p.pos % 8 + 2:], '') ELSE proof END AS proof)
+  FROM p{first + k} p JOIN {name}r{k} r ON p.{key} IS NOT DISTINCT FROM r.{key} AND p.pos // 8 = r.run)"""
+
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    return ",\n".join([
+        f"""WITH leaves AS (SELECT doc_id, lang, {leaf("text")} AS leaf,
+  CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(lower)} END AS other FROM documents)""",
+        """placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves)""",
+        "at0 AS (SELECT lang, pos, leaf AS node FROM placed)", *up("a", "lang", levels),
+        f"""bt0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, lang, node FROM at{levels})""",
+        *up("b", "one", tops), "p0 AS (SELECT *, 0 AS one, coalesce(other, leaf) AS cur, '' AS proof FROM placed)",
+        *climb("a", "lang", levels, 0),
+        f"""q AS (SELECT p.* REPLACE (b.pos AS pos), b.node AS subroot FROM p{levels} p JOIN bt0 b ON p.lang IS NOT DISTINCT FROM b.lang),
+p{levels + 1} AS (SELECT * FROM q)""",
+        *climb("b", "one", tops, levels + 1)]) + f"""
+SELECT doc_id, leaf, subroot, bt{tops}.node AS root, sha256(proof) AS proof_sha256, cur AS folded_root,
+       cur = bt{tops}.node AS verified
+FROM p{levels + tops + 1}, bt{tops}
+"""
+
+
+ORACLES: dict[str, str] = {"op11_hard_negatives": _OP11, "op12_merkle_manifest": _merkle_sql()}
