@@ -10,9 +10,6 @@ from ..functions.labels import REVENUE_BANDS, SUCCESS_STATUSES
 from ..functions.times import month_of
 from . import skew
 
-# Booking ids per slice when the bookings of one customer are cut.
-SLICE_IDS = 1_000_000
-
 
 def merge_bookings(newer: DataFrame, older: DataFrame, key: str = "booking_id") -> DataFrame:
     """Union of two dumps by booking: the newer cell wins, the older one fills its gaps.
@@ -150,7 +147,7 @@ def latest_credits(bookings: DataFrame) -> DataFrame:
 
 
 def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None,
-                   heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+                   heavy_rows: int | None = None) -> DataFrame:
     """Mark a booking 1 when its parent is a booking of the same customer and it was not a redo.
 
     Parents are looked for in ``known``, by default the bookings themselves;
@@ -169,7 +166,7 @@ def duplicate_flag(bookings: DataFrame, known: DataFrame | None = None,
 def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES,
                      order_by: tuple[str, ...] = ("requested_date", "booking_id"),
                      threshold: float = 0.1, duplicates: bool = True,
-                     heavy_rows: int = skew.HEAVY_ROWS, slice_ids: int = SLICE_IDS) -> DataFrame:
+                     heavy_rows: int | None = None, slice_ids: int | None = None) -> DataFrame:
     """Successful bookings with their customer's cohort, source, segment, rating and so on.
 
     Takes the output of ``with_revenue``. ``order_by`` numbers a customer's
@@ -178,9 +175,9 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
     left out, which is all the cohort and customer reports need.
 
     The wide rows are shuffled once for all customer columns (statistics join,
-    numbering) and once for the duplicate test. A customer with more than
-    ``heavy_rows`` bookings is numbered in slices of at most ``slice_ids``
-    booking ids, each slice starting from the count of the slices before it.
+    numbering) and once for the duplicate test. A customer who holds more than their share
+    of the rows (above ``heavy_rows``, where given) is numbered in ranges of about
+    ``slice_ids`` bookings, each starting from the prefix sum of the ranges before it.
     """
     if order_by[-1] != "booking_id":
         raise ValueError("order_by must end with booking_id")
@@ -199,15 +196,13 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
 
     heavy = skew.heaviest(stats, "phone", floor=heavy_rows).select(
         F.col("phone").alias("_hp"), F.struct(*added).alias("_heavy"))
-    is_heavy = F.col("_hp").isNotNull()
-    leading = list(order_by[:-1])
-    id_slice = F.floor(F.col("booking_id") / slice_ids)
-    marked = rows.join(F.broadcast(heavy), F.col("phone") == F.col("_hp"), "left").withColumn(
-        "_slice", skew.slice_key(is_heavy, *[F.col(c) for c in leading], id_slice))
+    places = [x for c in order_by for x in (F.col(c).isNull(), F.col(c))]
+    marked = skew.cut(rows, "phone", places, "_slice", stats=stats, floor=heavy_rows, slice_rows=slice_ids)
+    marked = marked.join(F.broadcast(heavy), F.col("phone") == F.col("_hp"), "left")
 
-    # Only unsliced rows meet this side, so its slice name is '' for every customer.
+    # Only uncut rows meet this side, so its slice is -1 for every customer.
     light = stats.select(F.col("phone").alias("_lp"),
-                         F.when(skew.zero_of("phone") == 0, "").otherwise("/").alias("_ls"),
+                         F.when(skew.zero_of("phone") == 0, -1).otherwise(-2).alias("_ls"),
                          F.struct(*added).alias("_light"))
     order = [F.col(c).asc_nulls_last() for c in order_by]
     in_slice = Window.partitionBy("phone", "_slice").orderBy(*order)
@@ -216,18 +211,12 @@ def enrich_customers(bookings: DataFrame, statuses: list[str] = SUCCESS_STATUSES
         light, (F.col("phone") == F.col("_lp")) & (F.col("_slice") == F.col("_ls")), "left",
     ).withColumn("_nr", F.row_number().over(in_slice))
 
-    slice_order = Window.partitionBy("_op").orderBy(
-        *[F.col(f"_o_{c}").asc_nulls_last() for c in leading], "_o_id"
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.where(is_heavy)
-        .groupBy(F.col("phone").alias("_op"), F.col("_slice").alias("_os"),
-                 *[F.col(c).alias(f"_o_{c}") for c in leading], id_slice.alias("_o_id"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select("_op", "_os", F.coalesce(F.sum("_c").over(slice_order), F.lit(0)).alias("_before"))
-    )
+    before = Window.partitionBy("_op").orderBy("_os").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = marked.where(F.col("_slice") >= 0).groupBy(F.col("phone").alias("_op"), F.col("_slice").alias("_os")).agg(
+        F.count(F.lit(1)).alias("_c")).select("_op", "_os", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    # one row for each range of a cut customer
     numbered = numbered.join(
-        offsets, (F.col("phone") == F.col("_op")) & (F.col("_slice") == F.col("_os")), "left")
+        F.broadcast(offsets), (F.col("phone") == F.col("_op")) & (F.col("_slice") == F.col("_os")), "left")
 
     found = F.coalesce(F.col("_heavy"), F.col("_light"))
     computed = {

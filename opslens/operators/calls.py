@@ -9,11 +9,9 @@ from ..functions.columns import holds, null_if_zero, present, ratio
 from ..functions.labels import CALL_STATUS_MAP, DIRECTION_MAP
 from ..functions.text import relabel
 from ..functions.times import clock_seconds, in_period, moment, seconds_between
+from . import skew
 from .quantiles import distribution
 
-# Length of the slices that the calls of one phone are cut into.
-SLICE_SECONDS = 86_400
-
 
 def prepare_calls(calls: DataFrame, agents: DataFrame, start=None, end=None) -> DataFrame:
     """Fold directions and statuses, keep inbound and agents' calls, and name the customer's phone.
@@ -35,7 +33,8 @@ def prepare_calls(calls: DataFrame, agents: DataFrame, start=None, end=None) ->
     return rows.withColumn("phone", phone).select("phone", *kept)
 
 
-def callback_status(calls: DataFrame, total_seconds: bool = False, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def callback_status(calls: DataFrame, total_seconds: bool = False, slice_seconds: int | None = None,
+                    heavy_rows: int | None = None) -> DataFrame:
     """When and how each missed call was called back.
 
     Takes ``prepare_calls`` rows and adds ``callback_status`` and
@@ -46,16 +45,19 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, slice_seconds
     'no_callback'. Minutes count the part of the wait below one day unless
     ``total_seconds`` is set.
 
-    Only running windows over the phone's calls are used: an inbound missed call
-    sets the state to open, a completed inbound or answered outbound call sets
-    it to closed and an outbound missed call flips it. Every phone's calls are cut
-    into slices of ``slice_seconds``, both possible states at the start of a slice
-    are computed, and the states are chained over the slices of the phone, whose
-    number is bounded by the time the calls span.
+    A call is a map of the two states: it sets closed (completed inbound, answered outbound),
+    sets open (missed inbound), or swaps them (missed outbound). Running windows compose the
+    maps within a phone. A phone that holds more than its share of the calls (above
+    ``heavy_rows``, where given) is cut into slices; each slice is one map of the
+    state, with the time of the last opening under either state, and these are composed
+    over the phone. With ``slice_seconds`` every phone is cut at those times instead.
     """
     rows = present(calls, "phone", "start_time")
-    epoch = seconds_between(moment("1970-01-01 00:00:00"), F.col("start_time"))
-    rows = rows.withColumn("_slice", F.floor(epoch / F.lit(slice_seconds)).cast("long"))
+    if slice_seconds is None:
+        rows = skew.cut(rows, "phone", [F.col("start_time"), F.col("call_id")], "_slice", floor=heavy_rows)
+    else:
+        epoch = seconds_between(moment("1970-01-01 00:00:00"), F.col("start_time"))
+        rows = rows.withColumn("_slice", F.floor(epoch / F.lit(slice_seconds)).cast("int"))
 
     inbound, outbound = F.col("direction") == "inbound", F.col("direction") == "outbound"
     missed, completed = holds(F.col("status") == "missed-call"), holds(F.col("status") == "completed")
@@ -65,69 +67,72 @@ def callback_status(calls: DataFrame, total_seconds: bool = False, slice_seconds
         .when(missed & ~holds(outbound), F.lit(1)))
     flip = F.when(holds(outbound) & missed, F.lit(1)).otherwise(F.lit(0))
 
-    part = Window.partitionBy("phone", "_slice")
-    run = part.orderBy("start_time", "call_id").rowsBetween(Window.unboundedPreceding, 0)
-    order = part.orderBy("start_time", "call_id")
-    full = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_fixed", fixed).withColumn("_flips", F.sum(flip).over(run))
-    last_fixed = F.last("_fixed", ignorenulls=True).over(run)
-    flips_then = F.last(F.when(F.col("_fixed").isNotNull(), F.col("_flips")), ignorenulls=True).over(run)
-    rows = rows.withColumn("_last", last_fixed).withColumn(
-        "_since", F.col("_flips") - F.coalesce(flips_then, F.lit(0)))
-    for s in (0, 1):
-        rows = rows.withColumn(f"_after{s}", F.pmod(F.coalesce("_last", F.lit(s)) + F.col("_since"), F.lit(2)))
-    for s in (0, 1):
-        rows = rows.withColumn(f"_before{s}", F.coalesce(F.lag(f"_after{s}").over(order), F.lit(s)))
-    for s in (0, 1):
-        opens = (F.col(f"_before{s}") == 0) & (F.col(f"_after{s}") == 1)
-        rows = rows.withColumn(f"_open{s}", F.last(F.when(opens, F.col("start_time")), ignorenulls=True).over(run))
-    # Ends of the slice. The latest missed call is the first one at the greatest time.
+    order = Window.partitionBy("phone", "_slice").orderBy("start_time", "call_id")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The map up to a call is a fixed state or none, and the parity of the swaps since. A fixed
+    # state is kept less the swaps before it, so that all swaps of the slice may be added to it.
+    # The latest missed call is the first one at the greatest time.
     latest = F.when(missed, F.struct(F.col("start_time"), -F.col("call_id")))
-    rows = rows.withColumn("_mark", F.max_by("call_id", latest).over(full))
-
-    carried = _chain_slices(rows, missed)
-    rows = rows.join(carried, (F.col("phone") == F.col("_cp")) & (F.col("_slice") == F.col("_cs")))
-    began_open = F.col("_carry") == 1
-    before = F.when(began_open, F.col("_before1")).otherwise(F.col("_before0"))
-    after = F.when(began_open, F.col("_after1")).otherwise(F.col("_after0"))
-    opened = F.coalesce(F.when(began_open, F.col("_open1")).otherwise(F.col("_open0")), F.col("_carry_open"))
-    closes = (before == 1) & (after == 0)
-    unanswered = (F.col("_final") == 1) & F.col("_holds_mark") & (F.col("call_id") == F.col("_mark"))
+    rows = rows.withColumns({"_flips": F.sum(flip).over(run), "_mark": F.max_by("call_id", latest).over(whole)})
+    base = F.when(fixed.isNotNull(), F.pmod(fixed + F.col("_flips"), F.lit(2)))
+    rows = rows.withColumns({"_base": F.last(base, ignorenulls=True).over(run),
+                             "_base_before": F.last(base, ignorenulls=True).over(earlier)})
+
+    def state(base: str, flips: Column, start: int) -> Column:
+        return F.pmod(F.coalesce(base, F.lit(start)) + flips, F.lit(2))
+
+    before = [state("_base_before", F.col("_flips") - flip, s) for s in (0, 1)]
+    after = [state("_base", F.col("_flips"), s) for s in (0, 1)]
+    opened = [F.last(F.when((before[s] == 0) & (after[s] == 1), F.col("start_time")), ignorenulls=True).over(run) for s in (0, 1)]
+    rows = rows.withColumns({"_open0": opened[0], "_open1": opened[1], "_final0": F.last(after[0]).over(whole)})
+
+    carried = _carried(rows.where(F.col("_slice") >= 0), after, missed)
+    rows = rows.join(F.broadcast(carried) if slice_seconds is None else carried,
+                     (F.col("phone") == F.col("_cp")) & (F.col("_slice") == F.col("_cs")), "left")
+    began_open = holds(F.col("_carry") == 1)
+    was_open = F.when(began_open, before[1]).otherwise(before[0])
+    is_open = F.when(began_open, after[1]).otherwise(after[0])
+    opened_at = F.coalesce(F.when(began_open, F.col("_open1")).otherwise(F.col("_open0")), F.col("_carry_open"))
+    closes = (was_open == 1) & (is_open == 0)
+    unanswered = (F.coalesce("_final", "_final0") == 1) & F.coalesce("_holds_mark", F.lit(True)) & (F.col("call_id") == F.col("_mark"))
     how = F.when(inbound, "inb").when(completed, "out_success").otherwise("out_fail")
-    wait = seconds_between(opened, F.col("start_time")).cast("double") if total_seconds \
-        else clock_seconds(opened, F.col("start_time"))
+    wait = seconds_between(opened_at, F.col("start_time")).cast("double") if total_seconds \
+        else clock_seconds(opened_at, F.col("start_time"))
     return rows.select(
         *calls.columns,
         F.when(unanswered, "no_callback").when(closes, how).alias("callback_status"),
         F.when(closes, wait / F.lit(60.0)).alias("callback_minutes"))
 
 
-def _chain_slices(rows: DataFrame, missed: Column) -> DataFrame:
-    """State and open time each slice of a phone starts with; one row per slice."""
+def _carried(rows: DataFrame, after: list[Column], missed: Column) -> DataFrame:
+    """What each slice of a cut phone starts with, from the composed maps of the slices before it.
+
+    One row per slice. A slice's map says, for either state at its start, the state at its end
+    and the last opening in it.
+    """
     at = F.struct("start_time", "call_id")
-    ends = rows.groupBy("phone", "_slice").agg(
-        F.max_by("_after0", at).alias("_a0"), F.max_by("_after1", at).alias("_a1"),
-        F.max_by("_open0", at).alias("_o0"), F.max_by("_open1", at).alias("_o1"),
-        F.bool_or(missed).alias("_has_missed"))
-    part = Window.partitionBy("phone")
-    order = part.orderBy("_slice")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.withColumn("_fix", F.when(F.col("_a0") == F.col("_a1"), F.col("_a0"))).withColumn(
-        "_flips", F.sum(F.when(F.col("_a0") > F.col("_a1"), F.lit(1)).otherwise(F.lit(0))).over(run))
-    then = F.last(F.when(F.col("_fix").isNotNull(), F.col("_flips")), ignorenulls=True).over(run)
-    state = F.pmod(F.coalesce(F.last("_fix", ignorenulls=True).over(run), F.lit(0))
-                   + F.col("_flips") - F.coalesce(then, F.lit(0)), F.lit(2))
-    ends = ends.withColumn("_state", state)
-    ends = ends.withColumn("_carry", F.coalesce(F.lag("_state").over(order), F.lit(0)))
-    ends = ends.withColumn("_opened", F.when(F.col("_carry") == 0, F.col("_o0")).otherwise(F.col("_o1")))
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    return ends.select(
-        F.col("phone").alias("_cp"), F.col("_slice").alias("_cs"), "_carry",
-        F.last("_opened", ignorenulls=True).over(earlier).alias("_carry_open"),
-        F.last("_state").over(whole).alias("_final"),
-        (F.col("_slice") == F.max(F.when(F.col("_has_missed"), F.col("_slice"))).over(
-            part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_holds_mark"))
+    maps = rows.groupBy("phone", "_slice").agg(
+        F.max_by(F.array(*[F.struct(after[s].alias("ends"), F.col(f"_open{s}").alias("opened")) for s in (0, 1)]), at).alias("map"),
+        F.bool_or(missed).alias("missed"))
+    chain = maps.groupBy("phone").agg(F.sort_array(F.collect_list(F.struct("_slice", "map", "missed"))).alias("chain"))
+    when = dict(rows.dtypes)["start_time"]
+    start = F.struct(F.lit(0).cast("int").alias("state"), F.lit(None).cast(when).alias("opened"), F.array().cast(
+        f"array<struct<slice:int,carry:int,opened:{when}>>").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        led = F.get(m["map"], s["state"])
+        row = F.struct(m["_slice"].alias("slice"), s["state"].alias("carry"), s["opened"].alias("opened"))
+        return F.struct(led["ends"].cast("int").alias("state"), F.coalesce(led["opened"], s["opened"]).alias("opened"),
+                        F.concat(s["out"], F.array(row)).alias("out"))
+
+    done = chain.select(
+        F.col("phone").alias("_cp"), F.aggregate("chain", start, step).alias("end"),
+        F.array_max(F.transform(F.filter("chain", lambda m: m["missed"]), lambda m: m["_slice"])).alias("last_missed"))
+    return done.select("_cp", F.col("end.state").alias("_final"), "last_missed", F.inline("end.out")).select(
+        "_cp", F.col("slice").alias("_cs"), F.col("carry").alias("_carry"), F.col("opened").alias("_carry_open"), "_final",
+        (F.col("slice") == F.col("last_missed")).alias("_holds_mark"))
 
 
 def callback_kpis(callbacks: DataFrame, period: str = "week") -> DataFrame:

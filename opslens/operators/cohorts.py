@@ -82,7 +82,7 @@ def cohort_variants(bookings: DataFrame, city: str | None = None,
 
 def cohorts_for_good_localities(bookings: DataFrame, min_size: int = 5, min_nps: float = 0.10,
                                 excluded_month: str | None = "2016-06",
-                                heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+                                heavy_rows: int | None = None) -> DataFrame:
     """Cohorts of the customers in well-rated localities, from a raw dump.
 
     Cohort month, booking count and so on are taken within the selected rows.

@@ -115,7 +115,7 @@ def marketing_master(bookings: DataFrame, city: str | None = None, as_of=None,
 
 
 def leads_without_bookings(leads: DataFrame, bookings: DataFrame, number: str = "number",
-                           heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+                           heavy_rows: int | None = None) -> DataFrame:
     """Distinct leads whose number has no booking that was not cancelled.
 
     A missing number counts as booked when some booking has no phone.

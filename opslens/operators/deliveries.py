@@ -14,130 +14,112 @@ from ..functions.text import list_items, list_length, normalise_reason, range_st
 from ..functions.times import in_period, read_time, slot_label, slot_start, step_week_label, step_week_names
 from . import skew
 
-# A booking with more visits than this is matched slice by slice; a slice holds
-# at most SLICE_IDS visit ids of one booking.
-HEAVY_VISITS = 100_000
-SLICE_IDS = 100_000
+# Visits of one booking that are held in one value at most, about.
+SLICE_VISITS = 100_000
 
 DELIVERY_SLOTS = [name for _, name in DELIVERY_STEPS] + [DELIVERY_LATER]
 HOURLY_SLOTS = [name for _, name in HOURLY_DELIVERY_STEPS] + [HOURLY_DELIVERY_LATER]
 
 
-def _booking_stamps(visits: DataFrame, pattern: str | None) -> DataFrame:
-    """Per booking: visits, out-for-delivery stamps and attempts, map-side aggregated.
+def _visit_facts() -> list[Column]:
+    """What a booking's stamps follow from; facts of slices add up to those of the booking."""
+    return [
+        F.bool_or(holds(F.col("visit_status") == "done")).alias("done"),
+        F.min(F.when(F.col("ofd_happened_at").isNotNull(), F.struct("visit_id", "ofd_happened_at"))).alias("listed"),
+        F.max("creation_time").alias("created"),
+        F.max(list_length(F.col("ofd_happened_at"))).alias("attempts")]
+
+
+def _stamps(done: Column, listed: Column, created: Column, attempts: Column, pattern: str | None) -> Column:
+    """A booking's made-up stamp list, number of attempts, last stamp and the stamps before it.
 
     Without any stamp a booking with a done visit gets its latest creation time
     as the only stamp; without either it gets none.
     """
-    stats = visits.groupBy("booking_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.bool_or(holds(F.col("visit_status") == "done")).alias("_any_done"),
-        F.min_by("ofd_happened_at", F.when(F.col("ofd_happened_at").isNotNull(), F.col("visit_id"))).alias("_listed"),
-        F.max("creation_time").alias("_created"),
-        F.max(list_length(F.col("ofd_happened_at"))).alias("_attempts"))
-    stats = skew.built_once(stats)
-    made_up = F.when(F.col("_listed").isNull() & F.col("_any_done"),
-                     F.date_format("_created", "yyyy-MM-dd HH:mm:ss"))
-    stats = stats.withColumn("_made_up", made_up).withColumn(
-        "_stamps", list_items(F.coalesce("_listed", "_made_up")))
-    stats = stats.withColumn("_times", F.transform("_stamps", lambda s: read_time(s, pattern)))
-    return stats.select(
-        "booking_id", "n_rows", "_made_up",
-        F.coalesce("_attempts", F.when(F.col("_made_up").isNotNull(), F.lit(1))).alias("ofd_attempts"),
-        F.element_at("_times", -1).alias("_last"),
-        F.slice("_times", F.lit(1), F.greatest(F.size("_times") - 1, F.lit(0))).alias("_queue"))
-
-
-def _match_stamps(visits: DataFrame, stamps: DataFrame, heavy_rows: int, heavy_visits: int,
-                  slice_ids: int) -> DataFrame:
-    """Greedy match of a booking's remaining stamps to its visits in visit order.
-
-    A visit cancelled at or after the next stamp takes it, one stamp per visit.
-    Only the position in the stamp list is carried along, so a long booking is
-    cut into slices: each slice tells where every starting position would end,
-    and the positions are chained over the slices. Rows of a visit listed twice
-    are visits of their own, told apart by ``_nr``. Returns per booking the stamps
-    by ``(visit_id, _nr)``, never more than there are stamps.
+    made_up = F.when(listed.isNull() & done, F.date_format(created, "yyyy-MM-dd HH:mm:ss"))
+    times = F.transform(list_items(F.coalesce(listed["ofd_happened_at"], made_up)), lambda s: read_time(s, pattern))
+    return F.struct(
+        made_up.alias("made_up"), F.coalesce(attempts, F.when(made_up.isNotNull(), F.lit(1))).alias("attempts"),
+        F.element_at(times, -1).alias("last"), F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))).alias("queue"))
+
+
+def _due(queue: Column, place: Column, cancelled: Column) -> Column:
+    return holds(cancelled >= F.get(queue, place))
+
+
+def _start_places(slices: DataFrame, pattern: str | None) -> DataFrame:
+    """Stamps of each cut booking and the place in them that each of its slices starts with; one row per slice.
+
+    A slice is a map from every place it may start with to the place it then ends with: that is
+    the work over its visits, done slice by slice. The maps of a booking are then composed.
     """
-    waiting = stamps.where(F.size("_queue") > 0).select(
-        "booking_id", "n_rows", F.col("n_rows").alias("_visits"), "_queue")
-    narrow = present(visits.select("booking_id", "visit_id", "_nr", "cancellation_time"), "booking_id", "cancellation_time")
-    # A visit cancelled before every stamp can take none.
-    able = skew.attach(narrow, waiting, "booking_id", F.col("visit_id"), floor=heavy_rows).where(
-        F.col("cancellation_time") >= F.array_min("_queue"))
-    sliced = F.col("_visits") > heavy_visits
-    slices = (
-        able.withColumn("_slice", F.when(sliced, F.floor(F.col("visit_id") / slice_ids)).otherwise(F.lit(-1)))
-        .groupBy("booking_id", "_slice")
-        .agg(F.sort_array(F.collect_list(F.struct("visit_id", "_nr", "cancellation_time"))).alias("_v"),
-             F.any_value("_queue").alias("_queue"), F.max("_slice").alias("_cut"))
-    )
-
-    def due(position: Column, visit: Column) -> Column:
-        return holds(visit["cancellation_time"] >= F.get("_queue", position))
-
-    # Where a slice leads from each starting position, for cut bookings only. The test is on
-    # an aggregate, not on the key, so that both uses of the slices read one exchange.
-    moves = slices.where(F.col("_cut") >= 0).select(
-        "booking_id", "_slice", F.transform(
-            F.sequence(F.lit(0), F.size("_queue")),
-            lambda start: F.aggregate("_v", start, lambda p, v: F.when(due(p, v), p + 1).otherwise(p))).alias("_to"))
-    # Slices that move the position, with the position they start from: at most one per stamp.
-    position = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<slice:bigint,at:int>>").alias("starts"))
-    starts = (
-        moves.groupBy("booking_id").agg(F.sort_array(F.collect_list(F.struct("_slice", "_to"))).alias("_chain"))
-        .select("booking_id", F.inline(F.aggregate(
-            "_chain", position,
-            lambda s, step: F.when(
-                F.get(step["_to"], s["at"]) > s["at"],
-                F.struct(F.get(step["_to"], s["at"]).alias("at"),
-                         F.concat(s["starts"], F.array(F.struct(step["_slice"].alias("slice"), s["at"].alias("at")))
-                                  ).alias("starts"))).otherwise(s))["starts"]))
-        .select(F.col("booking_id").alias("_b"), F.col("slice").alias("_s"), F.col("at").alias("_start"))
-    )
-    begun = slices.join(
-        starts, (F.col("booking_id") == F.col("_b")) & (F.col("_slice") == F.col("_s")), "left",
-    ).where((F.col("_cut") < 0) | F.col("_start").isNotNull())
-    none = F.array().cast("array<struct<visit:struct<visit_id:bigint,nr:int>,stamp:timestamp_ntz>>")
-    begin = F.struct(F.coalesce("_start", F.lit(0)).alias("at"), none.alias("pairs"))
-
-    def take(s, v):
-        pair = F.struct(_visit_row(v["visit_id"], v["_nr"]).alias("visit"), F.get("_queue", s["at"]).alias("stamp"))
-        return F.when(due(s["at"], v), F.struct(
-            (s["at"] + 1).alias("at"), F.concat(s["pairs"], F.array(pair)).alias("pairs"))).otherwise(s)
-
-    pairs = begun.select("booking_id", F.explode(F.aggregate("_v", begin, take)["pairs"]).alias("_pair"))
-    return pairs.groupBy("booking_id").agg(F.map_from_entries(F.collect_list("_pair")).alias("_taken"))
-
-
-def _visit_row(visit_id: Column, nr: Column) -> Column:
-    return F.struct(visit_id.cast("bigint").alias("visit_id"), nr.cast("int").alias("nr"))
-
-
-def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int = skew.HEAVY_ROWS,
-               heavy_visits: int = HEAVY_VISITS, slice_ids: int = SLICE_IDS) -> DataFrame:
+    facts = slices.groupBy("booking_id").agg(
+        F.bool_or("done").alias("done"), F.min("listed").alias("listed"), F.max("created").alias("created"),
+        F.max("attempts").alias("attempts"))
+    facts = facts.select(F.col("booking_id").alias("_fb"), _stamps(
+        *[F.col(c) for c in ("done", "listed", "created", "attempts")], pattern).alias("stamps"))
+    queue = F.col("stamps")["queue"]
+    leads = F.transform(F.sequence(F.lit(0), F.greatest(F.size(queue), F.lit(0))), lambda start: F.aggregate(
+        "visits", start, lambda p, v: F.when(_due(queue, p, v["cancelled"]), p + 1).otherwise(p)))
+    maps = slices.join(facts, F.col("booking_id") == F.col("_fb")).select("booking_id", "_slice", "stamps", leads.alias("to"))
+    chain = maps.groupBy("booking_id").agg(
+        F.any_value("stamps").alias("stamps"), F.sort_array(F.collect_list(F.struct("_slice", "to"))).alias("chain"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<slice:int,start:int>>").alias("out"))
+    composed = F.aggregate("chain", begin, lambda s, m: F.struct(
+        F.get(m["to"], s["at"]).alias("at"),
+        F.concat(s["out"], F.array(F.struct(m["_slice"].alias("slice"), s["at"].alias("start")))).alias("out")))
+    return chain.select(F.col("booking_id").alias("_b"), "stamps", F.inline(composed["out"])).select(
+        "_b", F.col("slice").alias("_s"), "stamps", "start")
+
+
+def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int | None = None,
+               heavy_visits: int | None = None, slice_ids: int | None = None) -> DataFrame:
     """Give out-for-delivery stamps to visits; adds ``ofd_time`` and ``ofd_attempts``.
 
     Done visits take the booking's last stamp, which is used up even without a
     done visit. The others go greedily to visits in visit order, and may
-    overwrite a done visit's. A visit id listed twice in a booking is two visits,
+    overwrite a done visit's: a visit cancelled at or after the next stamp takes it, one
+    stamp per visit. A visit id listed twice in a booking is two visits,
     in the order of cancellation time and then of the remaining columns.
+
+    A booking's visits meet in one row, once, and are matched there. A booking that holds more than
+    its share of the visits (above ``heavy_rows`` or ``heavy_visits``, where given) is cut into
+    slices of ``slice_ids`` visits, about; see ``_start_places``.
     """
     names = visits.columns
+    floor = heavy_rows if heavy_visits is None else heavy_visits if heavy_rows is None else min(heavy_rows, heavy_visits)
+    rest = [c for c in names if c not in ("booking_id", "visit_id", "cancellation_time")]
     visits = present(visits, "booking_id")
-    # per visit, not per booking: a large booking stays spread; equal rows may change places
-    visits = visits.withColumn("_nr", F.row_number().over(Window.partitionBy("booking_id", "visit_id").orderBy(
-        F.col("cancellation_time").asc_nulls_last(), *[c for c in names if c not in ("booking_id", "visit_id", "cancellation_time")])))
-    stamps = _booking_stamps(visits, pattern)
-    taken = _match_stamps(visits, stamps, heavy_rows, heavy_visits, slice_ids)
-    per_booking = stamps.select("booking_id", "n_rows", "_made_up", "ofd_attempts", "_last").join(
-        taken, "booking_id", "left")
-    out = skew.attach(visits, per_booking, "booking_id", F.col("visit_id"), floor=heavy_rows)
-    own = F.try_element_at("_taken", _visit_row(F.col("visit_id"), F.col("_nr")))
-    stamp = F.coalesce(own, F.when(F.col("visit_status") == "done", F.col("_last")))
-    columns = [F.coalesce("ofd_happened_at", "_made_up").alias(c) if c == "ofd_happened_at" else F.col(c)
-               for c in names]
-    return out.select(*columns, stamp.alias("ofd_time"), "ofd_attempts")
+    order = [F.col("visit_id"), F.col("cancellation_time").isNull(), F.col("cancellation_time")]
+    rows = skew.cut(visits, "booking_id", order, "_slice", floor=floor, slice_rows=slice_ids, most=SLICE_VISITS)
+    row = [F.col("visit_id").alias("visit"), F.col("cancellation_time").isNull().alias("open"),
+           F.col("cancellation_time").alias("cancelled")]
+
+    def gathered(part: DataFrame, columns: list[Column]) -> DataFrame:
+        return part.groupBy("booking_id", "_slice").agg(
+            F.sort_array(F.collect_list(F.struct(*columns))).alias("visits"), *_visit_facts())
+
+    # equal times take a stamp alike, so the maps need no other column
+    begun = _start_places(gathered(rows.where(F.col("_slice") >= 0), row), pattern)
+    met = gathered(rows, [*row, F.struct(*rest).alias("rest")]).join(
+        begun, (F.col("booking_id") == F.col("_b")) & (F.col("_slice") == F.col("_s")), "left")
+    met = met.withColumn("_stamps", F.coalesce("stamps", _stamps(*[F.col(c) for c in ("done", "listed", "created", "attempts")], pattern)))
+    queue, start = F.col("_stamps")["queue"], F.coalesce("start", F.lit(0))
+    # places of the visits that take a stamp, in stamp order
+    none = F.struct(F.lit(0).alias("i"), start.alias("at"), F.array().cast("array<int>").alias("took"))
+    took = F.aggregate("visits", none, lambda s, v: F.struct(
+        (s["i"] + 1).alias("i"), (s["at"] + _due(queue, s["at"], v["cancelled"]).cast("int")).alias("at"),
+        F.when(_due(queue, s["at"], v["cancelled"]), F.concat(s["took"], F.array(s["i"]))).otherwise(s["took"]).alias("took")))
+    out = met.select("booking_id", "_stamps", queue.alias("_queue"), start.alias("_start"), F.when(
+        F.size(queue) > 0, took["took"]).otherwise(F.array().cast("array<int>")).alias("_took"),
+                     F.posexplode("visits").alias("_i", "_v"))
+    nth = F.array_position("_took", F.col("_i")).cast("int")
+    own = F.when(nth > 0, F.get("_queue", F.col("_start") + nth - 1))
+    stamp = F.coalesce(own, F.when(F.col("_v.rest.visit_status") == "done", F.col("_stamps.last")))
+    source = {"booking_id": F.col("booking_id"), "visit_id": F.col("_v.visit"), "cancellation_time": F.col("_v.cancelled"),
+              "ofd_happened_at": F.coalesce("_v.rest.ofd_happened_at", "_stamps.made_up")}
+    return out.select(*[source.get(c, F.col("_v.rest")[c]).alias(c) for c in names], stamp.alias("ofd_time"),
+                      F.col("_stamps.attempts").alias("ofd_attempts"))
 
 
 def with_delivery_slots(visits: DataFrame) -> DataFrame:
@@ -301,7 +283,7 @@ def hourly_visit_slot(visits: DataFrame) -> DataFrame:
 
 
 def delivery_funnel_v1(visits: DataFrame, start, end, city: str | None = None,
-                       heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+                       heavy_rows: int | None = None) -> DataFrame:
     """The first version of the delivery funnel: attempts come from the stamp lists alone.
 
     A booking's attempts are taken over all of its visits, before the period filter.

@@ -137,7 +137,7 @@ def unexplained_pickups(issues: DataFrame, periods: list[Period]) -> DataFrame:
         & (relabel(F.col("l3_subtype"), PICKUP_L3_MAP) == "Others"))
 
 
-def with_requested_date(issues: DataFrame, bookings: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+def with_requested_date(issues: DataFrame, bookings: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """Issues of known bookings with the booking's requested date."""
     dates = bookings.select("booking_id", "requested_date", F.lit(True).alias("_known"))
     found = skew.lookup(present(issues, "booking_id"), dates, "booking_id", F.col("issue_id"), floor=heavy_rows)

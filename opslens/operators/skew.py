@@ -1,14 +1,14 @@
 """Helpers that keep one oversized key from landing in one task.
 
-Two patterns cover every operator here:
-
-* ``attach`` joins one-row-per-key statistics back to the rows. Rows of the few
-  largest keys take theirs from a broadcast and are spread over the shuffle, so they never meet in one partition.
-* ``slice_key`` cuts an ordered group of an oversized key into consecutive
-  slices. An operator works slice by slice and carries what it needs from one
-  slice into the next through a table with one row per slice.
-
-Keys below ``HEAVY_ROWS`` rows are never cut, so small data runs the plain plan.
+A key is oversized when it holds more than its share of the rows: a ``1 / (SHARE * P)``th
+of them, P being the session's shuffle partitions. So there are never more than SHARE * P
+such keys, whatever the size of the data, and small data meets the same plan as large data.
+
+* ``attach`` and ``lookup`` join one-row-per-key columns back to the rows. Rows of the oversized
+  keys take theirs from a broadcast and are spread over the shuffle, so they never meet in one partition.
+* ``cut`` deals an ordered group of an oversized key into consecutive slices at sampled
+  places of its order. An operator works slice by slice and carries what it needs from one
+  slice into the next through a table with one row per slice of the oversized keys.
 """
 
 from __future__ import annotations
@@ -16,16 +16,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with no more rows than this fits one task comfortably. So a broadcast made
-# here has at most one row per million rows of data.
-HEAVY_ROWS = 1_000_000
+#: A key is oversized above a 1 / (SHARE * P)th of all rows; a slice holds about a 1 / (2 * P)th.
+SHARE = 4
+#: Sampled rows from one cut to the next.
+_EVERY = 16
+#: Slices of one key at most: what is composed over the slices of a key is as small.
+MOST_SLICES = 4096
 
 _SPREAD = 1 << 16
 
 
-def heaviest(stats: DataFrame, key: str, count: str = "n_rows", floor: int = HEAVY_ROWS) -> DataFrame:
-    """All keys above ``floor`` rows, at most the number of all rows over ``floor``."""
-    return stats.where(F.col(count) > floor)
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heaviest(stats: DataFrame, key: str, count: str = "n_rows", floor: int | None = None,
+             most: int | None = None) -> DataFrame:
+    """The oversized keys, at most SHARE * P; with ``floor``, those above so many rows instead.
+
+    With ``most`` also every key above so many rows counts, for operators that hold a key's rows
+    in one value: one more key per ``most`` rows at most.
+    """
+    if floor is not None:
+        return stats.where(F.col(count) > floor)
+    share = stats.agg(F.sum(count).alias("n")).scalar() / F.lit(float(SHARE * _partitions(stats)))
+    return stats.where(F.col(count) > (share if most is None else F.least(share, F.lit(float(most)))))
 
 
 def built_once(stats: DataFrame, count: str = "n_rows") -> DataFrame:
@@ -52,7 +67,7 @@ def zero_of(key: str) -> Column:
 
 
 def attach(rows: DataFrame, stats: DataFrame, key: str, spread: Column,
-           floor: int = HEAVY_ROWS) -> DataFrame:
+           floor: int | None = None) -> DataFrame:
     """Left join ``stats`` (one row per ``key``, with ``n_rows``) to ``rows``.
 
     ``spread`` is any column that differs between the rows of one key. The
@@ -61,7 +76,7 @@ def attach(rows: DataFrame, stats: DataFrame, key: str, spread: Column,
     return _salted_join(rows, stats, heaviest(stats, key, floor=floor), key, spread)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, floor: int = HEAVY_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, floor: int | None = None) -> DataFrame:
     """Left join ``table`` (one row per ``key``) to ``rows`` whose counts per key are not known yet."""
     often = heaviest(key_counts(rows, key), key, floor=floor).select(F.col(key).alias("_often"))
     heavy = table.join(F.broadcast(often), F.col(key) == F.col("_often"), "inner").drop("_often")
@@ -84,8 +99,26 @@ def _salted_join(rows: DataFrame, table: DataFrame, heavy: DataFrame, key: str,
     return joined.select(*rows.columns, *[found[c].alias(c) for c in added])
 
 
-def slice_key(heavy: Column, *parts: Column) -> Column:
-    """Text naming the slice a row of an oversized key belongs to; '' for every other row."""
-    return F.when(
-        heavy, F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
-    ).otherwise(F.lit(""))
+def cut(rows: DataFrame, key: str, order: list[Column], name: str, stats: DataFrame | None = None,
+        floor: int | None = None, slice_rows: int | None = None, most: int | None = None) -> DataFrame:
+    """Adds ``name``: the slice of a row of an oversized key, numbered from 0 in ``order``; -1 for every other row.
+
+    ``order`` must tell a key's rows apart as far as slices matter; its columns sort null first.
+    Cuts are places of a sample of the oversized keys' rows, about 2 * P in all, and
+    are broadcast. ``stats`` has ``n_rows`` per key where it is known already.
+    """
+    stats = key_counts(rows, key) if stats is None else stats.select(key, "n_rows")
+    every = _EVERY if slice_rows is None else max(1, min(_EVERY, slice_rows))
+    share = stats.agg(F.sum("n_rows").alias("n")).scalar() / F.lit(2.0 * _partitions(rows))
+    size = F.lit(float(slice_rows)) if slice_rows is not None else share if most is None else F.least(share, F.lit(float(most)))
+    few = heaviest(stats, key, floor=floor, most=most).select(F.col(key).alias("_cut_key"), size.alias("_cut_size"))
+    at = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
+    taken = F.pmod(F.xxhash64("_cut_at"), F.lit(1 << 30)) * F.col("_cut_size") < F.lit(float(every << 30))
+    sample = rows.select(F.col(key).alias("_cut_row"), at.alias("_cut_at")).join(
+        F.broadcast(few), F.col("_cut_row") == F.col("_cut_key")).where(taken)
+    step = F.greatest(F.lit(every), F.ceil(F.size("_cut_at") / (MOST_SLICES - 1)).cast("int"))
+    cuts = sample.groupBy("_cut_key").agg(F.sort_array(F.collect_set("_cut_at")).alias("_cut_at")).select(
+        "_cut_key", F.filter("_cut_at", lambda _, i: i % step == step - 1).alias("_cuts"))
+    marked = rows.join(F.broadcast(cuts), F.col(key) == F.col("_cut_key"), "left")
+    passed = F.size(F.filter("_cuts", lambda c: c <= at))
+    return marked.withColumn(name, F.when(F.col("_cut_key").isNotNull(), passed).otherwise(F.lit(-1))).drop("_cut_key", "_cuts")

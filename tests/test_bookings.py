@@ -153,3 +153,16 @@ def test_a_booking_listed_twice_does_not_multiply_its_children(spark):
     rows = frame(spark, DDL, [booking(1, 5, "2016-01-01"), booking(1, 5, "2016-01-01"), booking(2, 5, "2016-01-02", parent_id=1)])
     got = B.duplicate_flag(rows).collect()
     assert sorted((r.booking_id, r.duplicate_booking) for r in got if r.booking_id == 2) == [(2, 1)] and len(got) == 3
+
+
+def test_a_customer_with_a_third_of_the_rows_is_spread(spark):
+    rows = [{"booking_id": i, "phone": 1 if i % 3 == 0 else i, "status": "closed", "amount": 8.0,
+             "requested_date": None if i % 50 == 0 else ts(f"2016-08-{1 + i % 4:02d}")} for i in range(1, 1200)]
+    df = B.with_revenue(frame(spark, DDL, rows))
+    got = {r.booking_id: r.booking_count for r in B.enrich_customers(df).where("phone = 1").collect()}
+    ordered = sorted((r for r in rows if r["phone"] == 1), key=lambda r: (
+        r["requested_date"] is None, r["requested_date"] or ts("2016-01-01"), r["booking_id"]))
+    assert got == {r["booking_id"]: i + 1 for i, r in enumerate(ordered)}
+    cut = skew.cut(df, "phone", [F.col("requested_date").isNull(), F.col("requested_date"), F.col("booking_id")], "_slice")
+    sizes = [r["count"] for r in cut.where("phone = 1").groupBy("_slice").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 300

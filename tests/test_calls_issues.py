@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators import calls as C
 from opslens.operators import issues as I
+from opslens.operators import skew
 from opslens.operators.quantiles import distribution
 from opslens.sources import adapters as A
 from tests.helpers import by, frame, ts
@@ -62,6 +63,20 @@ def test_callbacks_match_the_rules_call_by_call(spark, limits):
     assert {r.call_id: (r.callback_status, r.callback_minutes) for r in rows} == expected
 
 
+def test_a_phone_with_a_third_of_all_calls_on_one_day_is_cut(spark):
+    calls = random_calls(6, 60, 25, 2000)
+    n = len(calls)
+    hot = [dict(c, call_id=10**6 + i, phone="hot") for i, c in enumerate(random_calls(7, 40, 25, 2000)[:n // 2])]
+    df = frame(spark, CALLS, calls + hot)
+    assert skew.cut(df, "phone", [F.col("start_time"), F.col("call_id")], "_slice").where("phone = 'hot'").select(
+        "_slice").distinct().count() > 1
+    expected = called_back_by_hand(hot)
+    for p in {c["phone"] for c in calls}:
+        expected.update(called_back_by_hand([c for c in calls if c["phone"] == p]))
+    rows = C.callback_status(df).collect()
+    assert {r.call_id: (r.callback_status, r.callback_minutes) for r in rows} == expected
+
+
 def call(i, direction, status, at):
     return {"call_id": i, "phone": "1", "direction": direction, "status": status, "start_time": ts(at)}
 

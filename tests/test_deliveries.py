@@ -2,9 +2,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from opslens.operators import deliveries as D
 from opslens.operators import pickups as P
+from opslens.operators import skew
 from opslens.sources import adapters as A
 from tests.helpers import by, frame, ts
 
@@ -174,3 +176,20 @@ def test_rows_of_a_visit_listed_twice_take_a_stamp_each(spark):
            "ofd_happened_at": "2016-08-05 09:00:00,2016-08-05 10:00:00,2016-08-05 18:00:00"}
     got = D.assign_ofd(frame(spark, DDL, [one, one])).collect()
     assert sorted(r.ofd_time for r in got) == [ts("2016-08-05 09:00:00"), ts("2016-08-05 10:00:00")]
+
+
+def test_a_booking_with_a_third_of_the_visits_is_cut(spark):
+    rng = random.Random(9)
+    base = dt.datetime(2016, 8, 1)
+    stamps = ",".join(str(base + dt.timedelta(hours=h)) for h in sorted(rng.sample(range(300), 40)))
+    hot = [{"visit_id": i // 2, "booking_id": 5000, "visit_status": rng.choice(["done", "cancelled"]), "ofd_happened_at": stamps,
+            "creation_time": base, "cancellation_time": rng.choice([None, base + dt.timedelta(hours=i // 2)])} for i in range(0, 900, 2)]
+    visits = hot + random_visits(4, 130, 14)
+    df = frame(spark, DDL, visits)
+    order = [F.col("visit_id")]
+    slices = skew.cut(df, "booking_id", order, "_slice").groupBy("booking_id").agg(F.count_distinct("_slice").alias("n"))
+    assert slices.where("booking_id = 5000").first().n > 2
+    got = {(r.booking_id, r.visit_id): r.ofd_time for r in D.assign_ofd(df).collect()}
+    for b in {v["booking_id"] for v in visits}:
+        for visit, stamp in assigned_by_hand([v for v in visits if v["booking_id"] == b]).items():
+            assert got[b, visit] == stamp
