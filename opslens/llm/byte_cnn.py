@@ -196,8 +196,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
     """A bounded sample: of each label the ids with the smallest hash, and one text of each id."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.where(~held_out(F.col("doc_id")))
-    found = docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id").groupBy("doc_id", "quality").agg(
-        F.min(F.xxhash64("text")).alias("digest"))
+    found = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest")).join(marks, "doc_id").groupBy(
+        "doc_id", "quality").agg(F.min("digest").alias("digest"))
     chosen = None
     for quality in (0, 1):
         part = found.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,16 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths made since the innermost `scratch` began; None outside of any.
+_MADE: list[str] | None = None
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Gathers the paths of the intermediate tables made inside, for `remove` once nothing reads them any more."""
+    global _MADE
+    outer, _MADE = _MADE, []
+    try:
+        yield _MADE
+    finally:
+        if outer is not None:
+            outer.extend(_MADE)
+        _MADE = outer
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables that `shared_dir` named."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one intermediate table, below the session's shared checkpoint folder.
 
-    Only where no such folder is configured (tests, a single machine) a local one is made.
+    Only on a single machine (tests) a local one is made where none is configured; a
+    cluster's executors could not read it, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="opslens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _MADE is not None:
+        _MADE.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +69,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what `materialise` wrote for frames that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, [df.stored_at])
 
 
 def ship_package(spark: SparkSession) -> None:

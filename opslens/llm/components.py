@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import materialise
+from opslens.llm.common import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         "a <> b").distinct(), "components-links")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select(
         F.col("a").alias("node"), F.least("a", "low").alias("label")), "components-labels")
+    labels_table = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select(
@@ -29,6 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         fresh = materialise(low.join(up, "low", "left").select(
             "node", F.least("low", F.coalesce("up", "low")).alias("label"), (F.least("low", F.coalesce("up", "low")) < F.col(
                 "label")).alias("changed")), "components-labels")
-        labels = fresh.select("node", "label")
+        discard(labels_table, low)
+        labels_table, labels = fresh, fresh.select("node", "label")
         if not fresh.where("changed").limit(1).count():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import map_arrow, materialise
+from opslens.llm.common import discard, map_arrow, materialise
 from opslens.llm.components import connected_components
 
 #: Lower case of A-Z, on UTF-8 bytes.
@@ -197,9 +197,11 @@ def postings(pre: DataFrame, percent: int) -> DataFrame:
     each = each.select(
         "doc_id", "n", "met", (1 - F.size("met") / (F.col("n") - need + F.least(need, F.lit(MAX_LEVEL)))).alias("lone"),
         F.least(F.array_min(F.array(*[cost(k) for k in range(1, MAX_LEVEL + 1)]))["level"], F.greatest(need, F.lit(1))).alias("level"))
-    return materialise(each.select("doc_id", "n", "level", "lone", F.posexplode("met").alias("rank", "x")).where(
+    used = materialise(each.select("doc_id", "n", "level", "lone", F.posexplode("met").alias("rank", "x")).where(
         F.col("x.pos") < F.col("n") - need + F.col("level")).select(
         "x.token", "doc_id", "n", "x.pos", (F.col("x.pos") - F.col("rank")).alias("alone"), "level", "lone"), "join-used")
+    discard(shared)
+    return used
 
 
 def _pair(rows: DataFrame) -> DataFrame:
@@ -226,6 +228,7 @@ def remaining_pairs(used: DataFrame, components: DataFrame, percent: int) -> Dat
     main = materialise(parts.groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("main"),
                                                   F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "join-main")
     mixed = materialise(rows.join(main, "token"), "join-mixed")
+    discard(rows, main)
     other = mixed.select("token", *[F.col(c).alias(f"{c.removesuffix('_id')}2") for c in (
         "doc_id", "n", "pos", "alone", "level", "component")])
     few = mixed.where(F.col("component") != F.col("main"))
@@ -241,7 +244,7 @@ def remaining_pairs(used: DataFrame, components: DataFrame, percent: int) -> Dat
 
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+    """The pairs (a, b) whose whole sets reach the similarity, written."""
     pairs = materialise(pairs, "join-pairs")
     if not pairs.limit(1).count():
         return pairs
@@ -262,7 +265,9 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_arrow(both, run, "a long, b long").distinct()
+    found = materialise(map_arrow(both, run, "a long, b long").distinct(), "join-links")
+    discard(pairs, sets)
+    return found
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -334,10 +339,10 @@ def count_links(docs: DataFrame, classes: DataFrame, components: DataFrame, size
     members = materialise(members.select("sig", "rep", "documents", "component", "n", band.alias("band")), "join-members")
     large = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).where(
         (F.col("total") > BLOCK_NGRAMS) | (F.col("members") > BLOCK_CLASSES)).select("component")
-    large = materialise(large, "join-large")  # at most one for each block's worth of classes, as are the bands
-    bands = materialise(members.join(F.broadcast(large), "component").groupBy("component", "band").agg(F.greatest(
+    large = materialise(large, "join-large")
+    bands = materialise(members.join(large, "component").groupBy("component", "band").agg(F.greatest(
         F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int").alias("blocks")), "join-bands")
-    dealt = members.join(F.broadcast(bands), ["component", "band"], "left").select(
+    dealt = members.join(bands, ["component", "band"], "left").select(
         "sig", "rep", "documents", "component", F.when(F.col("blocks").isNotNull(), F.col("band")).otherwise(-1).alias("band"),
         F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
@@ -419,9 +424,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, links:
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
     pre = materialise(prefixes(docs, size, percent, frequent).join(heads, "doc_id", "left_semi"), "join-prefixes")
     used = postings(pre, percent)
-    found = materialise(verify(docs, hub_pairs(used, percent), size, percent), "join-links")
+    discard(pre)
+    found = verify(docs, hub_pairs(used, percent), size, percent)
     components = connected_components(found)
-    rest = materialise(verify(docs, remaining_pairs(used, components, percent), size, percent), "join-links")
+    rest = verify(docs, remaining_pairs(used, components, percent), size, percent)
+    discard(used)
     if rest.limit(1).count():
         components = connected_components(found.unionByName(rest))
     known = F.col("doc_id").isNotNull()

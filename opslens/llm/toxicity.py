@@ -22,7 +22,7 @@ from opslens.llm.common import map_arrow, texts_of
 
 @dataclass(frozen=True)
 class Settings:
-    """At most ``sample`` toxic rows and twice as many others are learnt from, ``train_windows`` windows of each."""
+    """At most ``sample`` toxic rows and twice as many others are learnt from: all windows of one row of each doc_id."""
 
     window: int = 32
     stride: int = 24
@@ -32,7 +32,7 @@ class Settings:
     gram_buckets: int = 1 << 13
     grams: tuple[int, ...] = (3, 4, 5)
     sample: int = 1000
-    train_windows: int = 6
+    batch_windows: int = 512
     epochs: int = 5
     rate: float = 0.01
     seed: int = 7
@@ -179,6 +179,19 @@ def windows_of(ids: np.ndarray, s: Settings) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, s.window)[::s.stride]
 
 
+def batches_of(docs: list[tuple[np.ndarray, int]], windows: int) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Whole documents with ``windows`` windows together or little more; a longer document stands alone."""
+    batch, size = [], 0
+    for doc in docs:
+        if batch and size + len(doc[0]) > windows:
+            yield batch
+            batch, size = [], 0
+        batch.append(doc)
+        size += len(doc[0])
+    if batch:
+        yield batch
+
+
 def train(rows: list[tuple[str, int]], s: Settings) -> Network:
     """Adam over mini-batches of documents; rows are (text, toxic)."""
     net, r = Network(s), np.random.default_rng(s.seed)
@@ -186,10 +199,7 @@ def train(rows: list[tuple[str, int]], s: Settings) -> Network:
     docs = []
     for text, label in rows:
         ids = np.array([index.setdefault(w, len(index)) for w in text.split()], np.int32)
-        wins = windows_of(ids, s)
-        if len(wins) > s.train_windows:
-            wins = wins[np.sort(r.choice(len(wins), s.train_windows, replace=False))]
-        docs.append((wins, label))
+        docs.append((windows_of(ids, s), label))
     if not docs or not index:
         return net
     bucket, grams, owner = word_keys(list(index), s)
@@ -200,8 +210,7 @@ def train(rows: list[tuple[str, int]], s: Settings) -> Network:
     step = 0
     for _ in range(s.epochs):
         order = r.permutation(len(docs))
-        for at in range(0, len(order), 64):
-            batch = [docs[i] for i in order[at:at + 64]]
+        for batch in batches_of([docs[i] for i in order], s.batch_windows):
             ids = np.concatenate([w for w, _ in batch])
             y = np.array([label for _, label in batch], np.float32)
             starts = np.cumsum([0] + [len(w) for w, _ in batch[:-1]])
@@ -325,14 +334,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
     for toxic in (0, 1):
         part = marks.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit((2 - toxic) * s.sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "text", "toxic").collect()
-    return [(t, y) for _, t, y in sorted(rows, key=lambda x: (x[0], x[1]))]
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy(
+        "doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).collect()
+    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
-                   row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, and the long column named in ``row``.
+                   carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, and the columns named in ``carry`` as they are.
 
     Learns only from labelled rows that are not held out. The broadcasts have fixed
     bounds: 3 x ``sample`` ids, and the weights. A null or empty text gets the score of an
@@ -342,7 +351,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     net = train(training_rows(docs, labels, settings), settings)
     weights = docs.sparkSession.sparkContext.broadcast(net.w)
 
-    carry = [row] if row else []
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.value, settings)
@@ -350,9 +359,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 got = scorer.scores(texts_of(part.column(1)))
-                yield pa.record_batch([part.column(0), pa.array(got, pa.float64()), *part.columns[2:]], ["doc_id", "score", *carry])
+                yield pa.record_batch([part.column(0), pa.array(got, pa.float64()), *part.columns[2:]], ["doc_id", "score", *[f"carried_{c}" for c in carry]])
 
-    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), run, ", ".join(
-        ["doc_id long", "score double", *(f"{c} long" for c in carry)]))
+    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carried_{c}") for c in carry]), run, ", ".join(
+        ["doc_id long", "score double", *(f"`carried_{c}` {kinds[c]}" for c in carry)]))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
-                         (F.col("score") >= settings.threshold).cast("int").alias("predicted"), *carry)
+                         (F.col("score") >= settings.threshold).cast("int").alias("predicted"), *[F.col(f"carried_{c}").alias(c) for c in carry])
