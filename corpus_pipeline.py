@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,11 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm import ngram_join, prefix_bpe, quality, tiling, toxicity
-from opslens.llm.common import materialise, table
+from opslens.llm.common import materialise, remove, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: What the stage before left: it is read until that stage's rows are written.
+_left: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(work: Stage) -> Stage:
+    """The stage, with the intermediate tables of the one before it deleted when it begins.
+
+    By then that stage's rows are written. A frame that still reads such a table keeps them all.
+    """
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _tidy(spark, docs)
+        with scratch() as made:
+            kept = work(spark, docs, sf_dir)
+        _left.extend(made)
+        return kept
+
+    return stage
+
+
+def _tidy(spark: SparkSession, docs: DataFrame) -> None:
+    files = docs.inputFiles()
+    if not any(path.split(":", 1)[-1].lstrip("/") in f for path in _left for f in files):
+        remove(spark, _left)
+        _left.clear()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """The documents with a number for each row, written so that every reader sees the same numbers."""
     return materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
@@ -24,18 +54,21 @@ def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(materialise(kept.select("row"), "pipeline-kept"), "row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail the base rule or a certified cutoff go; other rows of the same doc_id, or of none, are not touched."""
     rows = _rows(docs)
     return _keep(rows, quality.quality_rules(rows, table(spark, sf_dir, "labels"), carry=("row",)).where("kept"))
 
 
+@_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows predicted toxic go; other rows of the same doc_id, or of none, are not touched."""
-    rows = _rows(docs)
-    return _keep(rows, toxicity.score_toxicity(rows, table(spark, sf_dir, "labels"), row="row").where("predicted = 0"))
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), carry=tuple(COLUMNS[1:]))
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near or exact copies (five words, similarity 0.8) the row with the smallest doc_id stays.
 
@@ -49,6 +82,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that cover a test item go; other rows of the same doc_id, or of none, are not touched."""
     rows = _rows(docs)
@@ -57,12 +91,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("toxicity", toxicity_filter),
@@ -79,4 +113,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    _tidy(spark, docs)
     return docs
