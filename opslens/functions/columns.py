@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,12 @@ def complete_labels(counts: DataFrame, column: str, labels: list[str], value: st
     spark = counts.sparkSession
     listed = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], f"ord int, {column} string")
     return listed.join(counts.select(column, value), column, "left").select("ord", column, value)
+
+
+def with_reason_rank(lines: DataFrame, keys: list[str], sections: list[int]) -> DataFrame:
+    """Adds ``rank`` to report lines: a reason's place by falling value, ties by its label; null outside of ``sections``.
+
+    Runs on report lines, a few per label and section.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("value"), "metric")
+    return lines.withColumn("rank", F.when(F.col("ord").isin(sections), F.row_number().over(order)))

@@ -27,6 +27,25 @@ def merge_bookings(newer: DataFrame, older: DataFrame, key: str = "booking_id")
     return both.select(*newer.columns)
 
 
+def merge_dumps(dumps: list[DataFrame], key: str = "booking_id") -> DataFrame:
+    """Any number of dumps, newest first, as one: of each cell the newest one that is not null.
+
+    Keeps the first dump's columns in their order; a column that another dump lacks is null there.
+    The dumps are stacked and folded in one aggregate, so there is one shuffle however many
+    there are, and a booking's rows are folded before it. Rows without key stay rows of their own.
+    """
+    first = dumps[0]
+    stacked = None
+    for age, dump in enumerate(dumps):
+        part = dump.select(*[F.col(c) if c in dump.columns else F.lit(None).cast(t).alias(c) for c, t in first.dtypes],
+                           F.lit(age).alias("_age"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    cells = [c for c in first.columns if c != key]
+    merged = present(stacked, key).groupBy(key).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_age"))).alias(c) for c in cells])
+    return merged.unionByName(stacked.where(F.col(key).isNull()).drop("_age")).select(*first.columns)
+
+
 def with_revenue(bookings: DataFrame) -> DataFrame:
     """Booking month, gap-filled money columns, total revenue and the amount actually paid."""
     return (

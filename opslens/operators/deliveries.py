@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import holds, present
+from ..functions.columns import holds, present, with_reason_rank
 from ..functions.labels import (
     CANCELLED_LATER, CANCELLED_STEPS, DELIVERY_LATER, DELIVERY_REASON_RULES, DELIVERY_STEPS, HOURLY_DELIVERY_LATER,
     HOURLY_DELIVERY_STEPS,
@@ -233,7 +233,8 @@ def delivery_funnel(visits: DataFrame, start, end, week_start, weeks: int = 4, c
 
     Visits created from ``start`` to ``end`` (plus a day) that are done or
     cancelled, in seven-day steps from ``week_start``. Rows are
-    ``(week, ord, metric, value)``; the labels of one section share ``ord``.
+    ``(week, ord, metric, value, rank)``; the labels of one section share ``ord``, and
+    ``rank`` orders cancel reasons by falling count.
     """
     v = visits.where(in_period(F.col("creation_time"), start, end)
                      & F.col("visit_status").isin("done", "cancelled"))
@@ -266,7 +267,7 @@ def delivery_funnel(visits: DataFrame, start, end, week_start, weeks: int = 4, c
         _line([_LOST_OUT], 8, F.col("label"), n),
         *attempt_lines,
     ], [(8, s) for s in DELIVERY_SLOTS] + attempt_labels + zeros)
-    return _zero_filled(lines, zeros)
+    return with_reason_rank(_zero_filled(lines, zeros), ["week", "ord"], [_REASON_OUT, _REASON_IN])
 
 
 def hourly_visit_slot(visits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    bit_if, differs, has_bit, has_text, holds, label_bit, long_metrics, not_in, null_if_zero, or_zero, ratio,
+    bit_if, differs, has_bit, has_text, holds, label_bit, long_metrics, not_in, null_if_zero, or_zero, ratio, with_reason_rank,
 )
 from ..functions.labels import (
     CANCELLED_LATER, CANCELLED_STEPS, CREATION_LATER, CREATION_STEPS, FUNNEL_STATUSES, PICKUP_DONE_LATER,
@@ -162,5 +162,5 @@ def pickup_funnel(bookings: DataFrame, visits: DataFrame, start, end, city: str
         ]))
     )
     requested = folded_asked.agg(F.countDistinct("booking_id")).scalar().cast("double")
-    return shares.withColumn(
-        "value", F.when(F.col("ord") == 16, F.col("value")).otherwise(ratio(F.col("value"), requested)))
+    return with_reason_rank(shares.withColumn(
+        "value", F.when(F.col("ord") == 16, F.col("value")).otherwise(ratio(F.col("value"), requested))), ["ord"], [3])

@@ -91,8 +91,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def booking_dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two overlapping dumps of the same bookings, each with gaps the other can fill."""
-    b = bookings(spark, sf_dir).select(
-        "booking_id", "phone", "status", "requested_date", "amount", "coupon", "feedback", "locality")
+    b = bookings(spark, sf_dir)
     k = F.col("booking_id")
     newer = b.where(k % 3 != 0).withColumns({
         "status": F.when(k % 4 != 1, F.col("status")),
@@ -105,6 +104,15 @@ def booking_dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return newer, older.withColumn("old_only", F.lit(1))
 
 
+def more_dumps(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The two dumps and a third, oldest one with fewer columns, newest first."""
+    k = F.col("booking_id")
+    oldest = bookings(spark, sf_dir).where(k % 5 < 3).withColumns({
+        "status": F.lit("closed"), "feedback": F.coalesce("feedback", F.lit(2.0)), "taxes": F.coalesce("taxes", F.lit(4.0)),
+    }).drop("email", "locality")
+    return [*booking_dumps(spark, sf_dir), oldest]
+
+
 def _visit_base() -> Column:
     """Day a booking was asked for, the same on all of its visits."""
     return F.date_add(F.lit("1995-01-01").cast("date"), (F.col("l_orderkey") % 2400).cast("int")).cast("timestamp_ntz")

@@ -403,6 +403,25 @@ _PICKUP_PARTS = " UNION ALL ".join([
     f"""SELECT 15, 'bookings_with_creation_time>t+1_single_visit', count(*) FROM v
         WHERE {_LATE} AND creation_slot = '>t+1' AND cancelled_pickup_visits = 0""",
 ])
+# The columns of a booking dump after its id, in order.
+_BOOKING_CELLS = [
+    "parent_id", "phone", "customer_name", "email", "city", "locality", "category", "type", "status", "requested_date",
+    "requested_time", "amount", "taxes", "discount_amount", "credits_used", "customer_credits", "coupon", "referred",
+    "rescheduled_redo", "feedback", "rating", "bad_rating_reason", "cancel_reason", "booking_cancel_reason",
+    "cancelled_pickup_visits", "pickup_by", "delivery_by", "delivery_scheduled_time"]
+_DUMPS = """,
+        newer AS (SELECT * EXCLUDE (nps, booking_month) REPLACE (CASE WHEN booking_id % 4 <> 1 THEN status END AS status,
+                    CASE WHEN booking_id % 5 <> 2 THEN feedback END AS feedback) FROM bookings WHERE booking_id % 3 <> 0),
+        older AS (SELECT * EXCLUDE (nps, booking_month) REPLACE (CASE WHEN booking_id % 7 = 0 THEN 'in_service' ELSE status END
+                    AS status, amount + 8.0::DOUBLE AS amount) FROM bookings WHERE booking_id % 3 <> 1)"""
+
+
+def _ranked(sql: str, keys: str, sections: str) -> str:
+    """Adds the rank of a reason in its section, by falling count."""
+    return f"""SELECT *, CASE WHEN ord IN ({sections}) THEN row_number() OVER (
+      PARTITION BY {keys} ORDER BY value DESC NULLS LAST, metric) END::INTEGER AS rank FROM ({sql})"""
+
+
 _PICKUP_FUNNEL = _with("slotted bookings", f""",
     b AS (SELECT * FROM bookings WHERE status IN ('closed', 'service_complete', 'cancelled', 'in_service')),
     v AS (SELECT s.*, k.status, k.cancel_reason, k.cancelled_pickup_visits
@@ -559,19 +578,18 @@ def _stack(variants: dict[str, str], source: str) -> str:
 
 
 ORACLES = {
-    "merge_bookings": _with("bookings", """,
-        newer AS (SELECT booking_id, phone, CASE WHEN booking_id % 4 <> 1 THEN status END AS status, requested_date,
-                    amount, coupon, CASE WHEN booking_id % 5 <> 2 THEN feedback END AS feedback, locality
-                  FROM bookings WHERE booking_id % 3 <> 0),
-        older AS (SELECT booking_id, phone, CASE WHEN booking_id % 7 = 0 THEN 'in_service' ELSE status END AS status,
-                    requested_date, amount + 8.0::DOUBLE AS amount, coupon, feedback, locality
-                  FROM bookings WHERE booking_id % 3 <> 1)
+    "merge_bookings": _with("bookings", f"""{_DUMPS}
         SELECT n.* FROM newer n ANTI JOIN older USING (booking_id)
         UNION ALL SELECT o.* FROM older o ANTI JOIN newer USING (booking_id)
-        UNION ALL SELECT n.booking_id, coalesce(n.phone, o.phone), coalesce(n.status, o.status),
-          coalesce(n.requested_date, o.requested_date), coalesce(n.amount, o.amount), coalesce(n.coupon, o.coupon),
-          coalesce(n.feedback, o.feedback), coalesce(n.locality, o.locality)
+        UNION ALL SELECT n.booking_id, {", ".join(f"coalesce(n.{c}, o.{c})" for c in _BOOKING_CELLS)}
         FROM newer n JOIN older o USING (booking_id)"""),
+    "merge_dumps": _with("bookings", f"""{_DUMPS},
+        oldest AS (SELECT * EXCLUDE (nps, booking_month) REPLACE ('closed' AS status, coalesce(feedback, 2.0::DOUBLE) AS feedback,
+                     coalesce(taxes, 4.0::DOUBLE) AS taxes, NULL::VARCHAR AS email, NULL::VARCHAR AS locality)
+                   FROM bookings WHERE booking_id % 5 < 3),
+        stacked AS (SELECT *, 0 AS age FROM newer UNION ALL SELECT *, 1 FROM older UNION ALL SELECT *, 2 FROM oldest)
+        SELECT booking_id, {", ".join(f"arg_min({c}, age) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _BOOKING_CELLS)}
+        FROM stacked GROUP BY booking_id"""),
     "booking_revenue": _with("priced", """SELECT booking_id, booking_month, discount_amount, taxes, credits_used,
         total_revenue, amp, actual_paid FROM priced"""),
     "acquisition_source": _with("bookings", """SELECT phone,
@@ -631,11 +649,11 @@ ORACLES = {
         {_matrix("stacked", "variant, ", "cohort_month", "amount")}"""),
     "pickup_visit_slots": _with("slotted", """SELECT visit_status, updation_slot, creation_slot, count(*) AS visits
         FROM slotted GROUP BY ALL"""),
-    "pickup_funnel": _PICKUP_FUNNEL,
+    "pickup_funnel": _ranked(_PICKUP_FUNNEL, "ord", "3"),
     "assign_ofd": _with("listed:delivery_visits assigned", """SELECT booking_id, visit_id,
         list_aggregate(list_transform(stamps, lambda x: strftime(x, '%Y-%m-%d %H:%M:%S')), 'string_agg', ',')
           AS ofd_happened_at, ofd_time, ofd_attempts::INT AS ofd_attempts FROM assigned"""),
-    "delivery_funnel": _DELIVERY_FUNNEL,
+    "delivery_funnel": _ranked(_DELIVERY_FUNNEL, "week, ord", "6, 7"),
     "delivery_funnel_v1": _DELIVERY_V1,
     "prepare_calls": _with("calls", "SELECT phone, call_id, direction, status, start_time, billable_duration FROM calls"),
     "callback_status": _with("callbacks", """SELECT call_id, phone, week, callback_status,

@@ -110,6 +110,7 @@ def _period_labels(spark, d):
 
 QUERIES: dict[str, Query] = {
     "merge_bookings": lambda s, d: B.merge_bookings(*A.booking_dumps(s, d)),
+    "merge_dumps": lambda s, d: B.merge_dumps(A.more_dumps(s, d)),
     "booking_revenue": lambda s, d: _priced(s, d).withColumn("actual_paid", B.actual_paid()).select(
         "booking_id", "booking_month", "discount_amount", "taxes", "credits_used", "total_revenue", "amp",
         "actual_paid"),

@@ -166,3 +166,14 @@ def test_a_customer_with_a_third_of_the_rows_is_spread(spark):
     cut = skew.cut(df, "phone", [F.col("requested_date").isNull(), F.col("requested_date"), F.col("booking_id")], "_slice")
     sizes = [r["count"] for r in cut.where("phone = 1").groupBy("_slice").count().collect()]
     assert len(sizes) > 2 and max(sizes) < 300
+
+
+def test_any_number_of_dumps_fold_to_the_newest_cells(spark):
+    ddl = "booking_id bigint, status string, amount double"
+    a = frame(spark, ddl, [{"booking_id": 1, "status": None, "amount": 1.0}, {"booking_id": None, "status": "x"}])
+    b = frame(spark, ddl + ", other int", [{"booking_id": 1, "status": "b", "amount": 9.0}, {"booking_id": 2, "status": None}])
+    c = frame(spark, "status string, booking_id bigint", [{"booking_id": 2, "status": "c"}, {"booking_id": None, "status": "y"}])
+    got = sorted(((r.booking_id, r.status, r.amount) for r in B.merge_dumps([a, b, c]).collect()), key=str)
+    assert got == sorted([(1, "b", 1.0), (2, "c", None), (None, "x", None), (None, "y", None)], key=str)
+    assert B.merge_dumps([a.where("false"), b.where("false")]).count() == 0
+    assert B.merge_dumps([a]).columns == ["booking_id", "status", "amount"]
