@@ -9,6 +9,7 @@ count as much as the whole.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -32,39 +33,76 @@ def words_of(text: str) -> list[bytes]:
 def tiles(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiles (start in a, start in b, length), each of at least ``least`` words.
 
-    Each round hashes all unmarked runs of the round's length in b and rolls over a. A
-    match longer than the length starts the round again with that length; else the matches
-    are marked, longest first, and the length falls.
+    Each round hashes all unmarked runs of the round's length in b and rolls over a. Matches
+    are taken where they begin only, so a stretch of repeated words counts once for each
+    diagonal. They are marked, longest first; what a mark leaves of a longer match
+    goes back into the order with its new length. Then the length falls.
     """
-    free_a, free_b, found = [True] * len(a), [True] * len(b), []
-    length = max(least, min(len(a), len(b), 64))
+    free_a, free_b, found = bytearray(b"\1" * len(a)), bytearray(b"\1" * len(b)), []
+    length = max(least, min(len(a), len(b)))
     while length >= least:
         places = defaultdict(list)
         for h, j in _rolling(b, free_b, length):
             places[h].append(j)
-        matches, longer = [], length
-        for h, i in _rolling(a, free_a, length):
+        heap = []
+        for h, i in _rolling(a, free_a, length) if places else ():
             for j in places.get(h, ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
-                    n += 1
+                if i and j and a[i - 1] == b[j - 1] and free_a[i - 1] and free_b[j - 1]:
+                    continue  # inside a longer match
+                n = _common(a, i, b, j, min(_stretch(free_a, i), _stretch(free_b, j)))
                 if n >= length:
-                    matches.append((n, i, j))
-                    longer = max(longer, n)
-        if longer > 2 * length:
-            length = longer
-            continue
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_a[i:i + n]) and all(free_b[j:j + n]):
-                free_a[i:i + n] = free_b[j:j + n] = [False] * n
-                found.append((i, j, n))
+                    heap.append((-n, i, j))
+        heapq.heapify(heap)
+        matches = bool(heap)
+        while heap:
+            n, i, j = heapq.heappop(heap)
+            for at, size in _open(free_a, i, free_b, j, -n):
+                if size == -n:
+                    free_a[i:i + size] = free_b[j:j + size] = bytes(size)
+                    found.append((i, j, size))
+                elif size >= length:
+                    heapq.heappush(heap, (-size, i + at, j + at))
         if length == least and not matches:
             break  # else what a mark of this round has cut short is looked for again
         length = max(length // 2, least)
     return found
 
 
-def _rolling(x: list[int], free: list[bool], n: int) -> Iterator[tuple[int, int]]:
+def _stretch(free: bytearray, at: int) -> int:
+    """Unmarked places from here on."""
+    end = free.find(0, at)
+    return (len(free) if end < 0 else end) - at
+
+
+def _common(a: list[int], i: int, b: list[int], j: int, most: int) -> int:
+    """Length of the common run from i and j, at most ``most``: doubled while it holds, then halved."""
+    n, step = 0, 1
+    while step:
+        size = min(step, most - n)
+        if size and a[i + n:i + n + size] == b[j + n:j + n + size]:
+            n, step = n + size, step * 2
+        else:
+            step = min(step, size) // 2
+    return n
+
+
+def _open(free_a: bytearray, i: int, free_b: bytearray, j: int, n: int) -> list[tuple[int, int]]:
+    """Stretches (offset, length) of a match that no mark touches on either side."""
+    out, at = [], 0
+    while at < n:
+        size = min(_stretch(free_a, i + at), _stretch(free_b, j + at), n - at)
+        if size:
+            out.append((at, size))
+            at += size
+        else:
+            ends = [free.find(1, k + at, k + n) - k for free, k in ((free_a, i), (free_b, j)) if not free[k + at]]
+            if min(ends) < 0:
+                break
+            at = max(ends)
+    return out
+
+
+def _rolling(x: list[int], free: bytearray, n: int) -> Iterator[tuple[int, int]]:
     """Karp-Rabin hash and start of every run of n unmarked words."""
     top, h, run = pow(1_000_003, n - 1, MASK), 0, 0
     for i, w in enumerate(x):
