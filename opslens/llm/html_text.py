@@ -45,6 +45,11 @@ APART_WORDS = frozenset("""ad ads advert adverts advertisement advertising banne
 consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter
 notice notices pagination popup promo promotion promoted related reply respond replies share sharing sidebar signup
 social sponsor sponsored subscribe tags toolbar widget""".split())
+#: What may stand beside such a word in a class or id; with any other word the name means something else.
+FRAME_WORDS = frozenset("""area article bar block body bottom box button buttons card cards center col column container content
+div entry fixed footer form global group head header home icons inner item items js left link links list local main meta nav
+outer page panel post posts primary right row secondary section site slot space sticky sub text top unit user view wrap
+wrapper""".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 _HINTS = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -69,6 +74,12 @@ class Block:
     article: int
 
 
+def _names_apart(name: str) -> bool:
+    """Whether a class or id names a section set apart: by its words, and no word of another meaning."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    return any(p in APART_WORDS for p in parts) and all(p in APART_WORDS or p in FRAME_WORDS or len(p) < 3 for p in parts)
+
+
 def _apart(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in APART_TAGS or (tag == "header" and not in_article):
         return True
@@ -77,7 +88,7 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
         if name.lower() == "role":
             if value.lower().strip() in APART_ROLES:
                 return True
-        elif tag not in ("html", "body", "article", "main") and any(p.lower() in APART_WORDS for p in _PARTS.findall(value)):
+        elif tag not in ("html", "body", "article", "main") and any(map(_names_apart, value.split())):
             if not (in_article and tag[0] == "h" and tag[1:].isdigit()):
                 return True
     return False
@@ -154,18 +165,28 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def decide(b: Block, rules: Rules) -> bool | None:
-    """True for text, False for boilerplate, None where the block is too short to tell."""
+def stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def decide(b: Block, rules: Rules, known: bool = True, last: bool = False) -> bool | None:
+    """True for text, False for boilerplate, None where the block is too short to tell.
+
+    Where no block of the page has stop words enough to be of a ``known`` language, they tell
+    nothing: length and link density decide alone. A short ``last`` block with a copyright sign is boilerplate.
+    """
     size = len(b.text)
     against = None if b.article else False
     if b.linked > rules.link_density * size:
         return against  # a list of references, or a paragraph that is one link
-    if "\xa9" in b.text:
+    if last and size <= rules.long and "\xa9" in b.text:
         return against
-    if size < rules.short:
+    if size < rules.short and (known or b.linked):
         return against if b.linked else None
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not known:  # scripts without spaces say more in fewer characters
+        return True if size >= rules.short else None
+    stops = stop_share(b.text)
     if stops >= rules.stop_high:
         return True if size > rules.long else None
     return None if stops >= rules.stop_low else against
@@ -173,7 +194,8 @@ def decide(b: Block, rules: Rules) -> bool | None:
 
 def main_text(html: str, rules: Rules = Rules()) -> str:
     blocks = [b for b in blocks_of(html) if not b.apart]  # sections set apart say nothing about their neighbours
-    first = [decide(b, rules) for b in blocks]
+    known = any(stop_share(b.text) >= rules.stop_low for b in blocks if b.linked <= rules.link_density * len(b.text))
+    first = [decide(b, rules, known, b is blocks[-1]) for b in blocks]
     before, after = _nearest(first, blocks, 1), _nearest(first, blocks, -1)
     elsewhere = any(first)
     kept = []
@@ -206,7 +228,7 @@ def _nearest(first: list[bool | None], blocks: list[Block], step: int) -> list[t
 
 def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per page: page_id, url, text and n_chars. Null html counts as empty and gives an empty text;
-    null ids and urls are carried along, repeated rows give a row each."""
+    null ids and urls are carried along, repeated rows give a row each; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
