@@ -15,17 +15,36 @@ from .nps import nps_summary, share_of_first
 METRICS = ["users", "bookings", "revenue"]
 
 
-def _matrix(customer_months: DataFrame, extra: list[str], cohort: str, month: str) -> DataFrame:
-    """Roll rows of (customer, cohort, month) up to the cohort matrix with shares."""
-    cells = customer_months.groupBy(*extra, cohort, month).agg(
-        F.countDistinct("phone").alias("users"),
-        F.sum("_bookings").alias("bookings"),
-        F.coalesce(F.sum("_revenue"), F.lit(0.0)).alias("revenue"))
+def _shares(cells: DataFrame, extra: list[str], cohort: str, month: str) -> DataFrame:
     return cells.select(
         *extra, cohort, month, *METRICS,
         *[share_of_first(m, [*extra, cohort], month).alias(f"{m}_share") for m in METRICS])
 
 
+def _variant_cells(reduced: DataFrame, conditions: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Users, bookings and revenue per variant and cell, from rows of (customer, *keys, flags).
+
+    Each customer's rows of a cell fold into one with the totals of every variant side by side. Customers are
+    then counted by adding up, without a distinct, and the variants become rows only once a cell is one row.
+    """
+    folds = []
+    for i, c in enumerate(conditions.values()):
+        folds += [F.count_if(c).alias(f"_r{i}"), F.sum(F.when(c, F.col("_bookings"))).alias(f"_b{i}"),
+                  F.sum(F.when(c, F.col("_revenue"))).alias(f"_v{i}")]
+    folded = reduced.groupBy("phone", *keys).agg(*folds)
+    sums = []
+    for i in range(len(conditions)):
+        sums += [F.sum(f"_r{i}").alias(f"_r{i}"),
+                 F.count_if((F.col(f"_r{i}") > 0) & F.col("phone").isNotNull()).alias(f"_u{i}"),
+                 F.sum(f"_b{i}").alias(f"_b{i}"), F.sum(f"_v{i}").alias(f"_v{i}")]
+    cells = present(folded, *keys).groupBy(*keys).agg(*sums)
+    listed = F.array(*[
+        F.struct(F.lit(name).alias("variant"), F.col(f"_r{i}").alias("rows"), F.col(f"_u{i}").alias("users"),
+                 F.col(f"_b{i}").alias("bookings"), F.coalesce(f"_v{i}", F.lit(0.0)).alias("revenue"))
+        for i, name in enumerate(conditions)])
+    return cells.select(*keys, F.inline(F.filter(listed, lambda v: v["rows"] > 0))).drop("rows")
+
+
 def _measures(revenue: str) -> list[Column]:
     return [F.count("booking_id").alias("_bookings"), F.sum(revenue).alias("_revenue")]
 
@@ -35,7 +54,11 @@ def cohort_matrix(bookings: DataFrame, cohort: str = "cohort_group", month: str
     """Distinct users, bookings and revenue per (cohort, month), and each over the
     cohort's first month present."""
     per_customer = present(bookings, cohort, month).groupBy("phone", cohort, month).agg(*_measures(revenue))
-    return _matrix(per_customer, [], cohort, month)
+    # One row per customer and cell, so counting customers needs no distinct.
+    cells = per_customer.groupBy(cohort, month).agg(
+        F.count("phone").alias("users"), F.sum("_bookings").alias("bookings"),
+        F.coalesce(F.sum("_revenue"), F.lit(0.0)).alias("revenue"))
+    return _shares(cells, [], cohort, month)
 
 
 def cohort_wide(matrix: DataFrame, metric: str, months: list[str], cohort: str = "cohort_group",
@@ -44,11 +67,6 @@ def cohort_wide(matrix: DataFrame, metric: str, months: list[str], cohort: str =
     return to_wide(matrix, [*extra, cohort], month, months, metric)
 
 
-def _variants(conditions: dict[str, Column]) -> Column:
-    """Names of the variants a row belongs to."""
-    return F.array_compact(F.array(*[F.when(holds(c), F.lit(name)) for name, c in conditions.items()]))
-
-
 def cohort_variants(bookings: DataFrame, city: str | None = None,
                     excluded: list[str] = EXCLUDED_COHORTS) -> DataFrame:
     """The cohort matrix for all customers and four customer selections, in one pass.
@@ -69,15 +87,13 @@ def cohort_variants(bookings: DataFrame, city: str | None = None,
     )
     customer = Window.partitionBy("phone")
     feedback = F.try_divide(F.sum("_fs").over(customer), F.sum("_fn").over(customer))
-    reduced = reduced.withColumn("_feedback", F.when(F.col("phone").isNotNull(), feedback))
-    named = reduced.withColumn("variant", F.explode(_variants({
-        "Overall": F.lit(True),
-        "wo_garbage": ~F.col("_garbage"),
-        "atleast_2_bookings": F.col("_repeat"),
-        "avg_feedback>=3": F.col("_feedback") >= 3,
-        "profile=4,5": F.col("_good"),
-    })))
-    return _matrix(present(named, "cohort_group", "booking_month"), ["variant"], "cohort_group", "booking_month")
+    reduced = reduced.withColumn("_liked", holds(F.col("phone").isNotNull() & (feedback >= 3)))
+    cells = _variant_cells(
+        reduced,
+        {"Overall": F.lit(True), "wo_garbage": ~F.col("_garbage"), "atleast_2_bookings": F.col("_repeat"),
+         "avg_feedback>=3": F.col("_liked"), "profile=4,5": F.col("_good")},
+        ["cohort_group", "booking_month"])
+    return _shares(cells, ["variant"], "cohort_group", "booking_month")
 
 
 def cohorts_for_good_localities(bookings: DataFrame, min_size: int = 5, min_nps: float = 0.10,
@@ -106,10 +122,9 @@ def cohorts_for_good_localities(bookings: DataFrame, min_size: int = 5, min_nps:
     reduced = present(
         reduced.withColumn("cohort_month", F.min("booking_month").over(customer))
         .withColumn("_n", F.sum("_dated").over(customer)), "phone")
-    named = reduced.withColumn("variant", F.explode(_variants({
-        "Overall": F.lit(True),
-        "wo_garbage": ~((F.col("_n") == 1) & F.col("_free")),
-        "atleast_2_bookings": F.col("_n") > 1,
-        "profile=4,5": F.col("_good"),
-    })))
-    return _matrix(present(named, "cohort_month", "booking_month"), ["variant"], "cohort_month", "booking_month")
+    cells = _variant_cells(
+        reduced,
+        {"Overall": F.lit(True), "wo_garbage": ~((F.col("_n") == 1) & F.col("_free")),
+         "atleast_2_bookings": F.col("_n") > 1, "profile=4,5": F.col("_good")},
+        ["cohort_month", "booking_month"])
+    return _shares(cells, ["variant"], "cohort_month", "booking_month")

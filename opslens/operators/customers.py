@@ -29,27 +29,50 @@ def core_customers(bookings: DataFrame, snapshots: list[tuple[str, str]],
     ``successful_bookings`` is the one ``enrich_customers`` wrote. With
     ``fix_dc=False`` dry-cleaning-only customers are never core.
 
-    Rows are multiplied by the snapshots they precede inside the map task and
-    aggregated by (snapshot, customer) before the shuffle.
+    The time line is cut at the snapshot dates. Bookings are first folded to one state per
+    customer, stretch between two dates and counted month, then to one row per customer, which
+    reads the states up to each snapshot whose month it was active in. So the rows
+    shuffled do not grow with the number of snapshots, and a customer's list of states is no
+    longer than the stretches and counted months, however many bookings there are.
     """
-    rows = present(bookings.where(F.col("status").isin(statuses)), "phone")
+    dates = sorted({str(d) for d, _ in snapshots})
+    months = sorted({m for _, m in snapshots})
+    cuts = F.array(*[moment(d) for d in dates])
     listed = F.array(*[
-        F.struct(moment(d).alias("as_of"), F.lit(m).alias("month")) for d, m in snapshots])
-    spread = rows.withColumn(
-        "_s", F.explode(F.filter(listed, lambda s: F.col("requested_date") < s["as_of"])))
-    in_month = holds(F.col("booking_month") == F.col("_s.month"))
-    customers = spread.groupBy(F.col("_s.as_of").alias("as_of"), F.col("_s.month").alias("month"), "phone").agg(
-        F.min("requested_date").alias("_first"),
-        F.avg("successful_bookings").alias("_n"),
-        F.bool_and(F.col("only_dc").isNotNull()).alias("_dc"),
-        F.bool_or(in_month).alias("_active"),
-        F.sum(F.when(in_month, F.col("total_revenue"))).alias("_gmv"))
+        F.struct(moment(d).alias("as_of"), F.lit(m).alias("month"), F.lit(dates.index(str(d))).alias("at"))
+        for d, m in snapshots])
+    rows = present(bookings.where(F.col("status").isin(statuses)), "phone")
+    day = F.col("requested_date")
+    states = (
+        rows.where(day < moment(dates[-1]))
+        .groupBy("phone", F.size(F.filter(cuts, lambda c: c <= day)).alias("at"),
+                 F.when(F.col("booking_month").isin(months), F.col("booking_month")).alias("month"))
+        .agg(F.min(day).alias("first"), F.sum("successful_bookings").alias("sum"),
+             F.count("successful_bookings").alias("n"), F.bool_and(F.col("only_dc").isNotNull()).alias("dc"),
+             F.sum("total_revenue").alias("gmv"))
+        .groupBy("phone")
+        .agg(F.collect_list(F.struct("at", "month", "first", "sum", "n", "dc", "gmv")).alias("_states"))
+    )
+    active = F.filter(listed, lambda s: F.exists("_states", lambda x: (x["at"] <= s["at"]) & (x["month"] == s["month"])))
+    read = states.withColumn("_s", F.explode(active)).withColumn(
+        "_past", F.filter("_states", lambda x: x["at"] <= F.col("_s.at")))
+
+    def total(items, field, kind):
+        return F.aggregate(items, F.lit(0).cast(kind), lambda a, x: a + F.coalesce(x[field], F.lit(0)).cast(kind))
+
+    in_month = F.filter("_past", lambda x: (x["month"] == F.col("_s.month")) & x["gmv"].isNotNull())
+    customers = read.select(
+        "_s.as_of", "_s.month",
+        F.array_min(F.col("_past.first")).alias("_first"),
+        F.try_divide(total("_past", "sum", "double"), total("_past", "n", "bigint")).alias("_n"),
+        F.forall("_past", lambda x: x["dc"]).alias("_dc"),
+        F.when(F.size(in_month) > 0, total(in_month, "gmv", "double")).alias("_gmv"))
     gap = ratio(whole_days_between(F.col("_first"), F.col("as_of")).cast("double"), F.col("_n"))
     limit = F.when(F.col("_dc"), F.lit(CORE_DAYS_DRY_CLEANING)).otherwise(F.lit(CORE_DAYS))
     core = holds((gap < limit) & (F.col("_n") > 1))
     if not fix_dc:
         core = core & ~F.col("_dc")
-    totals = customers.where(F.col("_active")).withColumn("_core", core).groupBy("as_of", "month").agg(
+    totals = customers.withColumn("_core", core).groupBy("as_of", "month").agg(
         F.count(F.lit(1)).alias("users"),
         F.count_if("_core").alias("_core_users"),
         F.sum("_gmv").alias("gmv"),

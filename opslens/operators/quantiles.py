@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,10 @@ def distribution(df: DataFrame, keys: list[str], value: str,
 
     ``F.percentile`` would build the whole value histogram of a group in one
     task, and the groups here (a week, a label) may hold most rows. Instead the
-    histogram is pre-aggregated map-side, cut into buckets at approximate
-    quantiles of the whole column, and ranked bucket by bucket; the rows before
-    a bucket come from a table with at most ``fan * fan + 2`` rows per group.
+    histogram is pre-aggregated map-side and cut into buckets at approximate
+    quantiles of the whole column. The buckets are counted first, in a table
+    with at most ``fan * fan + 2`` rows per group; only those that hold a wanted
+    rank are then sorted and ranked, at most two per point and group.
     ``fan * fan`` is at least the session's number of shuffle partitions, so
     the buckets keep up with the cluster; the result does not depend on it.
     """
@@ -51,8 +54,8 @@ def distribution(df: DataFrame, keys: list[str], value: str,
     hist = (
         counts.withColumn("_cuts", cuts.scalar())
         .withColumn("_coarse", fan * passed(F.col("_cuts.coarse")))
-        .withColumn("_bucket", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(
-            F.col("_coarse") + passed(F.slice("_cuts.fine", F.col("_coarse") + 1, F.lit(fan - 1)))))
+        .withColumn("_bucket", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.coalesce(
+            F.col("_coarse") + passed(F.slice("_cuts.fine", F.col("_coarse") + 1, F.lit(fan - 1))), F.lit(-1))))
         .drop("_cuts", "_coarse")
         .withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0)))
     )
@@ -62,18 +65,22 @@ def distribution(df: DataFrame, keys: list[str], value: str,
         hist.groupBy(*keys, "_bucket")
         .agg(F.sum("_w").alias("_bw"), F.sum("_c").alias("_bc"), F.sum(F.col("_v") * F.col("_c")).alias("_bs"))
         .select(*keys, "_bucket",
+                "_bw",
                 F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_offset"),
                 F.sum("_bw").over(whole).alias("_n"),
                 F.sum("_bc").over(whole).alias("_rows"),
                 F.sum("_bs").over(whole).alias("_sum"))
     )
+    # The bucket is never null: otherwise the join would have the optimizer test the
+    # bucket expression on every row below the histogram.
+    ranks = [end((F.col("_n") - 1) * F.lit(q)) for q in points.values() for end in (F.floor, F.ceil)]
+    held = [(F.col("_offset") <= r) & (r < F.col("_offset") + F.col("_bw")) for r in ranks]
+    # A group without values still shows its rows.
+    wanted = buckets.where(reduce(or_, held, F.col("_n") == 0 if held else F.lit(True)))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    # Every row finds its bucket. An inner join would say the same, but would have
-    # the optimizer test the bucket expression on every row below the histogram.
     ranked = (
-        hist.withColumn("_upto", F.sum("_w").over(inside))
-        .join(buckets, [*keys, "_bucket"], "left")
-        .withColumn("_hi", F.col("_offset") + F.col("_upto"))
+        hist.join(wanted, [*keys, "_bucket"])
+        .withColumn("_hi", F.col("_offset") + F.sum("_w").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_w"))
     )
 

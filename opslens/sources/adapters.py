@@ -199,6 +199,15 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("D"), (F.col("s_suppkey") % 9).cast("string")).alias("number"))
 
 
+def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaigns of the suppliers: overlapping stretches of up to forty days, in the order of their numbers; some never begin."""
+    k = F.col("s_suppkey").cast("int")
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (k * 37) % 2400)
+    return table(spark, sf_dir, "supplier").select(
+        (k % 50).alias("ord"), F.concat(F.lit("C"), (k % 500).cast("string")).alias("label"),
+        F.when(k % 29 != 0, start).alias("start"), F.date_add(start, k % 41 - 1).alias("end"))
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind, i, v = F.col("event_type"), F.col("event_id"), F.col("value")

@@ -754,4 +754,12 @@ ORACLES = {
              WHEN requested_date < DATE '{STEP_START}' + 14 THEN 'Jun-08 to Jun-14'
              WHEN requested_date < DATE '{STEP_START}' + 21 THEN 'Jun-15 to Jun-21' ELSE 'Jun-22 to Jun-28' END AS stepped,
         'W' || week(requested_date) AS iso_week, count(*) AS bookings FROM weekly GROUP BY ALL"""),
+    "period_table": _with("bookings", """,
+        periods AS (SELECT s_suppkey % 50 AS ord, 'C' || s_suppkey % 500 AS label,
+                      DATE '1995-01-01' + (s_suppkey * 37 % 2400)::INT AS first_day, s_suppkey % 41 - 1 AS length,
+                      s_suppkey % 29 <> 0 AS begins FROM supplier),
+        hits AS (SELECT booking_id, min({'ord': ord, 'label': label}) AS p FROM bookings JOIN periods
+                 ON begins AND requested_date >= first_day
+                   AND requested_date <= first_day + length::INT + INTERVAL 1 DAY GROUP BY booking_id)
+        SELECT booking_id, requested_date, coalesce(p.label, 'none') AS campaign FROM bookings LEFT JOIN hits USING (booking_id)"""),
 }

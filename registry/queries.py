@@ -19,6 +19,7 @@ from opslens.operators import customers as U
 from opslens.operators import deliveries as D
 from opslens.operators import issues as I
 from opslens.operators import nps as N
+from opslens.operators import periods as W
 from opslens.operators import pickups as P
 from opslens.sources import adapters as A
 
@@ -200,4 +201,7 @@ QUERIES: dict[str, Query] = {
     "courier_first_rows": lambda s, d: R.first_rows(
         R.courier_productivity(A.bookings(s, d), "1998-07"), ["sp", "date"], 10),
     "period_labels": _period_labels,
+    "period_table": lambda s, d: W.with_period(
+        A.bookings(s, d).select("booking_id", "requested_date"), "requested_date", A.periods(s, d), "campaign",
+        default="none", spread=F.col("booking_id")),
 }
