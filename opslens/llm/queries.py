@@ -176,4 +176,102 @@ FROM p{levels + tops + 1}, bt{tops}
 """
 
 
-ORACLES: dict[str, str] = {"op11_hard_negatives": _OP11, "op12_merkle_manifest": _merkle_sql()}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
+def _quality_sql(alpha: float = quality.ALPHA, delta: float = quality.DELTA) -> str:
+    """Counts from unnested windows; the binomial tail from the logarithms of its coefficients."""
+    signals = list(quality.GRID)
+    bins = " UNION ALL ".join(f"SELECT stratum, good, '{s}' AS signal, {s} AS v FROM labelled" for s in signals)
+    grids = ", ".join(f"('{s}', {g})" for s, g in quality.GRID.items())
+    over = " OR ".join(
+        f"coalesce({s} > (SELECT c FROM cutoffs k WHERE k.stratum = f.stratum AND k.signal = '{s}'), false)" for s in signals)
+    rate = alpha / len(signals)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    CASE WHEN regexp_full_match(lang, '[a-z]{{2,3}}') THEN lang ELSE 'other' END AS stratum FROM documents),
+split AS (SELECT *, {_WORDS.format("t")} AS w, string_split(t, chr(10)) AS all_lines,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+places AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM split),
+windows AS (SELECT r, p, x AS a, lead(x) OVER o AS b, lead(x, 2) OVER o AS c FROM places WINDOW o AS (PARTITION BY r ORDER BY p)),
+twice AS (SELECT r, p FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+covered AS (SELECT r, count(DISTINCT p + q) AS n FROM twice, (VALUES (0), (1), (2)) v(q) GROUP BY r),
+counts AS (SELECT r, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(all_lines) AS n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals,
+    len(regexp_extract_all(t, '[!?]')) AS n_marks FROM split LEFT JOIN covered USING (r)),
+features AS (SELECT *, n_words < {quality.BASE_WORDS}
+      OR 100 * n_repeat_words > {quality.BASE_REPEAT_PERCENT} * n_words AS base_failed,
+    n_symbols / greatest(n_words, 1) AS symbols_per_word, n_dup_lines / greatest(n_lines, 1) AS duplicate_line_share,
+    n_repeat_words / greatest(n_words, 1) AS repeat_word_share, n_capitals / greatest(word_chars, 1) AS capital_share,
+    n_marks / greatest(n_words, 1) AS mark_per_word FROM counts),
+labelled AS (SELECT f.*, good FROM features f JOIN (SELECT doc_id, min(quality) AS good FROM labels
+    WHERE quality IN (0, 1) GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+grids(signal, grid) AS (VALUES {grids}),
+binned AS (SELECT stratum, signal, good, len(list_filter(grid, lambda c: v > c)) AS above FROM ({bins}) JOIN grids USING (signal)),
+tests AS (SELECT stratum, signal, place, count(*) FILTER (good = 1) AS goods, count(*) FILTER (good = 0) AS bads,
+    count(*) FILTER (good = 1 AND above >= place) AS k, count(*) FILTER (good = 0 AND above >= place) AS bad_lost
+    FROM binned, range(1, {max(map(len, quality.GRID.values())) + 1}) p(place) GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= goods * {rate} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
+    lgamma(goods + 1) - lgamma(i + 1) - lgamma(goods - i + 1) + i * ln({rate}) + (goods - i) * ln(1 - {rate})))) END AS p FROM tests),
+passed AS (SELECT *, max(p) OVER (PARTITION BY stratum, signal ORDER BY place DESC) AS worst FROM tails),
+best AS (SELECT stratum, signal, arg_max(place, {{'v': bad_lost / greatest(bads, 1) - {quality.GOOD_COST} * k / greatest(goods, 1),
+    'p': place}}) AS place FROM passed
+    WHERE worst <= {delta} / (SELECT count(*) FROM (SELECT DISTINCT stratum, signal FROM binned)) AND bad_lost > 0 GROUP BY ALL),
+cutoffs AS (SELECT stratum, signal, grid[place] AS c FROM best JOIN grids USING (signal))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT ({over}) AS kept, stratum FROM features f
+"""
+
+
+def _coded_role(role: str) -> str:
+    for plain, code in chat.ROLE_CODES:
+        role = f"replace({role}, {'chr(10)' if plain == chr(10) else repr(plain) if plain != chr(92) else 'chr(92)'}, '{code}')"
+    return role
+
+
+#: A text with a control string is escaped, every other one stays as it is.
+_OP2 = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}'
+    UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length('### : ') + length({_coded_role("role")}) + length(regexp_replace(text, '(\\\\*)({chat.CONTROL})', '\\1\\\\\\2', 'g'))
+      + {len(chat.END)})::BIGINT AS formatted_chars, true AS identical
+FROM turns GROUP BY conv_id
+"""
+
+#: Five hex digits are four of base 32.
+_OP7 = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id, sha1(body) AS hex FROM bodies)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+_OP9 = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM texts),
+classes AS (SELECT min(doc_id) AS rep, count(DISTINCT doc_id) AS documents, len(s) AS n, s FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT rep, n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.rep AS x, b.rep AS y FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS x, rep AS y FROM classes UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+components AS (SELECT x AS rep, min(y) AS component_id FROM reach GROUP BY x),
+links AS (SELECT x AS rep, sum(documents) AS n FROM pairs JOIN classes ON y = rep GROUP BY x)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+  coalesce(c.documents - 1 + coalesce(l.n, 0), 0)::BIGINT AS n_links
+FROM sets d LEFT JOIN classes c ON d.s = c.s AND c.n > 0 LEFT JOIN components USING (rep) LEFT JOIN links l USING (rep)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": _quality_sql(), "op2_chat_format": _OP2, "op7_warc_index": _OP7, "op9_ngram_join": _OP9,
+    "op11_hard_negatives": _OP11, "op12_merkle_manifest": _merkle_sql()}
