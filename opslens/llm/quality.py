@@ -1,14 +1,17 @@
 """Quality rules whose cutoffs come with a guarantee on false rejections.
 
-Every rule rejects a document whose signal lies above a cutoff. For each stratum and
-signal the cutoffs of a fixed grid are tested from the most lenient on: the test of a
-cutoff is the exact binomial tail of the good labelled documents it rejects. Testing
-stops at the first cutoff that fails, so each sequence keeps its level without further
-correction; the levels of all sequences share ``delta`` (Bonferroni), and the rules of
-one stratum share ``alpha``. With probability 1 - delta no stratum therefore loses more
-than a share ``alpha`` of its good documents. Among the certified cutoffs the one that
-rejects most bad documents at the least cost in good ones is used; a stratum with too
-few labels gets none and keeps everything that passes the base rule.
+A rule rejects a document whose signal lies above a cutoff. The rules of all signals
+tighten together: place j of the grid gives every signal its j-th cutoff, so the places
+are one nested family of whole rule sets. For each stratum the places are tested from the
+most lenient on: the test of a place is the exact binomial tail of the good labelled
+documents that any of its rules rejects. Testing stops at the first place that fails, so
+the sequence keeps its level without further correction; the sequences of the strata
+share ``delta`` (Bonferroni). A signal that rejects no bad labelled document at the place
+is then left out, which only rejects less. With probability 1 - delta no stratum therefore loses more
+than a share ``alpha`` of its good documents. Among the certified places the one that
+rejects most bad documents at the least cost in good ones is used. A stratum needs
+log(delta / strata) / log(1 - alpha) good labels at least (86 with four strata); with
+fewer it gets no cutoffs and keeps everything that passes the base rule.
 
 Only DataFrame functions: no Python runs on the executors.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from opslens.llm.common import SPACES, materialise
 
-#: Cutoffs of each signal, most lenient last; a document above its cutoff is rejected.
+#: Cutoffs of each signal, as many of each, most lenient last; a document above a cutoff is rejected.
 GRID: dict[str, list[float]] = {
     "symbols_per_word": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0],
     "duplicate_line_share": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
@@ -31,7 +34,7 @@ GRID: dict[str, list[float]] = {
     "mark_per_word": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0],
 }
 ALPHA, DELTA, BASE_WORDS, BASE_REPEAT_PERCENT = 0.05, 0.05, 50, 50
-#: A certified cutoff pays this much for each good document it rejects, in bad documents.
+#: A certified place pays this much for each share of the good documents it rejects, in shares of the bad ones.
 GOOD_COST = 20.0
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -109,35 +112,34 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with a map from signal to its certified cutoff.
+    """One row per stratum with a certified place, as a map from signal to its cutoff.
 
     ``labelled`` has stratum, good (0/1) and the signals, once per labelled document that
     passes the base rule. All labelled rows are counted; the histogram has strata x
-    signals x bins rows.
+    places rows. A document counts at the tightest place that one of its signals passes.
     """
-    bins = [F.struct(F.lit(s).alias("signal"), sum(((F.col(s) > c).cast("int") for c in g), F.lit(0)).alias("above"))
-            for s, g in GRID.items()]
-    hist = materialise(labelled.select("stratum", "good", F.explode(F.array(*bins)).alias("x")).groupBy(
-        "stratum", "x.signal", "x.above").agg(
-        F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")), "quality-histogram")
-    sequences = hist.select("stratum", "signal").distinct().count()
-    group = Window.partitionBy("stratum", "signal")
-    stricter = group.orderBy(F.desc("above"))
-    # grid places, the most lenient first; a cutoff rejects the bins above its place
-    tests = hist.withColumns({"goods": F.sum("good").over(group), "bads": F.sum("bad").over(group)}).groupBy(
-        "stratum", "signal", "goods", "bads").agg(F.collect_list(F.struct("above", "good", "bad")).alias("bins"))
-    tests = tests.withColumn("above", F.explode(F.sequence(F.lit(1), F.lit(max(map(len, GRID.values()))))))
+    places = len(next(iter(GRID.values())))
+    above = {s: sum(((F.col(s) > c).cast("int") for c in g), F.lit(0)) for s, g in GRID.items()}
+    hist = materialise(labelled.groupBy("stratum", F.greatest(*above.values()).alias("above")).agg(
+        F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"),
+        *[F.max(F.when(F.col("good") == 0, a)).alias(s) for s, a in above.items()]), "quality-histogram")
+    strata = hist.select("stratum").distinct().count()
+    # places, the most lenient first; a place rejects the bins from it on
+    tests = hist.groupBy("stratum").agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"),
+                                        F.collect_list(F.struct("above", "good", "bad")).alias("bins"),
+                                        F.struct(*[F.max(s).alias(s) for s in GRID]).alias("reach"))
+    tests = tests.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(places))))
     over = lambda name: F.aggregate("bins", F.lit(0).cast("long"), lambda s, b: s + F.when(
-        b["above"] >= F.col("above"), b[name]).otherwise(0))
+        b["above"] >= F.col("place"), b[name]).otherwise(0))
     tests = tests.withColumns({"good_lost": over("good"), "bad_lost": over("bad")})
-    tests = tests.withColumn("p", binomial_tail(F.col("good_lost"), F.col("goods"), alpha / len(GRID)))
-    tests = tests.withColumn("worst", F.max("p").over(stricter))
+    tests = tests.withColumn("p", binomial_tail(F.col("good_lost"), F.col("goods"), alpha))
+    tests = tests.withColumn("worst", F.max("p").over(Window.partitionBy("stratum").orderBy(F.desc("place"))))
     value = F.col("bad_lost") / F.greatest("bads", F.lit(1)) - GOOD_COST * F.col("good_lost") / F.greatest("goods", F.lit(1))
-    best = tests.where((F.col("worst") <= delta / max(sequences, 1)) & (F.col("bad_lost") > 0)).groupBy(
-        "stratum", "signal").agg(F.max_by("above", F.struct(value, "above")).alias("above"))
-    grids = F.create_map(*[x for s, g in GRID.items() for x in (F.lit(s), F.array(*map(F.lit, g)))])
-    cut = F.get(F.element_at(grids, F.col("signal")), F.col("above") - 1)
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", cut.alias("c")))).alias("cutoffs"))
+    best = tests.where((F.col("worst") <= delta / max(strata, 1)) & (F.col("bad_lost") > 0)).groupBy("stratum").agg(
+        F.max_by(F.struct("place", "reach"), F.struct(value, "place")).alias("best"))
+    cutoffs = F.array_compact(F.array(*[F.when(F.col("best.reach")[s] >= F.col("best.place"), F.struct(
+        F.lit(s), F.get(F.array(*map(F.lit, g)), F.col("best.place") - 1))) for s, g in GRID.items()]))
+    return best.select("stratum", F.map_from_entries(cutoffs).alias("cutoffs"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,

@@ -181,12 +181,11 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 def _quality_sql(alpha: float = quality.ALPHA, delta: float = quality.DELTA) -> str:
     """Counts from unnested windows; the binomial tail from the logarithms of its coefficients."""
-    signals = list(quality.GRID)
-    bins = " UNION ALL ".join(f"SELECT stratum, good, '{s}' AS signal, {s} AS v FROM labelled" for s in signals)
-    grids = ", ".join(f"('{s}', {g})" for s, g in quality.GRID.items())
-    over = " OR ".join(
-        f"coalesce({s} > (SELECT c FROM cutoffs k WHERE k.stratum = f.stratum AND k.signal = '{s}'), false)" for s in signals)
-    rate = alpha / len(signals)
+    above = {s: f"len(list_filter({g}, lambda c: {s} > c))" for s, g in quality.GRID.items()}
+    passed = ", ".join(above.values())
+    reach = ", ".join(f"max({a}) FILTER (good = 0) AS top_{s}" for s, a in above.items())
+    used = " OR ".join(f"coalesce(top_{s} >= place AND {a} >= place, false)" for s, a in above.items())
+    places = max(map(len, quality.GRID.values()))
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
     CASE WHEN regexp_full_match(lang, '[a-z]{{2,3}}') THEN lang ELSE 'other' END AS stratum FROM documents),
@@ -208,20 +207,20 @@ features AS (SELECT *, n_words < {quality.BASE_WORDS}
     n_marks / greatest(n_words, 1) AS mark_per_word FROM counts),
 labelled AS (SELECT f.*, good FROM features f JOIN (SELECT doc_id, min(quality) AS good FROM labels
     WHERE quality IN (0, 1) GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
-grids(signal, grid) AS (VALUES {grids}),
-binned AS (SELECT stratum, signal, good, len(list_filter(grid, lambda c: v > c)) AS above FROM ({bins}) JOIN grids USING (signal)),
-tests AS (SELECT stratum, signal, place, count(*) FILTER (good = 1) AS goods, count(*) FILTER (good = 0) AS bads,
+binned AS (SELECT stratum, good, greatest({passed}) AS above FROM labelled),
+tests AS (SELECT stratum, place, count(*) FILTER (good = 1) AS goods, count(*) FILTER (good = 0) AS bads,
     count(*) FILTER (good = 1 AND above >= place) AS k, count(*) FILTER (good = 0 AND above >= place) AS bad_lost
-    FROM binned, range(1, {max(map(len, quality.GRID.values())) + 1}) p(place) GROUP BY ALL),
-tails AS (SELECT *, CASE WHEN k >= goods * {rate} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
-    lgamma(goods + 1) - lgamma(i + 1) - lgamma(goods - i + 1) + i * ln({rate}) + (goods - i) * ln(1 - {rate})))) END AS p FROM tests),
-passed AS (SELECT *, max(p) OVER (PARTITION BY stratum, signal ORDER BY place DESC) AS worst FROM tails),
-best AS (SELECT stratum, signal, arg_max(place, {{'v': bad_lost / greatest(bads, 1) - {quality.GOOD_COST} * k / greatest(goods, 1),
+    FROM binned, range(1, {places + 1}) p(place) GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= goods * {alpha} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
+    lgamma(goods + 1) - lgamma(i + 1) - lgamma(goods - i + 1) + i * ln({alpha}) + (goods - i) * ln(1 - {alpha})))) END AS p FROM tests),
+passed AS (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY place DESC) AS worst FROM tails),
+best AS (SELECT stratum, arg_max(place, {{'v': bad_lost / greatest(bads, 1) - {quality.GOOD_COST} * k / greatest(goods, 1),
     'p': place}}) AS place FROM passed
-    WHERE worst <= {delta} / (SELECT count(*) FROM (SELECT DISTINCT stratum, signal FROM binned)) AND bad_lost > 0 GROUP BY ALL),
-cutoffs AS (SELECT stratum, signal, grid[place] AS c FROM best JOIN grids USING (signal))
+    WHERE worst <= {delta} / (SELECT count(DISTINCT stratum) FROM binned) AND bad_lost > 0 GROUP BY ALL),
+reached AS (SELECT stratum, {reach} FROM labelled GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT ({over}) AS kept, stratum FROM features f
+    NOT base_failed AND NOT ({used}) AS kept, stratum
+FROM features LEFT JOIN best USING (stratum) LEFT JOIN reached USING (stratum)
 """
 
 
