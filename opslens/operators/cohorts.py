@@ -53,7 +53,13 @@ def cohort_matrix(bookings: DataFrame, cohort: str = "cohort_group", month: str
                   revenue: str = "total_revenue") -> DataFrame:
     """Distinct users, bookings and revenue per (cohort, month), and each over the
     cohort's first month present."""
-    per_customer = present(bookings, cohort, month).groupBy("phone", cohort, month).agg(*_measures(revenue))
+    return matrix_of(bookings, _measures(revenue), cohort, month)
+
+
+def matrix_of(rows: DataFrame, measures: list[Column], cohort: str = "cohort_group",
+              month: str = "booking_month") -> DataFrame:
+    """The cohort matrix; ``measures`` fold a customer's rows of a cell into _bookings and _revenue."""
+    per_customer = present(rows, cohort, month).groupBy("phone", cohort, month).agg(*measures)
     # One row per customer and cell, so counting customers needs no distinct.
     cells = per_customer.groupBy(cohort, month).agg(
         F.count("phone").alias("users"), F.sum("_bookings").alias("bookings"),
@@ -76,15 +82,21 @@ def cohort_variants(bookings: DataFrame, city: str | None = None,
     no longer than the calendar, however many bookings a customer has.
     """
     rows = bookings if city is None else bookings.where(F.col("city") == city)
+    return variants_of(rows.withColumns(selections()), [
+        *_measures("total_revenue"), F.sum("feedback").alias("_fs"), F.count("feedback").alias("_fn")], excluded)
+
+
+def selections() -> dict[str, Column]:
+    """The flags of one enriched booking by which customers are selected."""
+    return {"_garbage": holds((F.col("successful_bookings") == 1) & (F.col("amp") == 0)),
+            "_repeat": holds(F.col("successful_bookings") > 1), "_good": holds(F.col("rating") > 3)}
+
+
+def variants_of(rows: DataFrame, measures: list[Column], excluded: list[str]) -> DataFrame:
+    """The report of ``cohort_variants`` from rows with ``selections``; ``measures`` fold them into
+    _bookings, _revenue, _fs and _fn."""
     rows = rows.where(not_in(F.col("cohort_group"), excluded))
-    flags = ["_garbage", "_repeat", "_good"]
-    reduced = (
-        rows.withColumn("_garbage", holds((F.col("successful_bookings") == 1) & (F.col("amp") == 0)))
-        .withColumn("_repeat", holds(F.col("successful_bookings") > 1))
-        .withColumn("_good", holds(F.col("rating") > 3))
-        .groupBy("phone", "cohort_group", "booking_month", *flags)
-        .agg(*_measures("total_revenue"), F.sum("feedback").alias("_fs"), F.count("feedback").alias("_fn"))
-    )
+    reduced = rows.groupBy("phone", "cohort_group", "booking_month", *selections()).agg(*measures)
     customer = Window.partitionBy("phone")
     feedback = F.try_divide(F.sum("_fs").over(customer), F.sum("_fn").over(customer))
     reduced = reduced.withColumn("_liked", holds(F.col("phone").isNotNull() & (feedback >= 3)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import differs, first_present, holds, present, ratio
@@ -19,6 +19,9 @@ CORE_DAYS_DRY_CLEANING = 60
 # Inactivity thresholds of the marketing master, in days.
 INACTIVE_DAYS = [30, 45, 60, 75, 90]
 
+#: A customer's first present value of each goes into the marketing master.
+CONTACT_COLUMNS = ["customer_name", "email", "locality", "city", "rating", "customer_credits", "customer_segment"]
+
 
 def core_customers(bookings: DataFrame, snapshots: list[tuple[str, str]],
                    statuses: list[str] = COMPLETED_STATUSES, fix_dc: bool = True) -> DataFrame:
@@ -35,21 +38,26 @@ def core_customers(bookings: DataFrame, snapshots: list[tuple[str, str]],
     shuffled do not grow with the number of snapshots, and a customer's list of states is no
     longer than the stretches and counted months, however many bookings there are.
     """
+    return core_shares(present(bookings.where(F.col("status").isin(statuses)), "phone"), F.col("requested_date"), [
+        F.min("requested_date").alias("first"), F.sum("successful_bookings").alias("sum"),
+        F.count("successful_bookings").alias("n"), F.bool_and(F.col("only_dc").isNotNull()).alias("dc"),
+        F.sum("total_revenue").alias("gmv")], snapshots, fix_dc)
+
+
+def core_shares(rows: DataFrame, day: Column, facts: list[Column], snapshots: list[tuple[str, str]],
+                fix_dc: bool) -> DataFrame:
+    """The report of ``core_customers`` from rows of named customers; ``facts`` fold rows into first, sum, n, dc and gmv."""
     dates = sorted({str(d) for d, _ in snapshots})
     months = sorted({m for _, m in snapshots})
     cuts = F.array(*[moment(d) for d in dates])
     listed = F.array(*[
         F.struct(moment(d).alias("as_of"), F.lit(m).alias("month"), F.lit(dates.index(str(d))).alias("at"))
         for d, m in snapshots])
-    rows = present(bookings.where(F.col("status").isin(statuses)), "phone")
-    day = F.col("requested_date")
     states = (
         rows.where(day < moment(dates[-1]))
         .groupBy("phone", F.size(F.filter(cuts, lambda c: c <= day)).alias("at"),
                  F.when(F.col("booking_month").isin(months), F.col("booking_month")).alias("month"))
-        .agg(F.min(day).alias("first"), F.sum("successful_bookings").alias("sum"),
-             F.count("successful_bookings").alias("n"), F.bool_and(F.col("only_dc").isNotNull()).alias("dc"),
-             F.sum("total_revenue").alias("gmv"))
+        .agg(*facts)
         .groupBy("phone")
         .agg(F.collect_list(F.struct("at", "month", "first", "sum", "n", "dc", "gmv")).alias("_states"))
     )
@@ -125,14 +133,18 @@ def customer_profile(bookings: DataFrame, as_of=None, n: int = 5,
 def marketing_master(bookings: DataFrame, city: str | None = None, as_of=None,
                      days: list[int] = INACTIVE_DAYS) -> DataFrame:
     """One contact row per customer with bookings, last date and inactivity flags."""
-    today = F.current_date().cast("timestamp_ntz") if as_of is None else moment(as_of)
     rows = bookings if city is None else bookings.where(F.col("city") == city)
-    firsts = ["customer_name", "email", "locality", "city", "rating", "customer_credits", "customer_segment"]
-    grouped = present(rows, "phone").groupBy("phone").agg(
-        *[first_present(c, "booking_id").alias(c) for c in firsts],
+    return contact_rows(present(rows, "phone"), [
+        *[first_present(c, "booking_id").alias(c) for c in CONTACT_COLUMNS],
         F.avg("feedback").alias("avg_feedback"),
         F.count("requested_date").alias("total_bookings"),
-        F.max("requested_date").alias("last_booking_date"))
+        F.max("requested_date").alias("last_booking_date")], as_of, days)
+
+
+def contact_rows(rows: DataFrame, facts: list[Column], as_of, days: list[int]) -> DataFrame:
+    """The rows of ``marketing_master``; ``facts`` fold a customer's rows."""
+    today = F.current_date().cast("timestamp_ntz") if as_of is None else moment(as_of)
+    grouped = rows.groupBy("phone").agg(*facts)
     idle = whole_days_between(F.col("last_booking_date"), today)
     return grouped.select("*", *[holds(idle > d).alias(f"no_booking_in_last_{d}_days") for d in days])
 

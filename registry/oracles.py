@@ -763,3 +763,8 @@ ORACLES = {
                    AND requested_date <= first_day + length::INT + INTERVAL 1 DAY GROUP BY booking_id)
         SELECT booking_id, requested_date, coalesce(p.label, 'none') AS campaign FROM bookings LEFT JOIN hits USING (booking_id)"""),
 }
+
+# The reports of the stored histories are those of the bookings themselves.
+ORACLES["stored_reports"] = " UNION ALL BY NAME ".join(
+    f"SELECT '{name}' AS report, * FROM ({ORACLES[name]})"
+    for name in ("cohort_matrix", "cohort_variants", "core_customers", "marketing_master"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from opslens.operators import issues as I
 from opslens.operators import nps as N
 from opslens.operators import periods as W
 from opslens.operators import pickups as P
+from opslens.plans import stored as S
 from opslens.sources import adapters as A
+from opslens.sources.sinks import stack_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,7 +112,19 @@ def _period_labels(spark, d):
     ).agg(F.count(F.lit(1)).alias("bookings"))
 
 
+def _stored_reports(spark, d):
+    """Four reports from one stored table of customer histories."""
+    kept = S.store(S.histories(_enriched(spark, d)), f"customer_histories_{uuid.uuid4().hex}")
+    return stack_reports({
+        "cohort_matrix": rounded(S.cohort_matrix(kept), *SHARES),
+        "cohort_variants": rounded(S.cohort_variants(kept, excluded=["1995-01"]), *SHARES),
+        "core_customers": rounded(S.core_customers(kept, SNAPSHOTS), "core_share", "core_gmv_share"),
+        "marketing_master": rounded(S.marketing_master(kept, as_of="2001-08-15"), "avg_feedback"),
+    }, "report")
+
+
 QUERIES: dict[str, Query] = {
+    "stored_reports": _stored_reports,
     "merge_bookings": lambda s, d: B.merge_bookings(*A.booking_dumps(s, d)),
     "merge_dumps": lambda s, d: B.merge_dumps(A.more_dumps(s, d)),
     "booking_revenue": lambda s, d: _priced(s, d).withColumn("actual_paid", B.actual_paid()).select(
