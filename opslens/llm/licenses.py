@@ -2,9 +2,10 @@
 
 The whole file is compared with whole license texts. Each line, each pair of neighbouring
 lines and each run of as many words as a statement has, over any number of lines, is
-compared with the usual statements of licenses. A file that is the text of a license, or
-most of whose text is one statement, is a license file: it holds for its folder. Files without a statement of their own take the license of the nearest
-folder above them that has one.
+compared with the usual statements of licenses. A file that is the text of a license is a
+license file and holds for its folder, and so is one with the name of a license file most of
+whose text is one statement. Files without a statement of their own take the license of the
+nearest folder above them that has one.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ TEXTS = [(f.stem, "\n".join(x for x in f.read_text("utf-8").split("\n") if not x
          for f in sorted((pathlib.Path(__file__).parent / "license_texts").glob("*.txt"))]
 #: Least cosine of a file and a license text, on one plus the logarithm of counts.
 FILE_COSINE = 0.85
+# Names of license files, with anything before or after a dash, dot or underscore.
+FILE_NAME = r"(?i)^(.*[-._])?(licen[cs]e|copying|copyright|notice|unlicen[cs]e)([-._].*)?$"
 _APART = bytes(c if chr(c).isalnum() or c in b".\n" or c > 127 else 32 for c in range(256))
 
 
@@ -102,10 +105,11 @@ def scan_licenses(docs: DataFrame, path: Column, key: str = "doc_id", text: str
     """One row per file: key, path, license, score, origin (header, license_file, inherited, none) and license_dir.
 
     A file whose cosine with a whole license text reaches file_cosine is a license file of
-    that license. A word that no template has counts as the rarest word, once each time. Of several
+    that license, whatever its name. A statement that makes file_share of a file's words makes it a
+    license file only under such a name (FILE_NAME); elsewhere it is a header. A word that no template has counts as the rarest word, once each time. Of several
     statements the best wins, then the first in the text. A folder with several license
-    files takes the one with the best score, then the smallest license name. Null texts
-    are empty; files with a null path inherit nothing; repeated rows give a row each.
+    files takes the one with the best score (six digits), then the smallest license name. Null texts
+    are empty; files with a null path inherit nothing; repeated rows give a row each, and no rows none.
     """
     templates = Templates(statements)
     full, every = Templates(whole), Templates(statements + whole)
@@ -134,20 +138,23 @@ def scan_licenses(docs: DataFrame, path: Column, key: str = "doc_id", text: str
                     line_of, file_of = np.array(line_of), np.array(file_of)
                     found = _best(ids, line_of, file_of, idf, vectors, unknown, n_words, threshold)
                     _runs(found, ids, file_of[line_of], idf, vectors, unknown, lengths, n_words, threshold)
-                    found = [(names[x[0]], *x[1:]) if x else None for x in found]
+                    found = [(names[x[0]], *x[1:], False) if x else None for x in found]
                     ids = np.fromiter(map(full_get, words, repeat(-1)), np.int64, len(words))
                     best, cosine = _whole(ids, file_of[line_of], full_idf, full_vectors, unknown, part.num_rows)
                     for f in np.flatnonzero(cosine >= file_cosine):
-                        found[f] = (full_names[best[f]], float(cosine[f]), 1.0)
-                cols = list(zip(*(x or (None, None, None) for x in found), strict=True))
+                        found[f] = (full_names[best[f]], float(cosine[f]), 1.0, True)
+                cols = list(zip(*(x or (None, None, None, False) for x in found), strict=True))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(cols[0], pa.string()), pa.array(
-                    cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["key", "path", "license", "score", "share"])
+                    cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())],
+                    ["key", "path", "license", "score", "share", "whole"])
 
     own = map_arrow(docs.select(F.col(key).cast("long").alias("key"), path.cast("string").alias("path"), text), run,
-                    "key long, path string, license string, score double, share double")
+                    "key long, path string, license string, score double, share double, whole boolean")
+    named = F.coalesce(F.regexp_replace("path", "^.*/", "").rlike(FILE_NAME), F.lit(False))
+    own = own.withColumn("holds", F.col("whole") | (named & F.coalesce(F.col("share") >= file_share, F.lit(False))))
     own = materialise(own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licenses-own")
-    folders = own.where(F.col("share") >= file_share).groupBy("dir").agg(F.min_by(
-        F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("f"))
+    folders = own.where("holds and dir is not null").groupBy("dir").agg(F.min_by(
+        F.struct("license", "score"), F.struct(-F.round("score", 6), "license")).alias("f"))
     folders = materialise(folders.select(F.col("dir").alias("license_dir"), "f.*"), "licenses-folders")
     # every folder of the files, with each folder above it: one row per folder and level, joined by path
     levels = own.select("dir").where("dir is not null").distinct().withColumn("parts", F.split("dir", "/"))
@@ -161,7 +168,7 @@ def scan_licenses(docs: DataFrame, path: Column, key: str = "doc_id", text: str
     return rows.select(
         F.col("key").alias(key), "path", F.coalesce("license", "up.license").alias("license"),
         F.round(F.coalesce("score", "up.score"), 6).alias("score"),
-        F.when(mine & (F.col("share") >= file_share), "license_file").when(mine, "header").when(up, "inherited").otherwise(
+        F.when(F.col("holds"), "license_file").when(mine, "header").when(up, "inherited").otherwise(
             "none").alias("origin"), F.when(~mine, F.col("up.license_dir")).alias("license_dir"))
 
 

@@ -60,7 +60,7 @@ def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), captured)[1].select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,14 +245,21 @@ FROM turns GROUP BY conv_id
 
 #: Five hex digits are four of base 32.
 _OP7 = """
-WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id, sha1(body) AS hex FROM bodies)
-SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr(
+WITH bodies AS (SELECT page_id, regexp_replace(trim(coalesce(url, '')), '#.*$', '') AS url, coalesce(html, '') AS body FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id, sha1(body) AS hex,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?]*)', 1)), ':[0-9]*$', ''), '^www[.]', '') AS host,
+    lower(rtrim(regexp_extract(url, '^[a-z]+://[^/?]*([^?]*)', 1), '/')) AS path, regexp_extract(url, '[?](.*)$', 1) AS query
+  FROM bodies),
+keyed AS (SELECT *, CASE WHEN url = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+    CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(
+    list_sort(string_split(query, '&')), '&') END END AS url_key,
+    strftime(make_timestamp((1700000000 + coalesce(page_id, 0)) * 1000000), '%Y%m%d%H%M%S') AS ts FROM firsts)
+SELECT page_id, url_key, ts, row_number() OVER (PARTITION BY url_key ORDER BY ts, page_id NULLS FIRST) AS capture, strlen(body)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr(
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31) + 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM firsts
+FROM keyed
 """
 
 _OP9 = f"""

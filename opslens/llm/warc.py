@@ -1,15 +1,21 @@
-"""Web archives: WARC records with revisits, and an index merged from sorted capture runs.
-
-Writing tasks put their records into an archive of their own and leave one run of index
-rows, sorted by URL key and timestamp. Runs are dealt out by ranges of the key; each range
-is merged by a loser tree, so the index as a whole is in order and the captures of one
-URL follow each other in time, even where they spread over several ranges.
+"""Web archives: WARC records with revisits, and an external index merged from sorted capture runs.
+
+Writing tasks put their records into an archive of their own and leave sorted runs of
+index rows as files of small blocks, with a sparse index of the first and last key of each
+block. The key range is cut at sampled keys; each range opens its slice of every run and
+streams it through a loser tree, one block of each run in memory. So the index as a whole is in
+order and the captures of one URL follow each other in time, even where they spread
+over several ranges; each capture carries its number in that history.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
+import datetime as dt
 import hashlib
+import itertools
+import json
 import re
 import uuid
 import zlib
@@ -17,13 +23,20 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.llm.common import map_arrow, materialise, open_store, shared_dir
 
-INDEX = "url_key string, ts string, page_id long, url string, record_type string, digest string, file string, offset long, length long"
-_NAMES = [c.split()[0] for c in INDEX.split(", ")]
+#: Index rows; the first five columns are their order.
+INDEX = "url_key string, ts string, page_id long, file string, offset long, url string, record_type string, digest string, length long"
+KEYS = [c.split()[0] for c in INDEX.split(", ")][:5]
+#: The sparse index of the runs: where a block is, and its first and last key.
+BLOCKS = "run string, at long, size long, " + ", ".join(f"{end}_{c}" for end in ("first", "last") for c in INDEX.split(", ")[:5])
+#: Rows of a block, and of a run: a task with more index rows leaves several runs.
+BLOCK_ROWS, RUN_ROWS = 256, 200_000
+#: Sampled keys for each cut of the key range.
+_SAMPLED = 20
 _HEAD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 
@@ -70,12 +83,6 @@ class LoserTree:
             self._play(winner)
 
 
-def natural_runs(rows: list[tuple]) -> list[list[tuple]]:
-    """The longest ascending stretches; rows of one writer arrive as one of them."""
-    cuts = [0, *(i for i in range(1, len(rows)) if rows[i] < rows[i - 1]), len(rows)]
-    return [rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
-
 def url_key(url: str | None) -> str:
     """Host labels from the last to the first, then path and query; scheme, ``www``, port and fragment left out."""
     if not url:
@@ -110,20 +117,21 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, captured: Column, least_bytes: int = 0) -> DataFrame:
-    """Writes one archive per task below ``folder`` and returns the index runs.
+    """Writes one archive per task below ``folder``, and its index runs; returns the sparse index of the runs.
 
     Every record is a gzip member of its own. A response holds the HTTP head and the
     payload; a revisit has the HTTP head with the payload's length, its digest, and the
-    record it refers to. An archive's name is new for every attempt of a task, and only
-    the index rows of successful attempts count. Null html is an empty payload.
+    record it refers to. The names of files are new for every attempt of a task, and only
+    the blocks of successful attempts count. Null html is an empty payload; a null time
+    comes before all others, and so does a null page_id.
     """
     chosen = revisits(pages, least_bytes)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
-                        F.date_format(captured, "yyyyMMddHHmmss").alias("ts"))
+                        F.unix_seconds(captured.cast("timestamp")).alias("seconds"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     same = rows["page_id"].eqNullSafe(chosen["page_id"]) & (rows["sha1"] == chosen["sha1"])
-    rows = rows.join(chosen, same).select(rows["page_id"], "url", "payload", "ts", "refers_to")
+    rows = rows.join(chosen, same).select(rows["page_id"], "url", "payload", "seconds", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
@@ -131,25 +139,57 @@ def write_archives(pages: DataFrame, folder: str, captured: Column, least_bytes:
         name, offset, index = f"pages-{uuid.uuid4().hex}.warc.gz", 0, []
         with store.open_output_stream(f"{path}/{name}", compression=None) as out:
             for batch in batches:
-                for page, url, payload, ts, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    digest = payload_digest(payload)
+                for page, url, payload, seconds, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    digest, ts = payload_digest(payload), _stamp(seconds)
                     kind = "response" if refers is None else "revisit"
                     deflate = zlib.compressobj(5, zlib.DEFLATED, 31)
                     data = deflate.compress(_record(page, url, payload, ts, refers, digest)) + deflate.flush()
                     out.write(data)
-                    index.append((url_key(url), ts or "", -1 if page is None else page, url or "", kind, digest, name, offset, len(data)))
+                    index.append((url_key(url), ts, -1 if page is None else page, name, offset, url or "", kind, digest, len(data)))
                     offset += len(data)
+                    if len(index) == RUN_ROWS:
+                        yield _batch(write_run(store, path, index), BLOCKS)
+                        index = []
         if index:
-            yield _batch(sorted(index))
-        else:
+            yield _batch(write_run(store, path, index), BLOCKS)
+        if not offset:
             store.delete_file(f"{path}/{name}")
 
-    return materialise(map_arrow(rows, run, INDEX), "warc-runs")
+    return materialise(map_arrow(rows, run, BLOCKS), "warc-blocks")
+
+
+def write_run(store, path: str, index: list[tuple]) -> list[tuple]:
+    """Writes index rows, sorted, as one run of compressed blocks; returns the rows of its sparse index."""
+    index.sort()
+    name, at, blocks = f"run-{uuid.uuid4().hex}", 0, []
+    with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+        for rows in itertools.batched(index, BLOCK_ROWS):
+            data = zlib.compress(json.dumps(rows).encode(), 1)
+            out.write(data)
+            blocks.append((name, at, len(data), *rows[0][:5], *rows[-1][:5]))
+            at += len(data)
+    return blocks
+
 
+def read_run(store, path: str, name: str, blocks: list[tuple[int, int]]) -> Iterator[tuple]:
+    """The rows of some blocks of a run, one block at a time."""
+    for at, size in blocks:
+        with store.open_input_file(f"{path}/{name}") as source:
+            data = source.read_at(size, at)
+        yield from map(tuple, json.loads(zlib.decompress(data)))
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64() if c.endswith("long") else pa.string() for c in INDEX.split(", ")]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+
+def _stamp(seconds: int | None) -> str:
+    if seconds is None:
+        return ""
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)).strftime("%Y%m%d%H%M%S")
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    columns = [c.split() for c in ddl.split(", ")]
+    kinds = [pa.int64() if t == "long" else pa.string() for _, t in columns]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(columns)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [n for n, _ in columns])
 
 
 def _record(page, url, payload: bytes, ts, refers, digest: str) -> bytes:
@@ -165,51 +205,86 @@ def _record(page, url, payload: bytes, ts, refers, digest: str) -> bytes:
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def merge_index(runs: DataFrame) -> DataFrame:
-    """The global index: ordered by URL key, timestamp, page and place; so each URL's captures are its history."""
-    keys = ["url_key", "ts", "page_id", "file", "offset"]
-    dealt = runs.select(*keys, *[c for c in _NAMES if c not in keys]).repartitionByRange(*keys)
-    order = dealt.columns
+def key_cuts(blocks: DataFrame, ranges: int) -> list[tuple]:
+    """At most ``ranges - 1`` keys that cut the key range evenly, from some 20 sampled block keys for each.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        part: list[tuple] = []
-        kinds = [pa.int64() if c in ("page_id", "offset", "length") else pa.string() for c in order]
-        for row in LoserTree(natural_runs(rows)):
-            part.append(row)
-            if len(part) == 10_000:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], order)
-                part = []
-        if part:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], order)
+    Any cuts give the same merged index; they only share out the work.
+    """
+    n = max(1, blocks.count())
+    part = F.pmod(F.xxhash64("run", "at"), F.lit(1 << 30)) * n < F.lit(_SAMPLED * ranges << 30).cast("double")
+    keys = sorted(tuple(r) for r in blocks.where(part).select(*[f"first_{c}" for c in KEYS]).collect())
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
-    types = dict(c.split() for c in INDEX.split(", "))
-    return map_arrow(dealt, run, ", ".join(f"{c} {types[c]}" for c in order))
+
+def merge_index(blocks: DataFrame, folder: str, ranges: int | None = None) -> DataFrame:
+    """The global index with ``range``, ``place`` and ``capture``.
+
+    Rows are ordered by URL key, timestamp, page and place in the archives: by ``range``, then by ``place``
+    in it. ``capture`` numbers the captures of one URL key from 1, over all ranges. A range
+    reads only the blocks that overlap it and holds one block of each run. No rows give no rows.
+    """
+    ranges = ranges or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = key_cuts(blocks, ranges)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for run, at, size, *ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = (bisect.bisect_right(cuts, tuple(e)) for e in (ends[:5], ends[5:]))
+                rows += [(r, run, at, size) for r in range(low, high + 1)]
+            yield _batch(rows, "range long, run string, at long, size long")
+
+    dealt = map_arrow(blocks, deal, "range long, run string, at long, size long")
+    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", "run", "at")
+    ddl = f"range long, place long, nth long, {INDEX}"
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = open_store(folder)
+        listed = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for number, group in itertools.groupby(listed, lambda x: x[0]):
+            runs = [read_run(store, path, run, [x[2:] for x in part]) for run, part in
+                    [(run, list(part)) for run, part in itertools.groupby(group, lambda x: x[1])]]
+            inside = (row for row in LoserTree(runs) if bisect.bisect_right(cuts, row[:5]) == number)
+            place = itertools.count()
+            numbered = ((number, next(place), nth, *row) for _, history in itertools.groupby(inside, lambda x: x[0])
+                        for nth, row in enumerate(history, 1))
+            for part in itertools.batched(numbered, 10_000):
+                yield _batch(part, ddl)
+
+    index = materialise(map_arrow(dealt, merge, ddl), "warc-ranges")
+    # One row per range: a history that goes on in the next range is the last of its own and the first of that one.
+    ends = index.groupBy("range").agg(
+        F.min_by("url_key", "place").alias("head"), F.max_by("url_key", "place").alias("tail"), F.max_by("nth", "place").alias("n"))
+    so_far = ends.select((F.col("range") + 1).alias("range"), F.col("tail").alias("head"), F.sum("n").over(
+        Window.partitionBy("tail").orderBy("range")).alias("before"))
+    carried = ends.select("range", "head").join(so_far, ["range", "head"]).withColumnRenamed("head", "url_key")
+    return index.join(carried, ["range", "url_key"], "left").select(
+        "range", "place", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("capture"), *[c.split()[0] for c in INDEX.split(", ")])
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Each indexed record read at its place: page_id, type, payload length and digest, and the record referred to.
 
-    The digest of a response is computed from the payload read; a revisit's is that of its head.
+    URL key, timestamp and number of the capture are those of the index. The digest of a
+    response is computed from the payload read; a revisit's is that of its head.
     """
-    places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions(
-        "file", "offset")
-    names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    places = index.select("file", "offset", "length", "url_key", "ts", "capture").repartition(
+        "file", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("file", "offset")
+    ddl = ("page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, "
+           "url_key string, ts string, capture long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
         name, source = None, None
         for batch in batches:
             rows = []
-            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, offset, length, *capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != name:
                     name, source = file, store.open_input_file(f"{path}/{file}")
-                rows.append(_read(source.read_at(length, offset)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                rows.append((*_read(source.read_at(length, offset)), *capture))
+            yield _batch(rows, ddl)
 
-    return map_arrow(places, run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return map_arrow(places, run, ddl)
 
 
 def _read(data: bytes) -> tuple:
@@ -228,8 +303,13 @@ def _read(data: bytes) -> tuple:
 
 
 def archive_round_trip(pages: DataFrame, captured: Column, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Writes archives and the merged index to the shared folder; returns the index and the records read back through it."""
+    """Writes archives and the merged index to the shared folder; returns the index and the records read back through it.
+
+    One record for each row: repeated rows are captures of their own, all but the
+    response revisits. A null page_id comes after all others as a payload's response and
+    is read back as null; a null or broken URL is a key of its own; no pages give no records.
+    Columns other than page_id, url and html are not read, whatever they are called.
+    """
     folder = shared_dir(pages.sparkSession, "warc")
-    index = materialise(merge_index(write_archives(pages, folder, captured, least_bytes)), "warc-index")
+    index = materialise(merge_index(write_archives(pages, folder, captured, least_bytes), folder), "warc-index")
     return index, read_archives(index, folder)
-

@@ -122,7 +122,7 @@ def test_archives_and_index(spark):
     assert {(r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in records.collect()} == {
         (2, "response", 3, None), (5, "revisit", 3, 2), (None, "revisit", 3, 2), (3, "response", 0, None), (4, "revisit", 0, 3),
         (6, "response", 4, None)}
-    keys = [(r.url_key, r.ts) for r in index.collect()]
+    keys = [(r.url_key, r.ts) for r in index.orderBy("range", "place").collect()]
     assert keys == sorted(keys)
     r = random.Random(2)
     for k in range(9):

@@ -108,3 +108,19 @@ def test_pipeline_decides_each_row(spark, tmp_path):
         [(None, None), (5, ""), (1, bad), (1, good[1]), (2, good[2]), (4, leak), (4, good[3])])
     assert run("benchmark decontamination", texts) == by(x for x in texts if x[1] != leak)
     assert all(run(name, []) == [] for name in ("quality rules", "benchmark decontamination"))
+
+
+def test_only_named_files_hold_for_their_folder(spark):
+    one = "# Licensed under the Apache License, Version 2.0."
+    files = [(1, "a/__init__.py", one), (2, "a/x.py", "code only"), (3, "b/LICENSE-APACHE.txt", one), (4, "b/c/x.py", "code"),
+             (5, "d/legal.txt", dict(licenses.TEXTS)["ISC"]), (6, "d/x.py", ""), (7, None, one), (8, "b/NOTICE", one),
+             (8, "b/NOTICE", one), (9, "b/COPYING", "Released under the MIT License."), (10, "licenses.py", one), (11, "top.py", "code")]
+    got = licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()
+    by_id = {r.doc_id: (r.license, r.origin) for r in got}
+    assert by_id == {
+        1: ("Apache-2.0", "header"), 2: (None, "none"), 3: ("Apache-2.0", "license_file"), 4: ("Apache-2.0", "inherited"),
+        5: ("ISC", "license_file"), 6: ("ISC", "inherited"), 7: ("Apache-2.0", "header"), 8: ("Apache-2.0", "license_file"),
+        9: ("MIT", "license_file"), 10: ("Apache-2.0", "header"), 11: (None, "none")}
+    assert len(got) == len(files)
+    empty = spark.createDataFrame([], "doc_id long, path string, text string")
+    assert licenses.scan_licenses(empty, F.col("path")).count() == 0
