@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.common import map_arrow, materialise, open_store, shared_dir
@@ -236,7 +236,7 @@ def merge_index(blocks: DataFrame, folder: str, ranges: int | None = None) -> Da
 
     dealt = map_arrow(blocks, deal, "range long, run string, at long, size long")
     dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", "run", "at")
-    ddl = f"range long, place long, nth long, {INDEX}"
+    ddl = f"range long, place long, nth long, {INDEX}, last long"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
@@ -248,20 +248,44 @@ def merge_index(blocks: DataFrame, folder: str, ranges: int | None = None) -> Da
             place = itertools.count()
             numbered = ((number, next(place), nth, *row) for _, history in itertools.groupby(inside, lambda x: x[0])
                         for nth, row in enumerate(history, 1))
-            for part in itertools.batched(numbered, 10_000):
+            for part in itertools.batched(_with_last(numbered), 10_000):
                 yield _batch(part, ddl)
 
-    index = materialise(map_arrow(dealt, merge, ddl), "warc-ranges")
-    # One row per range: a history that goes on in the next range is the last of its own and the first of that one.
-    ends = index.groupBy("range").agg(
-        F.min_by("url_key", "place").alias("head"), F.max_by("url_key", "place").alias("tail"), F.max_by("nth", "place").alias("n"))
-    so_far = ends.select((F.col("range") + 1).alias("range"), F.col("tail").alias("head"), F.sum("n").over(
-        Window.partitionBy("tail").orderBy("range")).alias("before"))
-    carried = ends.select("range", "head").join(so_far, ["range", "head"]).withColumnRenamed("head", "url_key")
-    return index.join(carried, ["range", "url_key"], "left").select(
+    index = materialise(map_arrow(dealt, merge, ddl), "warc-index")
+    # The first and the last row of each range: two rows for each of the ranges, whose number is a setting.
+    edges = index.where("place = 0 OR last = 1").select("range", "place", "url_key", "nth", "last").collect()
+    carried = index.sparkSession.createDataFrame(carry(edges), "range long, url_key string, before long")
+    return index.join(F.broadcast(carried), ["range", "url_key"], "left").select(
         "range", "place", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("capture"), *[c.split()[0] for c in INDEX.split(", ")])
 
 
+def _with_last(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """The rows with 1 at the last one and 0 at all others."""
+    held = None
+    for row in rows:
+        if held:
+            yield (*held, 0)
+        held = row
+    if held:
+        yield (*held, 1)
+
+
+def carry(edges: list) -> list[tuple]:
+    """(range, url_key, captures in the ranges before) of histories that go on from the range before.
+
+    ``edges`` are the first and the last row of each range that has rows; they may be one row.
+    """
+    out, key, total = [], None, 0
+    for number, rows in itertools.groupby(sorted(edges, key=lambda x: (x.range, x.place)), lambda x: x.range):
+        rows = list(rows)
+        head, tail = rows[0], rows[-1]
+        if head.url_key == key:
+            out.append((number, key, total))
+        total = tail.nth + (total if head.url_key == key == tail.url_key else 0)
+        key = tail.url_key
+    return out
+
+
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Each indexed record read at its place: page_id, type, payload length and digest, and the record referred to.
 
@@ -311,5 +335,5 @@ def archive_round_trip(pages: DataFrame, captured: Column, least_bytes: int = 0)
     Columns other than page_id, url and html are not read, whatever they are called.
     """
     folder = shared_dir(pages.sparkSession, "warc")
-    index = materialise(merge_index(write_archives(pages, folder, captured, least_bytes), folder), "warc-index")
+    index = merge_index(write_archives(pages, folder, captured, least_bytes), folder)
     return index, read_archives(index, folder)
