@@ -43,32 +43,36 @@ BLOCK_NGRAMS, BLOCK_CLASSES = 1 << 19, 1024
 READ_COST, VERIFY_COST = 1.0, 30.0
 
 
+class _Hashes(dict):
+    """64-bit hash of each word, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
 class Shingles:
-    """Sets of hashed word n-grams; a word's hash is kept while there are few enough."""
+    """Sets of hashed word n-grams; words' hashes are kept from text to text while there are few enough."""
 
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[bytes, int] = {}
+        self.known = _Hashes()
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes: n-grams, or the whole sequence of a shorter text; empty without words."""
         words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if len(known) + len(fresh) > 500_000:
-            known.clear()
-            fresh = list(set(words))
-        for w in fresh:
-            known[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > 500_000:
+            self.known.clear()
+        ids = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(self.size, len(words))
         h = np.full(len(ids) - n + 1, n, np.uint64)
         for k in range(n):
             h = (h ^ ids[k:len(ids) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
-        return np.unique(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _per_text(docs: DataFrame, size: int, function, schema: str) -> DataFrame:
@@ -150,7 +154,8 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: list[tuple[int,
                 count = np.where(tokens[at] == s, counts[at], 0)
             need = -(-percent * n // 100)
             keep = n - need + min(MAX_LEVEL, need)
-            return [(doc, n, s[np.lexsort((s, count))[:keep]].astype(np.int64).tolist())]
+            # s is sorted, so a stable order by count breaks ties by n-gram
+            return [(doc, n, s[np.argsort(count, kind="stable")[:keep]].astype(np.int64).tolist())]
 
         return call
 
