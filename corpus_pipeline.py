@@ -50,15 +50,21 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose number is in ``kept``: null and repeated doc_ids are decided row by row."""
-    return rows.join(materialise(kept.select("row"), "pipeline-kept"), "row", "left_semi").select(*COLUMNS)
+    """The rows whose number is in ``kept``: null and repeated doc_ids are decided row by row.
+
+    A merge join at any size: a broadcast of the numbers would serve small tables only.
+    """
+    kept = materialise(kept.select("row"), "pipeline-kept")
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail the base rule or a certified cutoff go; other rows of the same doc_id, or of none, are not touched."""
-    rows = _rows(docs)
-    return _keep(rows, quality.quality_rules(rows, table(spark, sf_dir, "labels"), carry=("row",)).where("kept"))
+    # the rows go with their counts, so no text is shuffled
+    rows = docs.select(*COLUMNS, F.col("text").alias("whole"))
+    ruled = quality.quality_rules(rows, table(spark, sf_dir, "labels"), carry=("whole", *COLUMNS[2:]))
+    return ruled.where("kept").withColumnRenamed("whole", "text").select(*COLUMNS)
 
 
 @_stage

@@ -107,3 +107,18 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_joins_with_the_texts_are_the_same_at_any_size(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if every table were large
+        found = plan(P.quality_rules(spark, docs, folder))
+        assert "SortMergeJoin" not in found and "hashpartitioning(row" not in found  # no text is shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # tiny tables: no broadcast of row numbers
+        found = plan(P.near_duplicates(spark, docs, folder))
+        assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
