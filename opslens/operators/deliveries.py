@@ -82,7 +82,8 @@ def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int |
     stamp per visit. A visit id listed twice in a booking is two visits,
     in the order of cancellation time and then of the remaining columns.
 
-    A booking's visits meet in one row, once, and are matched there. A booking that holds more than
+    A booking's visits meet in one row, once, and are matched there; they are dealt before they are
+    gathered, so no task sorts what it has read. A booking that holds more than
     its share of the visits (above ``heavy_rows`` or ``heavy_visits``, where given) is cut into
     slices of ``slice_ids`` visits, about; see ``_start_places``.
     """
@@ -91,18 +92,21 @@ def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int |
     rest = [c for c in names if c not in ("booking_id", "visit_id", "cancellation_time")]
     visits = present(visits, "booking_id")
     order = [F.col("visit_id"), F.col("cancellation_time").isNull(), F.col("cancellation_time")]
-    rows = skew.cut(visits, "booking_id", order, "_slice", floor=floor, slice_rows=slice_ids, most=SLICE_VISITS)
+    stats = skew.key_counts(visits, "booking_id")
+    some = skew.any_oversized(stats, floor=floor, most=SLICE_VISITS)
+    rows = skew.cut(visits, "booking_id", order, "_slice", stats, floor=floor, slice_rows=slice_ids, most=SLICE_VISITS, some=some)
     row = [F.col("visit_id").alias("visit"), F.col("cancellation_time").isNull().alias("open"),
            F.col("cancellation_time").alias("cancelled")]
 
-    def gathered(part: DataFrame, columns: list[Column]) -> DataFrame:
-        return part.groupBy("booking_id", "_slice").agg(
-            F.sort_array(F.collect_list(F.struct(*columns))).alias("visits"), *_visit_facts())
+    def gathered(columns: list[Column]) -> Column:
+        return F.sort_array(F.collect_list(F.struct(*columns))).alias("visits")
 
     # equal times take a stamp alike, so the maps need no other column
-    begun = _start_places(gathered(rows.where(F.col("_slice") >= 0), row), pattern)
-    met = gathered(rows, [*row, F.struct(*rest).alias("rest")]).join(
-        begun, (F.col("booking_id") == F.col("_b")) & (F.col("_slice") == F.col("_s")), "left")
+    begun = _start_places(rows.where(some & (F.col("_slice") >= 0)).groupBy("booking_id", "_slice").agg(
+        gathered(row), *_visit_facts()), pattern)
+    met = rows.repartition("booking_id", "_slice").groupBy("booking_id", "_slice").agg(
+        gathered([*row, F.struct(*rest).alias("rest")]), *_visit_facts()).join(
+        F.broadcast(begun), (F.col("booking_id") == F.col("_b")) & (F.col("_slice") == F.col("_s")), "left")
     met = met.withColumn("_stamps", F.coalesce("stamps", _stamps(*[F.col(c) for c in ("done", "listed", "created", "attempts")], pattern)))
     queue, start = F.col("_stamps")["queue"], F.coalesce("start", F.lit(0))
     # places of the visits that take a stamp, in stamp order
@@ -110,9 +114,10 @@ def assign_ofd(visits: DataFrame, pattern: str | None = None, heavy_rows: int |
     took = F.aggregate("visits", none, lambda s, v: F.struct(
         (s["i"] + 1).alias("i"), (s["at"] + _due(queue, s["at"], v["cancelled"]).cast("int")).alias("at"),
         F.when(_due(queue, s["at"], v["cancelled"]), F.concat(s["took"], F.array(s["i"]))).otherwise(s["took"]).alias("took")))
-    out = met.select("booking_id", "_stamps", queue.alias("_queue"), start.alias("_start"), F.when(
-        F.size(queue) > 0, took["took"]).otherwise(F.array().cast("array<int>")).alias("_took"),
-                     F.posexplode("visits").alias("_i", "_v"))
+    taken = F.when(F.size(queue) > 0, took["took"]).otherwise(F.array().cast("array<int>"))
+    met = met.select("booking_id", "_stamps", queue.alias("_queue"), start.alias("_start"), taken.alias("_took"), "visits")
+    # a select of its own: beside the generator, all of that would be worked out again for every visit, on a copy of the list
+    out = met.select("booking_id", "_stamps", "_queue", "_start", "_took", F.posexplode("visits").alias("_i", "_v"))
     nth = F.array_position("_took", F.col("_i")).cast("int")
     own = F.when(nth > 0, F.get("_queue", F.col("_start") + nth - 1))
     stamp = F.coalesce(own, F.when(F.col("_v.rest.visit_status") == "done", F.col("_stamps.last")))

@@ -43,6 +43,13 @@ def heaviest(stats: DataFrame, key: str, count: str = "n_rows", floor: int | Non
     return stats.where(F.col(count) > (share if most is None else F.least(share, F.lit(float(most)))))
 
 
+def any_oversized(stats: DataFrame, count: str = "n_rows", floor: int | None = None, most: int | None = None) -> Column:
+    """Whether ``heaviest`` has a key; as a filter it saves the passes that only oversized keys need."""
+    share = F.sum(count) / F.lit(float(SHARE * _partitions(stats)))
+    limit = F.lit(floor) if floor is not None else share if most is None else F.least(share, F.lit(float(most)))
+    return stats.agg((F.max(count) > limit).alias("some")).scalar()
+
+
 def built_once(stats: DataFrame, count: str = "n_rows") -> DataFrame:
     """Mark an aggregate that several later steps read.
 
@@ -100,12 +107,14 @@ def _salted_join(rows: DataFrame, table: DataFrame, heavy: DataFrame, key: str,
 
 
 def cut(rows: DataFrame, key: str, order: list[Column], name: str, stats: DataFrame | None = None,
-        floor: int | None = None, slice_rows: int | None = None, most: int | None = None) -> DataFrame:
+        floor: int | None = None, slice_rows: int | None = None, most: int | None = None,
+        some: Column | None = None) -> DataFrame:
     """Adds ``name``: the slice of a row of an oversized key, numbered from 0 in ``order``; -1 for every other row.
 
     ``order`` must tell a key's rows apart as far as slices matter; its columns sort null first.
     Cuts are places of a sample of the oversized keys' rows, about 2 * P in all, and
-    are broadcast. ``stats`` has ``n_rows`` per key where it is known already.
+    are broadcast. ``stats`` has ``n_rows`` per key where it is known already;
+    ``some`` is their ``any_oversized``, where the sample shall not be looked for in vain.
     """
     stats = key_counts(rows, key) if stats is None else stats.select(key, "n_rows")
     every = _EVERY if slice_rows is None else max(1, min(_EVERY, slice_rows))
@@ -114,7 +123,7 @@ def cut(rows: DataFrame, key: str, order: list[Column], name: str, stats: DataFr
     few = heaviest(stats, key, floor=floor, most=most).select(F.col(key).alias("_cut_key"), size.alias("_cut_size"))
     at = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
     taken = F.pmod(F.xxhash64("_cut_at"), F.lit(1 << 30)) * F.col("_cut_size") < F.lit(float(every << 30))
-    sample = rows.select(F.col(key).alias("_cut_row"), at.alias("_cut_at")).join(
+    sample = (rows if some is None else rows.where(some)).select(F.col(key).alias("_cut_row"), at.alias("_cut_at")).join(
         F.broadcast(few), F.col("_cut_row") == F.col("_cut_key")).where(taken)
     step = F.greatest(F.lit(every), F.ceil(F.size("_cut_at") / (MOST_SLICES - 1)).cast("int"))
     cuts = sample.groupBy("_cut_key").agg(F.sort_array(F.collect_set("_cut_at")).alias("_cut_at")).select(

@@ -193,3 +193,20 @@ def test_a_booking_with_a_third_of_the_visits_is_cut(spark):
     for b in {v["booking_id"] for v in visits}:
         for visit, stamp in assigned_by_hand([v for v in visits if v["booking_id"] == b]).items():
             assert got[b, visit] == stamp
+
+
+def test_visits_are_dealt_before_they_are_gathered_and_matched_before_they_are_listed(spark):
+    df = D.assign_ofd(A.delivery_visits(spark, SF))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    gather = next(i for i, line in enumerate(plan) if "partial_collect_list(struct(visit" in line)
+    assert "Exchange hashpartitioning(booking_id" in plan[gather + 1]  # nothing is sorted or gathered where rows are read
+    listing = next(line for line in plan if "Generate posexplode(visits" in line)
+    assert "visits#" not in listing.split("), [", 1)[1]  # no visit carries the whole list
+
+
+def test_oversized_keys_are_known_before_they_are_looked_for(spark):
+    stats = frame(spark, "k bigint, n_rows bigint", [{"k": i, "n_rows": 2} for i in range(400)] + [{"k": 999, "n_rows": 90}])
+    for limits in ({}, {"floor": 89}, {"floor": 90}, {"floor": 2, "most": 5}, {"most": 1}, {"most": 91}):
+        for rows in (stats, stats.where("k <> 999"), stats.where("k < 0")):
+            found = rows.agg(F.count("*")).select(skew.any_oversized(rows, **limits).alias("some")).first().some
+            assert bool(found) == (skew.heaviest(rows, "k", **limits).count() > 0)
