@@ -210,3 +210,10 @@ def test_oversized_keys_are_known_before_they_are_looked_for(spark):
         for rows in (stats, stats.where("k <> 999"), stats.where("k < 0")):
             found = rows.agg(F.count("*")).select(skew.any_oversized(rows, **limits).alias("some")).first().some
             assert bool(found) == (skew.heaviest(rows, "k", **limits).count() > 0)
+
+
+def test_the_funnel_deals_visits_without_their_week(spark):
+    lines = D.delivery_funnel(A.delivery_visits(spark, SF), "1995-01-01", "2003-12-31", dt.date(1998, 6, 1))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    gather = next(line for line in plan if "collect_list(struct(visit" in line and "rest" in line)
+    assert "week" not in gather
