@@ -134,10 +134,36 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     return _per_text(docs, size, start, "doc_id long, n int, sig binary, token long")
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, frequent: list[tuple[int, int]]) -> DataFrame:
+def most_frequent(made: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and counts of the ``most`` most frequent n-grams, of equally frequent ones those with the smallest tokens.
+
+    How many n-grams have each count, and how many of the count that only some are kept of have
+    each leading 12 bits, tells which rows to fetch: nothing is sorted, and no more than wanted but
+    for one such group reaches the driver, as columns.
+    """
+    counts = materialise(made.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "join-counts")
+    keep, room = F.lit(True), most
+    for n, rows in sorted(((r.n, r.rows) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True):
+        if rows > room:
+            lead, keep = F.shiftright("token", 52), F.col("n") > n
+            for r in counts.where(F.col("n") == n).groupBy(lead.alias("lead")).agg(
+                    F.count(F.lit(1)).alias("rows")).orderBy("lead").collect():
+                if room <= 0:
+                    break
+                last, room = r.lead, room - r.rows
+                keep = (F.col("n") > n) | ((F.col("n") == n) & (lead <= last))
+            break
+        room -= rows
+    found = counts.where(keep).toArrow()
+    discard(counts)
+    tokens, n = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.lexsort((tokens, -n))[:most]
+    return tokens[order].astype(np.uint64), n[order]
+
+
+def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, n, tokens): the longest prefix of each non-empty set, in the order of the n-grams."""
-    table = docs.sparkSession.sparkContext.broadcast((np.array([t for t, _ in frequent], np.int64).astype(np.uint64),
-                                                      np.array([c for _, c in frequent], np.int64)))
+    table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def start():
         tokens, counts = table.value
@@ -421,9 +447,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, links:
     spark = docs.sparkSession
     made = materialise(document_sets(docs, size), "join-documents")
     rows = made.where("sig is not null").select("doc_id", "n", "sig")
-    frequent = made.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "token").limit(MOST_FREQUENT)
-    frequent = [(r.token, r.n) for r in frequent.collect()]  # at most MOST_FREQUENT pairs of numbers
+    frequent = most_frequent(made, MOST_FREQUENT)
     classes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("documents"), F.any_value("n").alias("n")), "join-classes")
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()

@@ -124,3 +124,29 @@ def test_only_named_files_hold_for_their_folder(spark):
     assert len(got) == len(files)
     empty = spark.createDataFrame([], "doc_id long, path string, text string")
     assert licenses.scan_licenses(empty, F.col("path")).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 40, 41, 300, 1000])
+def test_most_frequent_ngrams_with_ties(spark, most):
+    r = random.Random(most)
+    rows = [(r.randrange(-2 ** 63, 2 ** 63), r.choice([2, 2, 2, 3, 9])) for _ in range(500)]
+    rows += rows[:40]  # found by two tasks: their numbers add up
+    made = spark.createDataFrame([*rows, (None, 5)], "token long, n int")
+    total = {}
+    for token, n in rows:
+        total[token] = total.get(token, 0) + n
+    tokens, counts = ngram_join.most_frequent(made, most)
+    assert list(zip(tokens.astype("int64").tolist(), counts.tolist(), strict=True)) == sorted(
+        total.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
+def test_frequent_ngrams_do_not_reach_the_driver_as_rows(spark, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "another text altogether")]
+    frame, collected = type(spark.range(0)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    # in one task, so that n-grams are frequent in its chunk
+    found = ngram_join.jaccard_components(docs(spark, texts).coalesce(1), 5, 80, links=False)
+    assert max(map(len, collected)) < 100
+    assert sorted(tuple(r) for r in found.select("doc_id", "component_id").toLocalIterator()) == [(1, 1), (2, 1), (3, 3)]
