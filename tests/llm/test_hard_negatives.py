@@ -90,3 +90,40 @@ def test_coordinate_ranges_decide_candidates_and_lose_none():
             assert max(len(c) for c in found) < 400  # of 800 rows
         if share == 1.2:
             assert sum(len(c) for c in found) < 16 * 20
+
+
+def test_rows_handed_on_do_not_grow_with_buckets(spark, monkeypatch):
+    """Blocks and buckets were shuffled to each other, and each bucket handed on rows of each anchor."""
+    monkeypatch.setattr(H, "BUCKET_CELLS", 200)
+    monkeypatch.setattr(H, "BLOCK_CELLS", 2000)
+    read, handed, run = [], [], H.map_arrow
+
+    def counted(df, function, schema):
+        out = run(df, function, schema)
+        read.append(df.count())
+        handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "map_arrow", counted)
+    rows = [(i, [x / math.sqrt(sum(y * y for y in e)) for x in e], y) for i, e, y in vectors(1200, 6, 8)]
+    want = brute(rows)
+    assert mined(spark, rows) == want and len(want) > 1000
+    assert handed[-1] <= 120 * 5 * 10 * 2  # two slices of about 42 buckets
+    assert max(handed[:-1]) <= 120 * 5 * 2
+    assert max(read) <= 50
+
+
+@pytest.mark.parametrize("scale", [1.0, 60.0, 1e5, 3e6])
+def test_scores_of_any_size_are_exact(spark, scale):
+    rows = [(i, [x * scale for x in e], y) for i, e, y in vectors(90, 5, 4)]
+    rows += [(100 + i, rows[20][1], 1) for i in range(12)]
+    want = brute(rows)
+    assert mined(spark, rows) == want and want
+
+
+def test_first_rows_of_lists_and_their_thresholds():
+    best = H.Best(np.array([H._LOWEST, 5]), 2)
+    best.add(*(np.array(c) for c in ([0, 0, 1, 1], [7, 9, 5, 4], [3, 4, 8, 9], [0, 0, 0, 0])))
+    assert [c.tolist() for c in best.settle()] == [[0, 0, 1], [9, 7, 5], [4, 3, 8], [0, 0, 0]] and best.least.tolist() == [7, 5]
+    best.add(*(np.array(c) for c in ([0, 0, 0, 1, 1], [7, 7, 6, 5, 5], [2, 9, 1, 8, 1], [0, 0, 0, -1, 5])))
+    assert [c.tolist() for c in best.settle()] == [[0, 0, 1, 1], [9, 7, 5, 5], [4, 2, 1, 8], [0, 0, 5, -1]]
