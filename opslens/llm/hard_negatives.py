@@ -38,7 +38,7 @@ BUCKET_CELLS, BLOCK_CELLS, MOST_ROWS = 1 << 16, 1 << 17, 1 << 11
 #: Buckets of a slice at least, so that slices hand on few rows for those they read.
 SLICE_BUCKETS = 32
 #: Scores computed at once, and found rows that wait to be sorted in.
-STRIP, WAITING = 1 << 21, 1 << 16
+STRIP, WAITING = 1 << 18, 1 << 16
 #: Candidates are verified one by one where a range leaves at most one row in so many, otherwise with all rows of the bucket.
 FEW = 16
 #: Largest coordinates of an anchor whose ranges are intersected.
@@ -400,7 +400,10 @@ def _buckets_of(store: fs.FileSystem, path: str) -> Iterator[tuple[int, pa.Struc
     """(bucket, items) of a file, with a few buckets in memory."""
     rest = None
     with store.open_input_file(path) as f:
-        for batch in pq.ParquetFile(f).iter_batches(batch_size=4096, use_threads=False):
+        stored = pq.ParquetFile(f)
+        cells = sum(c.num_values for g in range(stored.num_row_groups) for c in [stored.metadata.row_group(g).column(4)])
+        some = max(1, min(4096, STRIP * stored.metadata.num_rows // max(1, cells)))  # rows read at once
+        for batch in stored.iter_batches(batch_size=some, use_threads=False):
             whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             whole = whole.combine_chunks()
             number = whole["bucket"].to_numpy()
@@ -423,8 +426,8 @@ def _need(search: Positives) -> float:
 def _search(spark: SparkSession, blocks: str, n_blocks: int, turns: int, rows: str, files: int, classes: list,
             kind: Callable[[pa.StructArray, Rules], Positives], rules: Rules, names: list[str], schema: str) -> DataFrame:
     """What ``kind`` finds for all blocks, some blocks and a slice of the files in each task."""
-    per = -(-n_blocks // max(1, turns))
-    turns = -(-n_blocks // max(1, per))
+    per = max(1, n_blocks // turns)
+    turns = -(-n_blocks // per)
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, min(files, -(-most // max(1, turns)), -(-_number(classes) // SLICE_BUCKETS)))
     firsts, tops = np.array([c[2] for c in classes], np.int64), [c[1] for c in classes]
@@ -446,7 +449,6 @@ def _search(spark: SparkSession, blocks: str, n_blocks: int, turns: int, rows: s
                         one.begin(one.best.least)
             store, at = open_store(rows)
             for path in _files(store, at)[part::slices] if searches else []:
-                needs = None
                 for bucket_number, items in _buckets_of(store, path):
                     top = tops[int(np.searchsorted(firsts, bucket_number, "right")) - 1]
                     needs = [_need(one) for one in searches]
@@ -459,8 +461,7 @@ def _search(spark: SparkSession, blocks: str, n_blocks: int, turns: int, rows: s
             for one in searches:
                 found = one.found()
                 for i in range(0, len(found[0]), 10_000):
-                    yield pa.record_batch([pa.array(c[i:i + 10_000], k, safe=True) if k == pa.int64() else pa.array(
-                        c[i:i + 10_000].astype(np.int32)) for c, k in zip(found, kinds, strict=True)], names)
+                    yield pa.record_batch([pa.array(c[i:i + 10_000]).cast(k) for c, k in zip(found, kinds, strict=True)], names)
 
     tasks = turns * slices
     return map_arrow(spark.range(0, tasks, 1, max(1, tasks)).select("id"), run, schema)
